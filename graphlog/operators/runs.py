@@ -46,7 +46,7 @@ def running(
     chunk: int = CHUNK_ROWS,
     large: DataFrame | None = None,
 ) -> DataFrame:
-    """Add running ``last`` (non-null), ``min``, ``max`` or ``sum`` columns.
+    """Add running ``first`` or ``last`` (non-null), ``min``, ``max`` or ``sum`` columns.
 
     ``values`` maps an output name to (kind, expression). Without
     ``inclusive`` a row sees only the rows before it.
@@ -63,16 +63,22 @@ def running(
     def over(kind: str, column: Column, window) -> Column:
         if kind == "last":
             return F.last(column, ignorenulls=True).over(window)
+        if kind == "first":
+            return F.first(column, ignorenulls=True).over(window)
         return {"min": F.min, "max": F.max, "sum": F.sum}[kind](column).over(window)
 
     def whole(kind: str, column: Column) -> Column:
         if kind == "last":
             return F.max_by(column, F.when(column.isNotNull(), F.col(order)))
+        if kind == "first":
+            return F.min_by(column, F.when(column.isNotNull(), F.col(order)))
         return {"min": F.min, "max": F.max, "sum": F.sum}[kind](column)
 
     def combine(kind: str, inner: Column, carried: Column) -> Column:
         if kind == "last":
             return F.coalesce(inner, carried)
+        if kind == "first":
+            return F.coalesce(carried, inner)
         if kind == "sum":
             return F.coalesce(inner + carried, inner, carried)
         return (F.least if kind == "min" else F.greatest)(inner, carried)
