@@ -6,13 +6,13 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphlog.functions.literals import canonical_json
 from graphlog.model import CHUNK_ROWS, SNAPSHOT
-from graphlog.operators.runs import running
+from graphlog.operators.runs import numbered, running
 from graphlog.storage import materialise, scratch_path
 
 SENTINEL = "GENESIS"
@@ -131,8 +131,6 @@ def compact(events: DataFrame, boundary: Column, first_seq: DataFrame | None = N
     """
     entities = latest_per_entity(events)
     heads = first_seq if first_seq is not None else events.groupBy("model_id").agg(F.max("seq").alias("_head"))
-    from graphlog.operators.runs import numbered
-
     named = numbered(entities, "model_id", ["_entity"], out="_position").join(heads, "model_id")
     columns = events.columns
     values = {
