@@ -47,7 +47,9 @@ def transform(name: str | None, text: Column) -> Column:
         clean = F.trim(text)
         return F.when(clean.rlike(r"^[+-]?\d+$"), clean.try_cast("bigint"))
     if kind == "parse-decimal":
-        return F.trim(text).try_cast("decimal(38,10)")
+        clean = F.trim(text)
+        plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(clean, r"^\+", ""), r"^(-?)\.", "$10."), r"\.($|[eE])", "$1")
+        return F.when(clean.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), plain)
     if kind == "sha256":
         return F.sha2(text, 256)
     return text
