@@ -2,7 +2,7 @@
 
 import importlib
 
-GROUPS = ["log_queries", "rule_queries", "graph_queries", "resolve_queries", "source_queries"]
+GROUPS = ["log_queries", "rule_queries", "graph_queries", "resolve_queries", "source_queries", "schema_queries", "stream_queries"]
 
 
 def load_all() -> None:
