@@ -129,11 +129,11 @@ def open_histories(mutations: DataFrame, chunk: int = CHUNK_ROWS, large: DataFra
     key = NODE + ["_piece"]
     last = (
         pieces.filter(F.col("_piece") > 0)
-        .select(*key, "seq", F.explode("payload").alias("_k", "_v"))
+        .select(*key, "seq", F.explode_outer("payload").alias("_k", "_v"))
         .groupBy(*key, "_k")
         .agg(F.max_by("_v", "seq").alias("_v"))
         .groupBy(*key)
-        .agg(F.map_from_entries(F.collect_list(F.struct("_k", "_v"))).alias("payload"))
+        .agg(F.map_from_entries(F.collect_list(F.when(F.col("_k").isNotNull(), F.struct("_k", "_v")))).alias("payload"))
     )
     empty = F.create_map().cast("map<string,string>")
 
