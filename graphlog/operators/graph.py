@@ -56,7 +56,7 @@ def neighbourhood(edges: DataFrame, roots: DataFrame, depth: int = 1) -> DataFra
     Depth is held to 0..3.
     """
     depth = max(0, min(3, depth))
-    step = steps(edges).distinct()
+    step = steps(edges)
     front = roots.select("model_id", F.col("node").alias("root"), F.col("node").alias("a")).distinct()
     seen = front
     for _ in range(depth):
@@ -117,40 +117,45 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = MAX_HOPS)
 
     One breadth-first search per distinct source serves all its pairs. Each
     hop joins the frontier to the edges, keeps the smallest predecessor per
-    new node, and is written out, so later hops start from files. A source
-    leaves the frontier once all its pairs are found. Pairs without a path
-    within ``max_hops`` are absent.
+    new node, and is written out, so later hops start from files. Nodes with
+    one neighbour cannot lie inside a path, so only wanted ends among them
+    are stepped to; a step from hop k can only meet hops k-1, k and k+1, so
+    new nodes are told by the last two. A source leaves the frontier once all
+    its pairs are found. Pairs without a path within ``max_hops`` are absent.
     """
     max_hops = max(1, min(MAX_HOPS, max_hops))
-    step = materialise(steps(edges).distinct())
-    asked = materialise(pairs.select("model_id", "src", "dst").filter(F.col("src") != F.col("dst")).distinct())
     key = ["model_id", "src"]
-    start = asked.select(*key).distinct().withColumn("node", F.col("src"))
-    start = start.withColumn("parent", F.lit(None).cast("string")).withColumn("hop", F.lit(0))
-    visited = start
-    front = start
+    asked = materialise(pairs.select("model_id", "src", "dst").filter(F.col("src") != F.col("dst")).distinct())
+    every = materialise(steps(edges).filter(F.col("a") != F.col("b")).distinct())
+    ends = asked.select("model_id", F.col("dst").alias("b")).distinct()
+    inner = every.groupBy("model_id", F.col("a").alias("b")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
+    useful = inner.select("model_id", "b").unionByName(ends).distinct()
+    step = materialise(every.join(useful, ["model_id", "b"], "left_semi"))
+
+    start = asked.select(*key).distinct().select(*key, F.col("src").alias("node"), F.lit(None).cast("string").alias("parent"))
     levels: list[DataFrame] = []
-    open_pairs = asked
+    last, front, open_pairs = start, start, asked
     for hop in range(1, max_hops + 1):
         live = front.join(open_pairs.select(*key).distinct(), key, "left_semi")
+        known = front.select(*key, "node").unionByName(last.select(*key, "node"))
         found = (
             live.select(*key, F.col("node").alias("a"))
             .join(step, ["model_id", "a"])
             .groupBy(*key, F.col("b").alias("node"))
             .agg(F.min("a").alias("parent"))
-            .join(visited.select(*key, "node"), key + ["node"], "left_anti")
-            .withColumn("hop", F.lit(hop))
+            .join(known, key + ["node"], "left_anti")
         )
-        front = materialise(found)
+        last, front = front, materialise(found)
         levels.append(front)
-        visited = visited.unionByName(front)
-        reached = front.select(*key, F.col("node").alias("dst"))
-        open_pairs = materialise(open_pairs.join(reached, key + ["dst"], "left_anti"))
-        if front.isEmpty() or open_pairs.isEmpty():
+        open_pairs = open_pairs.join(front.select(*key, F.col("node").alias("dst")), key + ["dst"], "left_anti")
+        if open_pairs.isEmpty() or front.isEmpty():
             break
 
-    all_levels = visited.filter(F.col("hop") > 0)
-    hits = asked.join(all_levels.select(*key, F.col("node").alias("dst"), F.col("hop").alias("length")), key + ["dst"])
+    visited = None
+    for hop, level in enumerate(levels, 1):
+        part = level.select(*key, F.col("node").alias("dst"), F.lit(hop).alias("length"))
+        visited = part if visited is None else visited.unionByName(part)
+    hits = asked.join(visited, key + ["dst"])
     trail = hits.select(*key, "dst", "length", F.col("dst").alias("node"), F.array("dst").alias("path"))
     for hop in range(len(levels), 0, -1):
         back = levels[hop - 1].select(*key, "node", "parent")

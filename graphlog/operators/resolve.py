@@ -10,8 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphlog.functions.text import similarity
-
 THRESHOLD = 0.7
 NEIGHBOURS = 5
 #: Query vectors sent to the tasks at a time.
@@ -136,7 +134,9 @@ def fuzzy_pairs(candidates: DataFrame, nodes: DataFrame, threshold: float = THRE
     within d edits lose at most q*d grams, so their q*d+1 rarest grams (one
     global order) must meet; that is an equi-join, and the distance is only
     computed for pairs that meet. Names too short for the argument meet on
-    length instead. No similar pair is missed.
+    length instead. No similar pair is missed. The lower the threshold, the
+    longer the prefixes and the more pairs meet: below about 0.6 every name
+    meets on length alone.
     """
     key = ["model_id", "type", "name"]
 
@@ -171,11 +171,14 @@ def fuzzy_pairs(candidates: DataFrame, nodes: DataFrame, threshold: float = THRE
     b = wide.join(right.select(*key), key, "left_semi").unionByName(bins)
     b = b.select("model_id", "type", "gram", "nth", F.col("name").alias("right_name"), F.col("len").alias("_lb"))
     longest = F.greatest("_la", "_lb")
-    near = F.abs(F.col("_la") - F.col("_lb")) <= (1 - threshold) * longest + 1e-9
-    met = a.join(b, ["model_id", "type", "gram", "nth"]).filter(near)
-    met = met.select("model_id", "type", "left_name", "right_name").distinct()
-    scored = met.withColumn("score", similarity(F.col("left_name"), F.col("right_name")))
-    return scored.filter(F.col("score") >= threshold)
+    edits = F.floor((1 - threshold) * longest + 1e-9).cast("int")
+    met = a.join(b, ["model_id", "type", "gram", "nth"]).filter(F.abs(F.col("_la") - F.col("_lb")) <= edits)
+    # the distance is cut off at the edits allowed; few rows are left to make
+    # distinct, and pairs that met on several grams are never shuffled
+    apart = F.call_function("levenshtein", F.col("left_name"), F.col("right_name"), edits)
+    near = met.withColumn("_apart", apart).filter(F.col("_apart") >= 0)
+    scored = near.select("model_id", "type", "left_name", "right_name", (1.0 - F.col("_apart") / longest).alias("score"))
+    return scored.filter(F.col("score") >= threshold).distinct()
 
 
 def fuzzy_matches(candidates: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

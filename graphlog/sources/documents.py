@@ -61,15 +61,14 @@ def chunk_range(offset: Column, length: Column) -> Column:
     return F.concat_ws(":", offset.cast("string"), length.cast("string"))
 
 
-def _overlapped(pieces: Column, overlap: int) -> Column:
-    """Drop blank pieces, then put the end of the one before ahead of each."""
-    kept = F.filter(pieces, lambda p: p["text"].rlike(r"\S"))
+def _overlapped(pieces: str, overlap: int) -> Column:
+    """Put the end of the piece before ahead of each one."""
     if overlap <= 0:
-        return kept
+        return F.col(pieces)
     return F.transform(
-        kept,
+        pieces,
         lambda p, i: F.struct(
-            F.when(i > 0, F.concat(F.right(F.get(kept, i - 1)["text"], F.lit(overlap)), p["text"]))
+            F.when(i > 0, F.concat(F.right(F.get(F.col(pieces), i - 1)["text"], F.lit(overlap)), p["text"]))
             .otherwise(p["text"]).alias("text"),
             p["char_offset"].alias("char_offset"),
             p["char_length"].alias("char_length"),
@@ -96,11 +95,15 @@ def _placed(parts: Column, gaps: Column) -> Column:
 
 
 def _chunks(documents: DataFrame, pieces: Column, overlap: int) -> DataFrame:
+    """Blank pieces dropped, overlaps added, one row per piece.
+
+    The kept pieces are a column of their own: the overlap looks at them once
+    per piece and must not work them out again each time.
+    """
     rest = [c for c in documents.columns if c != "text"]
-    placed = documents.select(*rest, pieces.alias("_p"))
-    return placed.select(*rest, F.posexplode(_overlapped(F.col("_p"), overlap)).alias("chunk_index", "_c")).select(
-        *rest, "chunk_index", "_c.text", "_c.char_offset", "_c.char_length"
-    )
+    kept = documents.select(*rest, F.filter(pieces, lambda p: p["text"].rlike(r"\S")).alias("_kept"))
+    chunks = kept.select(*rest, F.posexplode(_overlapped("_kept", overlap)).alias("chunk_index", "_c"))
+    return chunks.select(*rest, "chunk_index", "_c.text", "_c.char_offset", "_c.char_length")
 
 
 def paragraph_chunks(documents: DataFrame, overlap: int = OVERLAP) -> DataFrame:

@@ -88,12 +88,14 @@ def map_rows(rows: DataFrame, fields: list[Field]) -> DataFrame:
     entries = F.array(*[
         F.struct(F.lit(fields[i].target).alias("k"), _literal(kinds[i], F.col(f"_raw{i}"), F.col(f"_value{i}")).alias("v")) for i in n
     ])
-    return values.select(
-        *rows.columns,
+    result = F.struct(
         F.coalesce(*[error(i) for i in n]).alias("error"),
         F.map_from_entries(F.filter(entries, lambda e: e["v"].isNotNull())).alias("properties"),
         content_hash({fields[i].target: F.col(f"_value{i}") for i in n}).alias("source_hash"),
     )
+    # a filter on ``error`` stays above this row generator; pushed below, it
+    # would evaluate every path and transform a second time
+    return values.select(*rows.columns, F.inline(F.array(result)))
 
 
 def split_errors(mapped: DataFrame) -> tuple[DataFrame, DataFrame]:
