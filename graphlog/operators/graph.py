@@ -112,58 +112,125 @@ def match(nodes: DataFrame, edges: DataFrame, pattern: list[Spot | Hop]) -> Data
     return paths.select("model_id", *[f"n{i}" for i in range(len(pattern) // 2 + 1)])
 
 
+def _next_level(front: DataFrame, last: DataFrame, step: DataFrame, key: list[str]) -> DataFrame:
+    """New nodes one step on, each with its smallest predecessor.
+
+    A step from hop k can only meet hops k-1, k and k+1, so new nodes are
+    told by the last two levels.
+    """
+    known = front.select(*key, "node").unionByName(last.select(*key, "node"))
+    return (
+        front.select(*key, F.col("node").alias("a"))
+        .join(step, ["model_id", "a"])
+        .groupBy(*key, F.col("b").alias("node"))
+        .agg(F.min("a").alias("parent"))
+        .join(known, key + ["node"], "left_anti")
+    )
+
+
 def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
     """Per (model_id, src, dst) pair: the nodes of a shortest undirected path.
 
-    One breadth-first search per distinct source serves all its pairs. Each
-    hop joins the frontier to the edges, keeps the smallest predecessor per
-    new node, and is written out, so later hops start from files. Nodes with
-    one neighbour cannot lie inside a path, so only wanted ends among them
-    are stepped to; a step from hop k can only meet hops k-1, k and k+1, so
-    new nodes are told by the last two. A source leaves the frontier once all
-    its pairs are found. Pairs without a path within ``max_hops`` are absent.
+    Breadth-first from both ends, the smaller frontier first, one search per
+    distinct source and one per distinct target serving all their pairs. A
+    pair is settled when its frontiers meet; an end with no open pair stops.
+    Levels are written out, so each hop starts from files. Nodes with one
+    neighbour cannot lie inside a path and are left out unless asked for. Of
+    equally short paths, the one with the smallest predecessors, walking back
+    from the target, is given. Pairs without a path within ``max_hops`` are
+    absent.
     """
     max_hops = max(1, min(MAX_HOPS, max_hops))
-    key = ["model_id", "src"]
-    asked = materialise(pairs.select("model_id", "src", "dst").filter(F.col("src") != F.col("dst")).distinct())
+    pair = ["model_id", "src", "dst"]
+    keys = {"src": ["model_id", "src"], "dst": ["model_id", "dst"]}
+    asked = materialise(pairs.select(*pair).filter(F.col("src") != F.col("dst")).distinct())
     every = materialise(steps(edges).filter(F.col("a") != F.col("b")).distinct())
-    ends = asked.select("model_id", F.col("dst").alias("b")).distinct()
     inner = every.groupBy("model_id", F.col("a").alias("b")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
+    ends = asked.select("model_id", F.col("src").alias("b")).unionByName(asked.select("model_id", F.col("dst").alias("b")))
     useful = inner.select("model_id", "b").unionByName(ends).distinct()
     step = materialise(every.join(useful, ["model_id", "b"], "left_semi"))
 
-    start = asked.select(*key).distinct().select(*key, F.col("src").alias("node"), F.lit(None).cast("string").alias("parent"))
-    levels: list[DataFrame] = []
-    last, front, open_pairs = start, start, asked
-    for hop in range(1, max_hops + 1):
-        live = front.join(open_pairs.select(*key).distinct(), key, "left_semi")
-        known = front.select(*key, "node").unionByName(last.select(*key, "node"))
+    levels: dict[str, list[DataFrame]] = {}
+    size: dict[str, int] = {}
+    for side, key in keys.items():
+        start = asked.select(*key).distinct().select(*key, F.col(side).alias("node"), F.lit(None).cast("string").alias("parent"))
+        levels[side] = [start]
+        size[side] = start.count()
+    open_pairs, meetings = asked, []
+    while len(levels["src"]) + len(levels["dst"]) - 2 < max_hops:
+        side = "src" if size["src"] <= size["dst"] else "dst"
+        key, own = keys[side], levels[side]
+        front = own[-1].join(open_pairs.select(*key).distinct(), key, "left_semi")
+        own.append(materialise(_next_level(front, own[-2] if len(own) > 1 else own[-1], step, key)))
+        size[side] = own[-1].count()
+        i, j = len(levels["src"]) - 1, len(levels["dst"]) - 1
+        met = (
+            open_pairs.join(levels["src"][-1].select("model_id", "src", "node"), keys["src"])
+            .join(levels["dst"][-1].select("model_id", "dst", "node"), keys["dst"] + ["node"])
+            .select(*pair, "node", F.lit(i).alias("i"), F.lit(j).alias("j"))
+        )
+        met = materialise(met)
+        meetings.append(met)
+        open_pairs = materialise(open_pairs.join(met.select(*pair).distinct(), pair, "left_anti"))
+        if size[side] == 0 or open_pairs.isEmpty():
+            break
+    return _walk_back(step, levels, meetings)
+
+
+def _walk_back(step: DataFrame, levels: dict[str, list[DataFrame]], meetings: list[DataFrame]) -> DataFrame:
+    """Paths from the meeting nodes of each pair.
+
+    From the nodes where a source's pairs met, the search goes on towards
+    their targets through the nodes the backward search has seen at the right
+    distance, keeping smallest predecessors as before. That depends on the
+    source and the hop it met at, not on the target, so pairs share it.
+    """
+    pair = ["model_id", "src", "dst"]
+    shared = ["model_id", "src", "i"]
+    met = meetings[0]
+    for more in meetings[1:]:
+        met = met.unionByName(more)
+    settled = materialise(met.select(*pair, "i", "j").distinct())
+    depth_i, depth_j = len(levels["src"]) - 1, len(levels["dst"]) - 1
+
+    def wanted(hop: int) -> DataFrame:
+        """Nodes ``hop`` steps past a meeting, by the pairs that go there."""
+        out = None
+        for j in range(hop, depth_j + 1):
+            near = levels["dst"][j - hop].select("model_id", "dst", "node")
+            part = settled.filter(F.col("j") == j).join(near, ["model_id", "dst"]).select(*shared, "node")
+            out = part if out is None else out.unionByName(part)
+        return out.distinct()
+
+    past: list[DataFrame] = []
+    front = met.select(*shared, "node").distinct()
+    for hop in range(1, depth_j + 1):
+        goal = materialise(wanted(hop))
+        narrow = step.join(goal.select("model_id", F.col("node").alias("b")).distinct(), ["model_id", "b"], "left_semi")
+        # reduced to one predecessor before the goal test, not after: the
+        # aggregation combines on the map side, the test would shuffle steps
         found = (
-            live.select(*key, F.col("node").alias("a"))
-            .join(step, ["model_id", "a"])
-            .groupBy(*key, F.col("b").alias("node"))
+            front.select(*shared, F.col("node").alias("a"))
+            .join(narrow, ["model_id", "a"])
+            .groupBy(*shared, F.col("b").alias("node"))
             .agg(F.min("a").alias("parent"))
-            .join(known, key + ["node"], "left_anti")
+            .join(goal, shared + ["node"], "left_semi")
         )
-        last, front = front, materialise(found)
-        levels.append(front)
-        open_pairs = open_pairs.join(front.select(*key, F.col("node").alias("dst")), key + ["dst"], "left_anti")
-        if open_pairs.isEmpty() or front.isEmpty():
-            break
+        past.append(materialise(found))
+        front = past[-1].select(*shared, "node")
+
+    trail = settled.select("*", F.col("dst").alias("node"), F.array("dst").alias("path"))
 
-    visited = None
-    for hop, level in enumerate(levels, 1):
-        part = level.select(*key, F.col("node").alias("dst"), F.lit(hop).alias("length"))
-        visited = part if visited is None else visited.unionByName(part)
-    hits = asked.join(visited, key + ["dst"])
-    trail = hits.select(*key, "dst", "length", F.col("dst").alias("node"), F.array("dst").alias("path"))
-    for hop in range(len(levels), 0, -1):
-        back = levels[hop - 1].select(*key, "node", "parent")
-        joined = trail.join(back, key + ["node"], "left")
-        on = F.col("length") >= hop
-        trail = joined.select(
-            *key, "dst", "length",
+    def back(trail: DataFrame, parents: DataFrame, on: Column) -> DataFrame:
+        joined = trail.join(parents, [c for c in parents.columns if c != "parent"], "left")
+        return joined.select(
+            *pair, "i", "j",
             F.when(on, F.col("parent")).otherwise(F.col("node")).alias("node"),
             F.when(on, F.concat(F.array("parent"), F.col("path"))).otherwise(F.col("path")).alias("path"),
         )
-    return trail.select(*key, "dst", "length", "path")
+
+    for hop in range(depth_j, 0, -1):
+        trail = back(trail, past[hop - 1], F.col("j") >= hop)
+    for i in range(depth_i, 0, -1):
+        trail = back(trail, levels["src"][i], F.col("i") >= i)
+    return trail.select(*pair, (F.col("i") + F.col("j")).alias("length"), "path")

@@ -12,7 +12,7 @@ from graphlog.functions.text import joined_hash
 MAX_BYTES = 1 << 20
 OVERLAP = 200
 
-_CHUNK = "array<struct<text:string,char_offset:int,char_length:int>>"
+_BLOCK = 512
 
 
 def scan_folder(spark: SparkSession, folder: str, glob: str = "**/*.md", max_bytes: int = MAX_BYTES) -> tuple[DataFrame, DataFrame]:
@@ -76,32 +76,38 @@ def _overlapped(pieces: str, overlap: int) -> Column:
     )
 
 
-def _placed(parts: Column, gaps: Column) -> Column:
-    """Parts with their offsets; gap i follows part i."""
-    pairs = F.zip_with(parts, gaps, lambda p, g: F.struct(p.alias("p"), F.coalesce(F.length(g), F.lit(0)).alias("g")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_CHUNK).alias("out"))
+def _prefix_sums(numbers: Column, start: Column) -> Column:
+    """What comes before each number, counted from ``start``."""
     walked = F.aggregate(
-        pairs,
-        start,
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["p"]) + x["g"]).alias("at"),
-            F.concat(
-                acc["out"],
-                F.array(F.struct(x["p"].alias("text"), acc["at"].alias("char_offset"), F.length(x["p"]).alias("char_length"))),
-            ).alias("out"),
-        ),
+        numbers,
+        F.struct(start.alias("at"), F.array().cast("array<int>").alias("out")),
+        lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
     )
     return walked["out"]
 
 
-def _chunks(documents: DataFrame, pieces: Column, overlap: int) -> DataFrame:
-    """Blank pieces dropped, overlaps added, one row per piece.
+def _chunks(documents: DataFrame, parts: Column, gaps: Column, overlap: int) -> DataFrame:
+    """One row per part that is not blank, with its offset; gap i follows
+    part i.
 
-    The kept pieces are a column of their own: the overlap looks at them once
-    per piece and must not work them out again each time.
+    Offsets are summed in blocks, as appending to one array per part would be
+    quadratic in the parts of a document. Each step is a column of its own,
+    so that no step is worked out again inside the next.
     """
     rest = [c for c in documents.columns if c != "text"]
-    kept = documents.select(*rest, F.filter(pieces, lambda p: p["text"].rlike(r"\S")).alias("_kept"))
+    cut = documents.select(*rest, parts.alias("_parts"), gaps.alias("_gaps"))
+    sizes = F.zip_with("_parts", "_gaps", lambda p, g: F.length(p) + F.coalesce(F.length(g), F.lit(0)))
+    sized = cut.select(*rest, "_parts", sizes.alias("_sizes"))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("_sizes"), F.lit(1)), F.lit(_BLOCK))
+    blocks = sized.select(*rest, "_parts", F.transform(starts, lambda s: F.slice("_sizes", s, F.lit(_BLOCK))).alias("_blocks"))
+    totals = F.transform("_blocks", lambda b: F.aggregate(b, F.lit(0), lambda acc, x: acc + x))
+    based = blocks.select(*rest, "_parts", "_blocks", _prefix_sums(totals, F.lit(0)).alias("_bases"))
+    at = F.flatten(F.zip_with("_blocks", "_bases", lambda b, o: _prefix_sums(b, o)))
+    placed = based.select(*rest, "_parts", at.alias("_at"))
+    pieces = F.zip_with(
+        "_parts", "_at", lambda p, o: F.struct(p.alias("text"), o.alias("char_offset"), F.length(p).alias("char_length"))
+    )
+    kept = placed.select(*rest, F.filter(pieces, lambda p: p["text"].rlike(r"\S")).alias("_kept"))
     chunks = kept.select(*rest, F.posexplode(_overlapped("_kept", overlap)).alias("chunk_index", "_c"))
     return chunks.select(*rest, "chunk_index", "_c.text", "_c.char_offset", "_c.char_length")
 
@@ -110,14 +116,14 @@ def paragraph_chunks(documents: DataFrame, overlap: int = OVERLAP) -> DataFrame:
     """Chunks between blank lines; offset and length leave out the overlap."""
     parts = F.split("text", r"\n{2,}", -1)
     gaps = F.regexp_extract_all("text", F.lit(r"(\n{2,})"), 1)
-    return _chunks(documents, _placed(parts, gaps), overlap)
+    return _chunks(documents, parts, gaps, overlap)
 
 
 def sentence_chunks(documents: DataFrame, overlap: int = OVERLAP) -> DataFrame:
     """Chunks that end after ``.``, ``!`` or ``?`` and spaces, or a newline."""
     pattern = r"""(?s)(.*?(?:[.!?]+["')\]]*[ \t]+|\n+|\z))"""
     parts = F.regexp_extract_all("text", F.lit(pattern), 1)
-    return _chunks(documents, _placed(parts, F.array().cast("array<string>")), overlap)
+    return _chunks(documents, parts, F.array().cast("array<string>"), overlap)
 
 
 _CANDIDATE = (

@@ -84,7 +84,7 @@ def paragraphs(text, overlap):
 
 @pytest.mark.parametrize("overlap", [0, 3, 50])
 def test_paragraphs(spark, overlap):
-    texts = ["one\n\ntwo\n\n\n\nthree", "\n\n \n\nlead", "single", "", "  ", "tail\n\n", "a\nb\n\nc"]
+    texts = ["one\n\ntwo\n\n\n\nthree", "\n\n \n\nlead", "single", "", "  ", "tail\n\n", "a\nb\n\nc", "ab\n\n\n" * 1500 + "end"]
     docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
     got = documents.paragraph_chunks(docs, overlap).orderBy("id", "chunk_index").collect()
     for i, text in enumerate(texts):
