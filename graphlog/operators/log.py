@@ -20,7 +20,7 @@ from graphlog.model import (
     TOMBSTONE,
     UPDATE,
 )
-from graphlog.operators.runs import large_groups, ranges, running, with_piece
+from graphlog.operators.runs import in_pieces, large_groups, ranges, running
 
 NODE = ["model_id", "node"]
 _REQUIRED = ["model_id", "operation", "type", "payload", "source_type", "source_id", "source_system", "confidence"]
@@ -125,11 +125,10 @@ def open_histories(mutations: DataFrame, chunk: int = CHUNK_ROWS, large: DataFra
     merged last values of the pieces before it.
     """
     columns = mutations.columns
-    pieces = with_piece(mutations, NODE, "seq", chunk, large)
+    pieces, hot = in_pieces(mutations, NODE, "seq", chunk, large)
     key = NODE + ["_piece"]
     last = (
-        pieces.filter(F.col("_piece") > 0)
-        .select(*key, "seq", F.explode_outer("payload").alias("_k", "_v"))
+        hot.select(*key, "seq", F.explode_outer("payload").alias("_k", "_v"))
         .groupBy(*key, "_k")
         .agg(F.max_by("_v", "seq").alias("_v"))
         .groupBy(*key)

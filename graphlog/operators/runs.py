@@ -20,21 +20,26 @@ def large_groups(df: DataFrame, by: list[str], chunk: int = CHUNK_ROWS) -> DataF
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > chunk).select(*by)
 
 
-def with_piece(
+def in_pieces(
     df: DataFrame, by: list[str], order: str, chunk: int = CHUNK_ROWS, large: DataFrame | None = None
-) -> DataFrame:
-    """Add ``_piece``: 0, or the slice of the order key for a large group.
-
-    ``order`` is a whole number unique within the group, so that a slice holds
-    at most ``chunk`` rows. ``large`` may name the large groups of a coarser
-    key found before.
+) -> tuple[DataFrame, DataFrame]:
+    """(all rows, rows of large groups), both with ``_piece``.
+
+    ``_piece`` is 0, or the slice of the order key for a large group. ``order``
+    is a whole number unique within the group, so a slice holds at most
+    ``chunk`` rows. ``large`` may name the large groups of a coarser key found
+    before. The second frame is an inner join, so that adaptive execution
+    drops everything built on it when no group is large.
     """
     if large is None:
         large = large_groups(df, by, chunk)
     keys = [c for c in by if c in large.columns]
+    slice_of = F.expr(f"CAST(`{order}` div {int(chunk)} AS BIGINT) + 1")
     mark = F.broadcast(large.select(*keys).withColumn("_large", F.lit(True)))
-    piece = F.when(F.col("_large"), F.floor(F.col(order) / chunk) + 1).otherwise(F.lit(0))
-    return df.join(mark, keys, "left").withColumn("_piece", piece.cast("long")).drop("_large")
+    piece = F.when(F.col("_large"), slice_of).otherwise(F.lit(0).cast("long"))
+    rows = df.join(mark, keys, "left").withColumn("_piece", piece).drop("_large")
+    hot = df.join(mark, keys).withColumn("_piece", slice_of).drop("_large")
+    return rows, hot
 
 
 def running(
@@ -52,8 +57,8 @@ def running(
     ``inclusive`` a row sees only the rows before it.
     """
     names = list(values)
-    pieces = with_piece(df, by, order, chunk, large)
-    pieces = pieces.select("*", *[values[n][1].alias(f"_in_{n}") for n in names])
+    inputs = df.select("*", *[values[n][1].alias(f"_in_{n}") for n in names])
+    pieces, hot = in_pieces(inputs, by, order, chunk, large)
     key = by + ["_piece"]
 
     inside = Window.partitionBy(*key).orderBy(order)
@@ -83,11 +88,7 @@ def running(
             return F.coalesce(inner + carried, inner, carried)
         return (F.least if kind == "min" else F.greatest)(inner, carried)
 
-    totals = (
-        pieces.filter(F.col("_piece") > 0)
-        .groupBy(*key)
-        .agg(*[whole(values[n][0], F.col(f"_in_{n}")).alias(f"_all_{n}") for n in names])
-    )
+    totals = hot.groupBy(*key).agg(*[whole(values[n][0], F.col(f"_in_{n}")).alias(f"_all_{n}") for n in names])
     carried = totals.select(*key, *[over(values[n][0], F.col(f"_all_{n}"), before).alias(f"_pre_{n}") for n in names])
     scanned = pieces.select("*", *[over(values[n][0], F.col(f"_in_{n}"), inside).alias(f"_run_{n}") for n in names])
     joined = scanned.join(carried, key, "left")

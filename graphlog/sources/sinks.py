@@ -51,3 +51,31 @@ def event_span(start: Column, end: Column) -> Column:
     month = F.col("event_month")
     inside = (F.col("event_time") >= start) & (F.col("event_time") < end)
     return (month >= F.date_format(start, "yyyy-MM")) & (month <= F.date_format(end, "yyyy-MM")) & inside
+
+
+def publish(log: DataFrame, root: str) -> int:
+    """Write a whole log as the next version below ``root``.
+
+    Compaction and retention replace a log. Readers keep the version they
+    opened; a version counts only once its job has committed, so a failed or
+    half-written one is never read. Returns the version.
+    """
+    version = max(_versions(log.sparkSession, root, committed=False), default=0) + 1
+    log.write.parquet(f"{root}/version={version}")
+    return version
+
+
+def read_published(spark: SparkSession, root: str) -> DataFrame:
+    """The newest committed version."""
+    return spark.read.parquet(f"{root}/version={max(_versions(spark, root, committed=True))}")
+
+
+def _versions(spark: SparkSession, root: str, committed: bool) -> list[int]:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    path = hadoop(root)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return []
+    names = [s.getPath().getName() for s in files.listStatus(path)]
+    found = [int(n.removeprefix("version=")) for n in names if n.startswith("version=")]
+    return [v for v in found if not committed or files.exists(hadoop(f"{root}/version={v}/_SUCCESS"))]

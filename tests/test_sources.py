@@ -196,3 +196,14 @@ def test_views_refresh_only_when_the_version_moves(spark):
     assert not spark.catalog.tableExists("v_t0_doc")
     with pytest.raises(Exception):
         views.typed_view(nodes, [("size", "integer")], "t0", "doc", strict=True).collect()
+
+
+def test_published_versions_switch_when_complete(spark):
+    root = scratch_path(spark)
+    assert sinks.publish(spark.range(3), root) == 1
+    assert sinks.publish(spark.range(5), root) == 2
+    assert sinks.read_published(spark, root).count() == 5
+    from pathlib import Path
+
+    Path(f"{root}/version=3").mkdir()
+    assert sinks.read_published(spark, root).count() == 5 and sinks.publish(spark.range(7), root) == 4
