@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphlog.storage import materialise
+
 THRESHOLD = 0.7
 NEIGHBOURS = 5
 #: Query vectors sent to the tasks at a time.
@@ -139,19 +141,19 @@ def fuzzy_pairs(candidates: DataFrame, nodes: DataFrame, threshold: float = THRE
     meets on length alone.
     """
     key = ["model_id", "type", "name"]
+    sides = candidates.select(*key, F.lit(True).alias("left"), F.lit(False).alias("right")).unionByName(
+        nodes.select(*key, F.lit(False).alias("left"), F.lit(True).alias("right"))
+    )
+    named = sides.filter(F.length("name") > 0).groupBy(*key).agg(F.bool_or("left").alias("left"), F.bool_or("right").alias("right"))
+    names = materialise(named.withColumn("len", F.length("name")))
 
-    def distinct_names(df: DataFrame) -> DataFrame:
-        return df.filter(F.length("name") > 0).select(*key).distinct().withColumn("len", F.length("name"))
-
-    left, right = distinct_names(candidates), distinct_names(nodes)
-    both = left.unionByName(right).distinct()
-    grams = _grams(both, q)
+    grams = _grams(names, q)
     common = grams.groupBy("model_id", "type", "gram", "nth").agg(F.count(F.lit(1)).alias("_often"))
-    ordered = grams.join(common, ["model_id", "type", "gram", "nth"]).groupBy(*key, "len").agg(
+    ordered = grams.join(common, ["model_id", "type", "gram", "nth"]).groupBy(*names.columns).agg(
         F.sort_array(F.collect_list(F.struct("_often", "gram", "nth"))).alias("_all")
     )
     prefix = F.slice("_all", F.lit(1), _reach(F.col("len"), threshold) * q + 1)
-    rare = ordered.select(*key, "len", F.explode(prefix).alias("g")).select(*key, "len", "g.gram", "g.nth")
+    rare = ordered.select(*names.columns, F.explode(prefix).alias("g")).select(*names.columns, "g.gram", F.col("g.nth").alias("nth"))
 
     low = F.ceil(F.col("len") * threshold - 1e-9).cast("int")
     high = F.floor(F.col("len") / threshold + 1e-9).cast("int")
@@ -160,16 +162,14 @@ def fuzzy_pairs(candidates: DataFrame, nodes: DataFrame, threshold: float = THRE
         return length - q + 1 <= _reach(length, threshold) * q
 
     lengths = F.sequence(F.greatest(low, F.lit(1)), high)
-    falls_back = short(F.col("len")) | F.exists(lengths, short)
-    mark = F.lit("").alias("gram")
-    probes = left.filter(falls_back).select(*key, "len", mark, F.explode(F.transform(lengths, lambda n: n.cast("long"))).alias("nth"))
-    bins = right.filter(falls_back).select(*key, "len", mark, F.col("len").cast("long").alias("nth"))
-    wide = rare.withColumn("nth", F.col("nth").cast("long"))
-
-    a = wide.join(left.select(*key), key, "left_semi").unionByName(probes)
-    a = a.select("model_id", "type", "gram", "nth", F.col("name").alias("left_name"), F.col("len").alias("_la"))
-    b = wide.join(right.select(*key), key, "left_semi").unionByName(bins)
-    b = b.select("model_id", "type", "gram", "nth", F.col("name").alias("right_name"), F.col("len").alias("_lb"))
+    falls_back = names.filter(short(F.col("len")) | F.exists(lengths, short))
+    no, mark = F.lit(False), F.lit("").alias("gram")
+    probes = falls_back.filter("left").select(*key, "left", no.alias("right"), "len", mark, F.explode(lengths).alias("nth"))
+    bins = falls_back.filter("right").select(*key, no.alias("left"), "right", "len", mark, F.col("len").alias("nth"))
+    meeting = materialise(rare.unionByName(probes).unionByName(bins))
+
+    a = meeting.filter("left").select("model_id", "type", "gram", "nth", F.col("name").alias("left_name"), F.col("len").alias("_la"))
+    b = meeting.filter("right").select("model_id", "type", "gram", "nth", F.col("name").alias("right_name"), F.col("len").alias("_lb"))
     longest = F.greatest("_la", "_lb")
     edits = F.floor((1 - threshold) * longest + 1e-9).cast("int")
     met = a.join(b, ["model_id", "type", "gram", "nth"]).filter(F.abs(F.col("_la") - F.col("_lb")) <= edits)
@@ -222,14 +222,16 @@ def resolve(candidates: DataFrame, nodes: DataFrame, vectors: DataFrame | None =
         return df.select("candidate_id", F.lit("MATCH").alias("outcome"), F.lit(tier).alias("tier"), "node", "score")
 
     exact = tagged(exact_matches(candidates, nodes), "EXACT")
-    rest = candidates.join(exact.select("candidate_id"), "candidate_id", "left_anti")
+    # what a tier leaves over is written once: the next one reads it many times
+    rest = materialise(candidates.join(exact.select("candidate_id"), "candidate_id", "left_anti"))
     found = exact
     best = None
     if vectors is not None:
         hits, best = embedding_matches(rest, nodes, vectors, threshold, model)
+        hits, best = materialise(hits), materialise(best)
         found = found.unionByName(tagged(hits, "EMBEDDING"))
         rest = rest.join(hits.select("candidate_id"), "candidate_id", "left_anti")
-    alike = fuzzy_matches(rest, nodes, floor)
+    alike = materialise(fuzzy_matches(rest, nodes, floor))
     hits = alike.filter(F.col("score") >= threshold)
     found = found.unionByName(tagged(hits, "FUZZY"))
     left = rest.join(hits.select("candidate_id"), "candidate_id", "left_anti")
