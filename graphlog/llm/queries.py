@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlog.llm import bpe, simhash
+from graphlog.llm import bpe, lines, mix, rules, shards, simhash
 from graphlog.llm.common import table
+from graphlog.storage import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -25,6 +26,34 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+# what of a page is not text, tags that do not end a line, and the host of an address; the SQL has the same
+_UNSEEN = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
+_INLINE = r"(?i)</?(?:a|b|i|em|strong|span|small|u)\b[^>]*>"
+_HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)"
+
+
+@query(
+    "op1_line_dedup",
+    f"""WITH p AS (SELECT row_number() OVER () AS rid, page_id, nullif(lower(regexp_extract(url, '{_HOST}', 1)), '') AS host,
+        regexp_replace(regexp_replace(regexp_replace(html, '{_UNSEEN}', '', 'g'), '{_INLINE}', '', 'g'), '<[^>]*>', chr(10), 'g') AS text FROM pages),
+    l AS (SELECT rid, host, generate_subscripts(string_split(text, chr(10)), 1) AS pos, unnest(string_split(text, chr(10))) AS line FROM p),
+    k AS (SELECT *, trim(line, ' ' || chr(9) || chr(13) || chr(12) || chr(11)) AS key FROM l),
+    c AS (SELECT host, key, count(DISTINCT rid) AS n FROM k WHERE key <> '' AND host IS NOT NULL GROUP BY host, key),
+    h AS (SELECT host, count(*) AS pages FROM p GROUP BY host),
+    b AS (SELECT host, key FROM c JOIN h USING (host) WHERE n >= 5 AND n * 100 > pages * 5),
+    m AS (SELECT k.*, b.key IS NOT NULL AS bad FROM k LEFT JOIN b ON k.host = b.host AND k.key = b.key),
+    r AS (SELECT rid, count(*) FILTER (key <> '') AS n_lines, count(*) FILTER (bad) AS n_dropped,
+        coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT bad), '') AS text FROM m GROUP BY rid)
+    SELECT page_id, host, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, r.text FROM p LEFT JOIN r USING (rid)""",
+)
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    host = F.lower(F.regexp_extract("url", _HOST, 1))
+    text = F.regexp_replace(F.regexp_replace(F.regexp_replace("html", _UNSEEN, ""), _INLINE, ""), "<[^>]*>", "\n")
+    cut = pages.select("page_id", F.when(host != "", host).alias("host"), text.alias("text"))
+    return lines.drop_boilerplate(cut, "host", "text", n_lines="n_lines", n_dropped="n_dropped")
+
+
 @query("op2_byte_bpe")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -32,7 +61,32 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digest(docs, path, public_tokenizers.PATTERN).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+@query("op5_quality_rules", rules.SQL)
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    measured = materialise(rules.measure(table(spark, folder, "documents"), ["doc_id", "lang", "source"]))
+    limits = materialise(rules.fences(rules.sketches(measured)))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return rules.judge(measured, limits).select("doc_id", *[f"stats.{c}" for c in counts], "base_failed", "kept")
+
+
+@query("op7_mix_sources", mix.SQL)
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return mix.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 @query("op9_simhash")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.groups(table(spark, folder, "documents").select("doc_id", "text"))
     return found.select("doc_id", simhash.hexed(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
+@query("op10_sharding")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    rows = docs.select(
+        "doc_id",
+        (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("key").alias("law"),
+    )
+    return shards.place(rows, "doc_id", shards.tree(16), shards.tree(17), ["doc_id", "size", "text_crc32"])
