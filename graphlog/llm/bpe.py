@@ -14,9 +14,11 @@ merging by rank gives.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -25,8 +27,9 @@ from pyspark.sql.types import ArrayType, BinaryType, DataType, IntegerType
 
 from graphlog.llm.common import col, once
 
-PIECES_KEPT = 400_000
-SLICE_BYTES = 8 << 20
+PIECES_KEPT = 150_000
+PAIRS_KEPT = 200_000
+SLICE_BYTES = 2 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -46,7 +49,7 @@ class Vocabulary:
         self.reach = max(map(len, ranks), default=1)
         self.automaton = ahocorasick.Automaton()
         for token, i in ranks.items():
-            self.automaton.add_word(token.decode("latin-1"), (i, len(token)))
+            self.automaton.add_word(token.decode("latin-1"), i)
         self.automaton.make_automaton()
         self.shorter: dict[int, int] = {}  # id -> id of its longest proper prefix that is a token
         for token, i in ranks.items():
@@ -90,7 +93,7 @@ class Vocabulary:
     def fit(self, left: int, right: int) -> bool:
         known = self.known.get((left, right))
         if known is None:
-            if len(self.known) > 2_000_000:
+            if len(self.known) >= PAIRS_KEPT:
                 self.known.clear()
             known = self.known[left, right] = self._fit(left, right)
         return known
@@ -103,16 +106,30 @@ class Vocabulary:
         if not piece:
             return []
         text, end = piece.decode("latin-1"), len(piece)
-        shorter, bytes_of, fit = self.shorter, self.bytes_of, self.fit
+        shorter, bytes_of, known = self.shorter, self.bytes_of, self.known
+        # longest matches, each from where the one before ends, as far as neighbours fit
+        greedy = [i for _, i in self.automaton.iter_long(text)]
+        last, count = -1, 0
+        for token in greedy:
+            if last >= 0:
+                fits = known.get((last, token))
+                if not (self.fit(last, token) if fits is None else fits):
+                    break
+            last = token
+            count += 1
+        ids = greedy[:count]
+        at = sum(map(len, map(bytes_of.__getitem__, ids)))
+        if at == end:
+            return ids
+        if count == len(greedy):
+            raise KeyError(piece)  # a gap between matches
         dead = bytearray(end + 1)
-        ids: list[int] = []
-        at = 0
-        token = self._longest(text, 0)
+        token: int | None = greedy[count]
         while True:
             last = ids[-1] if ids else -1
             while token is not None:
                 stop = at + len(bytes_of[token])
-                if not dead[stop] and (last < 0 or fit(last, token)):
+                if not dead[stop] and (last < 0 or self.fit(last, token)):
                     break
                 token = shorter.get(token)
             if token is not None:
@@ -131,8 +148,8 @@ class Vocabulary:
 
     def _longest(self, text: str, at: int) -> int | None:
         """The longest token that starts at ``at``."""
-        for stop, (i, n) in self.automaton.iter_long(text, at, min(len(text), at + self.reach)):
-            return i if stop - n + 1 == at else None
+        for stop, i in self.automaton.iter_long(text, at, min(len(text), at + self.reach)):
+            return i if stop - len(self.bytes_of[i]) + 1 == at else None
         return None
 
 
@@ -143,13 +160,18 @@ def _encoder(shared, pattern: str):
         ranks, name = shared.value
 
         class Pieces(dict):
-            """piece -> its ids; forgets all when full, so that memory is bounded."""
+            """piece -> its ids, in two generations of a bounded size."""
+
+            before: dict[str, tuple[int, ...]] = {}
 
             def __missing__(self, piece: str) -> tuple[int, ...]:
-                if len(self) >= PIECES_KEPT:
-                    self.clear()
-                ids = tuple(vocabulary.encode(piece.encode()))
+                ids = self.before.get(piece)
+                if ids is None:
+                    ids = tuple(vocabulary.encode(piece.encode()))
                 if len(piece) < 64:
+                    if len(self) >= PIECES_KEPT:
+                        self.before = dict(self)
+                        self.clear()
                     self[piece] = ids
                 return ids
 
@@ -161,14 +183,14 @@ def _encoder(shared, pattern: str):
         ids_of = pieces[0].__getitem__
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
-            for at in _slices(texts):
+            for at in _slices(pc.fill_null(pc.binary_length(texts), 0)):
                 part = batch.slice(*at)
-                ids = [
-                    pa.array(list(chain.from_iterable(map(ids_of, found(text or "")))), pa.int32())
-                    for text in part.column(part.num_columns - 1).to_pylist()
-                ]
-                offsets = pa.array([0, *_running(map(len, ids))], pa.int32())
-                values = pa.concat_arrays(ids) if ids else pa.array([], pa.int32())
+                flat = array("i")
+                stops = [0]
+                for text in part.column(part.num_columns - 1).to_pylist():
+                    flat.extend(chain.from_iterable(map(ids_of, found(text or ""))))
+                    stops.append(len(flat))
+                offsets, values = pa.array(stops, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if flat else [], pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[:-1], pa.ListArray.from_arrays(offsets, values)], names=[*part.schema.names[:-1], "_ids"]
                 )
@@ -183,16 +205,16 @@ def _running(sizes) -> Iterator[int]:
         yield total
 
 
-def _slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+def _slices(sizes: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """(offset, length) of runs of rows of about ``most`` bytes; a longer row stands alone."""
     start = size = 0
-    for i, n in enumerate(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+    for i, n in enumerate(sizes.to_pylist()):
         if size and size + n > most:
             yield start, i - start
             start, size = i, 0
         size += n
-    if len(column):
-        yield start, len(column) - start
+    if len(sizes):
+        yield start, len(sizes) - start
 
 
 def _decoder(shared):
@@ -200,8 +222,14 @@ def _decoder(shared):
         ranks, name = shared.value
         table = once(("bpe bytes", name), lambda: {i: t for t, i in ranks.items()})
         for batch in batches:
-            rows = [None if ids is None else b"".join(map(table.__getitem__, ids)) for ids in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, pa.binary())], names=[*batch.schema.names[:-1], "_bytes"])
+            column = batch.column(batch.num_columns - 1)
+            for at, n in _slices(pc.multiply(pc.fill_null(pc.list_value_length(column), 0), 4)):
+                part = column.slice(at, n)
+                tokens = list(map(table.__getitem__, part.flatten().to_numpy().tolist()))
+                stops = list(_running(pc.fill_null(pc.list_value_length(part), 0).to_pylist()))
+                rows = [b"".join(tokens[a:b]) if known else None for a, b, known in zip([0, *stops], stops, part.is_valid().to_pylist(), strict=False)]
+                rest = batch.slice(at, n).columns[:-1]
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(rows, pa.binary())], names=[*batch.schema.names[:-1], "_bytes"])
 
     return run
 
