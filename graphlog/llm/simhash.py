@@ -14,6 +14,7 @@ slices, each its own task, so that it is searched whole with bounded memory.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -27,10 +28,32 @@ from graphlog.storage import materialise
 
 BUCKET_ROWS = 4096
 BITS = 64
+WIDE = 8  # words of a wide fingerprint: 512 bits
 
 
-def _prints(size: int, fold: bool):
-    """Arrow batches of (text) -> (fingerprint) in the same order, as signed longs."""
+def _votes(h: np.ndarray) -> np.ndarray:
+    """How many of the words have each bit set, lowest bit first."""
+    total = np.zeros(BITS, np.int64)
+    for at in range(0, len(h), 1 << 15):
+        ones = np.unpackbits(np.ascontiguousarray(h[at:at + (1 << 15)]).view(np.uint8), bitorder="little").view(np.uint64).reshape(-1, 8)
+        full = len(ones) // 255 * 255  # 255 rows of bytes 0 or 1 add up without a carry
+        if full:
+            total += ones[:full].reshape(-1, 255, 8).sum(axis=1).view(np.uint8).reshape(-1, BITS).sum(axis=0, dtype=np.int64)
+        if full < len(ones):
+            total += ones[full:].sum(axis=0).view(np.uint8).astype(np.int64)
+    return total
+
+
+def _remix(h: np.ndarray, k: int) -> np.ndarray:
+    """The k-th independent-looking value of each hash."""
+    x = h + np.uint64((0x9E3779B97F4A7C15 * k) & (2**64 - 1))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _prints(size: int, fold: bool, wide: int):
+    """Arrow batches of (keys.., text) -> (keys.., fingerprint, wide fingerprint or null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
@@ -40,41 +63,42 @@ def _prints(size: int, fold: bool):
         word = re.compile(rb"[^\x20\x09-\x0D]+")
         digest = xxhash.xxh64_intdigest
 
-        def of(text: str | None) -> int:
-            words = word.findall((text or "").encode("utf-8", "surrogatepass").lower() if fold else (text or "").encode())
+        def of(text: str | None) -> bytes:
+            data = (text or "").encode()
+            words = word.findall(data.lower() if fold else data)
             if not words:
-                return 0
+                return bytes(8 * max(1, wide))
             n = max(1, len(words) - size + 1)
             joined = memoryview(b" ".join(words))
             ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
             starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
-            stops = ends[-n:].tolist()
-            votes = np.zeros(BITS, np.int64)
-            for at in range(0, n, 1 << 16):  # long texts by pieces
-                part = range(at, min(n, at + (1 << 16)))
-                h = np.fromiter((digest(joined[starts[i]:stops[i]], 42) for i in part), np.uint64, len(part))
-                votes += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-            return int(np.packbits(votes * 2 > n, bitorder="little").view(np.int64)[0])
+            h = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, ends[-n:].tolist(), strict=True)), np.uint64, n)
+            votes = [_votes(h), *[_votes(_remix(h, k)) for k in range(1, wide)]]
+            return np.packbits(np.concatenate(votes) * 2 > n, bitorder="little").tobytes()
 
         for batch in batches:
-            made = [of(t.as_py()) for t in batch.column(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made, pa.int64())], names=[*batch.schema.names[:-1], "_print"])
+            made = [of(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            low = np.frombuffer(b"".join(x[:8] for x in made), np.int64)
+            more = pa.array(made if wide else [None] * len(made), pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(low), more], names=[*batch.schema.names[:-1], "_print", "_wide"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, keep: list[str], text: str = "text", out: str = "fingerprint", words: int = 3,
-                 fold: bool = True) -> DataFrame:
+                 fold: bool = True, wide: str | None = None) -> DataFrame:
     """The columns ``keep`` and a long fingerprint of ``text``, a row per row.
 
     ``fold`` lower-cases A-Z. A text of fewer than ``words`` words is one
     shingle; one without words, an empty and a null text have fingerprint 0.
+    ``wide`` names a column for a fingerprint of 512 bits that begins with it.
     """
     names = [f"_k{i}" for i in range(len(keep))]
     source = docs.select(*[col(c).alias(n) for c, n in zip(keep, names, strict=True)], col(text).cast("string").alias("_text"))
-    schema = source.drop("_text").schema.add("_print", "long")
-    made = source.mapInArrow(_prints(words, fold), schema)
-    return made.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], F.col("_print").alias(out))
+    schema = source.drop("_text").schema.add("_print", "long").add("_wide", "binary")
+    made = source.mapInArrow(_prints(words, fold, WIDE if wide else 0), schema)
+    more = [F.col("_wide").alias(wide)] if wide else []
+    return made.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], F.col("_print").alias(out), *more)
 
 
 def _edges(parts: int) -> list[tuple[int, int]]:
@@ -83,59 +107,60 @@ def _edges(parts: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def _forest(a: np.ndarray, b: np.ndarray | None, distance: int) -> Iterator[tuple[int, int]]:
-    """Links that span each component of the pairs within ``a``, or between ``a`` and ``b``."""
-    both = a if b is None else np.concatenate([a, b])
-    tree = np.arange(len(both))
-    for i in range(len(a)):
-        first = i + 1 if b is None else len(a)
-        near = first + np.flatnonzero(np.bitwise_count(both[first:] ^ a[i]) <= distance)
+def _forest(nodes: np.ndarray, prints: np.ndarray, cut: int | None, distance: int) -> Iterator[tuple[int, int]]:
+    """Links that span each component of the pairs of rows, or of pairs across ``cut``."""
+    tree = np.arange(len(nodes))
+    for i in range(len(nodes) if cut is None else cut):
+        first = i + 1 if cut is None else cut
+        near = first + np.flatnonzero(np.bitwise_count(prints[first:] ^ prints[i]).sum(axis=1) <= distance)
         near = near[tree[near] != tree[i]]
         while len(near):  # one link for each tree that is met, at most rows - 1 in all
-            yield int(both[i]), int(both[near[0]])
+            yield int(nodes[i]), int(nodes[near[0]])
             tree[tree == tree[near[0]]] = tree[i]
             near = near[tree[near] != tree[i]]
 
 
-def _scan(distance: int):
-    """Batches sorted by (_set, _key, _a, _b, _side): links of each bucket, one at a time."""
+def _scan(group: list[str], distance: int):
+    """Batches sorted by ``group``: the links of each group, one group in memory at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         key = None
         links: list[tuple[int, int]] = []
 
         def close() -> None:
-            rows = np.concatenate(held)
-            if len(rows) < 2:
-                return
-            prints, side = rows[:, 0].view(np.uint64), rows[:, 1]
-            if side.any():
-                links.extend(_forest(prints[side == 1], prints[side == 2], distance))
-            else:
-                links.extend(_forest(prints, None, distance))
+            side, nodes, prints = (np.concatenate(x) for x in zip(*held, strict=True))
+            if len(nodes) > 1:
+                order = np.argsort(side, kind="stable")
+                cut = int((side == 1).sum()) if side.any() else None
+                links.extend(_forest(nodes[order], prints[order], cut, distance))
 
         def flush() -> pa.RecordBatch:
-            pairs = np.array(links, np.uint64).reshape(-1, 2).view(np.int64)
+            pairs = np.array(links, np.int64).reshape(-1, 2)
             links.clear()
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["src", "dst"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [batch.column(n).to_numpy(zero_copy_only=False) for n in ("_set", "_key", "_a", "_b")]
-            rows = np.stack([batch.column(n).to_numpy(zero_copy_only=False) for n in ("_print", "_side")], axis=1)
-            change = np.zeros(len(rows), bool)
+            cols = [batch.column(n).to_numpy(zero_copy_only=False) for n in group]
+            side, nodes = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("_side", "_node"))
+            bits = batch.column("_bits")
+            if pa.types.is_integer(bits.type):
+                prints = bits.to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, 1)
+            else:
+                prints = np.frombuffer(b"".join(bits.to_pylist()), np.uint64).reshape(len(nodes), -1)
+            change = np.zeros(len(nodes), bool)
             for c in cols:
                 change[1:] |= c[1:] != c[:-1]
-            cuts = [0, *np.flatnonzero(change).tolist(), len(rows)]
+            cuts = [0, *np.flatnonzero(change).tolist(), len(nodes)]
             for s, e in zip(cuts, cuts[1:], strict=False):
                 here = tuple(int(c[s]) for c in cols)
                 if here != key and held:
                     close()
                     held = []
                 key = here
-                held.append(rows[s:e])
+                held.append((side[s:e], nodes[s:e], prints[s:e]))
             if len(links) > 1 << 16:
                 yield flush()
         if held:
@@ -145,26 +170,11 @@ def _scan(distance: int):
     return run
 
 
-def links(prints: DataFrame, column: str = "fingerprint", distance: int = 3, parts: int = 6,
-          bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """(src, dst): links whose components are those of all pairs within ``distance`` bits.
-
-    ``prints`` may repeat a fingerprint; nulls take no part.
-    """
-    if not 0 <= distance < parts <= BITS:
-        raise ValueError("need 0 <= distance < parts <= 64")
-    one = prints.select(col(column).alias("_print")).filter("_print IS NOT NULL").distinct()
-    blocks = _edges(parts)
-    keys = []
-    for chosen in combinations(range(parts), parts - distance):
-        mask = sum(((1 << blocks[i][1]) - 1) << blocks[i][0] for i in chosen)
-        signed = mask - (1 << 64) if mask >> 63 else mask
-        keys.append(F.col("_print").bitwiseAND(F.lit(signed)))
-    keyed = one.select("_print", F.posexplode(F.array(*keys)).alias("_set", "_key"))
-    sizes = keyed.groupBy("_set", "_key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    shared = keyed.join(sizes, ["_set", "_key"])
-    slices = F.ceil(F.col("_n") / F.lit(bucket_rows)).cast("int")
-    own = F.pmod(F.xxhash64("_print"), slices).cast("int")
+def _linked(members: DataFrame, group: list[str], distance: int, rows: int) -> DataFrame:
+    """(src, dst) links between the members (*group, _node, _bits) of each group."""
+    sizes = members.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    slices = F.ceil(F.col("_n") / F.lit(rows)).cast("int")
+    own = F.pmod(F.xxhash64("_node"), slices).cast("int")
     # (a, b): the pair of slices compared; side 0 within one slice, 1 and 2 between two
     tasks = F.transform(
         F.sequence(F.lit(0), slices - 1),
@@ -173,11 +183,42 @@ def links(prints: DataFrame, column: str = "fingerprint", distance: int = 3, par
             F.when(own == o, 0).when(own < o, 1).otherwise(2).alias("_side"),
         ),
     )
-    dealt = shared.select("_print", "_set", "_key", F.inline(tasks))
-    group = ["_set", "_key", "_a", "_b"]
-    # the shuffle of the sizes serves the join; only slices of a large bucket need another
-    sorted_rows = dealt.repartition(*group).sortWithinPartitions(*group)
-    return sorted_rows.mapInArrow(_scan(distance), "src long, dst long").distinct()
+    dealt = members.join(sizes, group).select("_node", "_bits", *group, F.inline(tasks))
+    keys = [*group, "_a", "_b"]
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_scan(keys, distance), "src long, dst long").distinct()
+
+
+def links(prints: DataFrame, column: str = "fingerprint", distance: int = 3, parts: int = 6, agree: int | None = None,
+          bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """(src, dst): links whose components are those of all pairs within ``distance`` bits.
+
+    A key is made of ``agree`` of ``parts`` blocks, ``parts - distance``
+    unless given. With more than that, pairs beyond ``parts - agree`` bits are
+    found only if they happen to agree in as many blocks. ``prints`` may
+    repeat a fingerprint; nulls take no part.
+    """
+    agree = parts - distance if agree is None else agree
+    if not 0 < agree <= parts <= BITS:
+        raise ValueError("need 0 < agree <= parts <= 64")
+    one = prints.select(col(column).alias("_node")).filter("_node IS NOT NULL").distinct()
+    blocks = _edges(parts)
+    keys = []
+    for chosen in combinations(range(parts), agree):
+        mask = sum(((1 << blocks[i][1]) - 1) << blocks[i][0] for i in chosen)
+        keys.append(F.col("_node").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)))
+    keyed = one.select("_node", F.posexplode(F.array(*keys)).alias("_set", "_key"))
+    return _linked(keyed.withColumn("_bits", F.col("_node")), ["_set", "_key"], distance, bucket_rows)
+
+
+def alike(prints: DataFrame, wide: str, root: str, similarity: float, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """(src, dst) links between wide fingerprints of one ``root``; nodes are their 64-bit hashes.
+
+    Sets that share a fraction s of their union have cosine 2s / (1 + s), and
+    bits differ with the probability angle / pi.
+    """
+    bits = round(WIDE * BITS * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+    members = prints.select(col(root).alias("_root"), F.xxhash64(col(wide)).alias("_node"), col(wide).alias("_bits")).distinct()
+    return _linked(members, ["_root"], bits, bucket_rows)
 
 
 def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -242,17 +283,26 @@ def hexed(fingerprint) -> F.Column:
     return F.lpad(F.lower(F.hex(fingerprint)), 16, "0")
 
 
-def deduplicate(docs: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = 5, distance: int = 3,
-                parts: int = 6) -> DataFrame:
-    """One row of each component: that of the smallest id (nulls last), then of the smallest text hash.
+def deduplicate(docs: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8,
+                distance: int = 9, parts: int = 10, agree: int = 3) -> DataFrame:
+    """One row of each group of near copies: that of the smallest id (nulls last), then of the smallest text hash.
 
-    Columns stay as they are. Texts cross one shuffle, on their row's key.
+    Fingerprints within ``distance`` bits form candidate groups; inside each
+    group texts are linked if their wide fingerprints differ in no more bits
+    than ``similarity`` of their shingle sets allows. Columns stay as they
+    are; only the chosen rows' keys meet the texts.
     """
     key = [free_name(docs, n) for n in ("_nid", "_sid", "_txt")]
     value = [col(id_column).isNull(), F.coalesce(col(id_column).cast("string"), F.lit("")), F.xxhash64(col(text))]
     marked = docs.withColumns(dict(zip(key, value, strict=True)))
     slim = docs.select(col(id_column).alias("_id"), col(text).alias("_t"), *[v.alias(k) for k, v in zip(key, value, strict=True)])
-    labels = groups(slim, "_id", "_t", words, distance, parts, key)
+    prints = materialise(fingerprints(slim, ["_id", *key], "_t", "_fp", words, wide="_w").withColumn("_node", F.xxhash64("_w")))
+    coarse = components(links(prints, "_fp", distance, parts, agree)).withColumnsRenamed({"node": "_fp", "component": "_near"})
+    alone = prints.groupBy("_fp").agg(F.min("_w").alias("_least"), F.max("_w").alias("_most")).filter("_least <> _most")
+    grouped = coarse.unionByName(alone.join(coarse, "_fp", "left_anti").select("_fp", F.col("_fp").alias("_near")))
+    close = alike(prints.select("_fp", "_w").distinct().join(grouped, "_fp"), "_w", "_near", similarity)
+    tied = components(close).withColumnsRenamed({"node": "_node", "component": "_root"})
+    labels = prints.join(tied, "_node", "left").withColumn("_root", F.coalesce("_root", "_node"))
     order = F.struct(col(key[0]), F.col("_id"), col(key[2]), col(key[1]))
-    chosen = labels.groupBy("root").agg(F.min(order).alias("_m")).select(*[F.col(f"_m.{k}").alias(k) for k in key]).distinct()
+    chosen = labels.groupBy("_root").agg(F.min(order).alias("_m")).select(*[F.col(f"_m.{k}").alias(k) for k in key]).distinct()
     return marked.join(chosen, key, "left_semi").dropDuplicates(key).select(*[col(c) for c in docs.columns])
