@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlog.llm import bpe, lines, mix, rules, shards, simhash
+from graphlog.llm import bitslice, bpe, lines, lm, mix, rules, shards, simhash, unigram
 from graphlog.llm.common import table
 from graphlog.storage import materialise
 
@@ -61,6 +61,11 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digest(docs, path, public_tokenizers.PATTERN).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+@query("op3_lm_scoring")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.score(table(spark, folder, "documents"))
+
+
 @query("op5_quality_rules", rules.SQL)
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     measured = materialise(rules.measure(table(spark, folder, "documents"), ["doc_id", "lang", "source"]))
@@ -69,11 +74,32 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return rules.judge(measured, limits).select("doc_id", *[f"stats.{c}" for c in counts], "base_failed", "kept")
 
 
+@query(
+    "op6_bit_sliced_top_k",
+    """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+        WHERE q.vec_id % 100 = 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+)
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    found = bitslice.top_k(vectors.filter("vec_id % 100 = 0"), bitslice.index(vectors))
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
+
+
 @query("op7_mix_sources", mix.SQL)
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return mix.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op8_token_counts")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return unigram.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"), ["doc_id"])
+
+
 @query("op9_simhash")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.groups(table(spark, folder, "documents").select("doc_id", "text"))
