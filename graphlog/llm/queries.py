@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlog.llm import bitslice, bpe, lines, lm, mix, rules, shards, simhash, unigram
+from graphlog.llm import bitslice, bpe, lines, lm, mix, repeats, rules, shards, simhash, unigram
 from graphlog.llm.common import table
 from graphlog.storage import materialise
 
@@ -66,6 +66,17 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return lm.score(table(spark, folder, "documents"))
 
 
+@query("op4_suffix_array_dedup")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    done = repeats.remove_repeats(docs)
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return done.select(
+        "doc_id", n_bytes.alias("n_bytes"), (n_bytes - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query("op5_quality_rules", rules.SQL)
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     measured = materialise(rules.measure(table(spark, folder, "documents"), ["doc_id", "lang", "source"]))
