@@ -26,10 +26,10 @@ from graphlog.llm.common import col, free_name
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 #: rate -> (numerator, denominator, scale, least spread of its fence, whether low values are judged too)
 RATES = {
-    "word_length": ("word_chars", "n_words", 1000, 500, True),
+    "word_length": ("word_chars", "n_words", 1000, 700, True),
     "symbols": ("n_symbols", "word_chars", 100_000, 1000, False),
-    "dup_lines": ("n_dup_lines", "n_lines", 1000, 50, False),
-    "repeats": ("n_repeat_words", "n_words", 1000, 20, False),
+    "dup_lines": ("n_dup_lines", "n_lines", 1000, 100, False),
+    "repeats": ("n_repeat_words", "n_words", 1000, 30, False),
 }
 SPREADS = 6
 LEAST_GROUP = 200
@@ -185,10 +185,10 @@ s AS (SELECT d.rid, doc_id, lang, source, len(w)::BIGINT AS n_words, coalesce(li
     FROM d LEFT JOIN rw USING (rid) LEFT JOIN ld USING (rid)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM s),
 v AS (SELECT rid, lang, source, base_failed, unnest([
-    {'rate': 'word_length', 'v': CASE WHEN n_words > 0 THEN 1000 * word_chars // n_words ELSE 0 END, 'least': 500, 'low_too': true},
+    {'rate': 'word_length', 'v': CASE WHEN n_words > 0 THEN 1000 * word_chars // n_words ELSE 0 END, 'least': 700, 'low_too': true},
     {'rate': 'symbols', 'v': CASE WHEN word_chars > 0 THEN 100000 * n_symbols // word_chars ELSE 0 END, 'least': 1000, 'low_too': false},
-    {'rate': 'dup_lines', 'v': CASE WHEN n_lines > 0 THEN 1000 * n_dup_lines // n_lines ELSE 0 END, 'least': 50, 'low_too': false},
-    {'rate': 'repeats', 'v': CASE WHEN n_words > 0 THEN 1000 * n_repeat_words // n_words ELSE 0 END, 'least': 20, 'low_too': false}], recursive := true) FROM b),
+    {'rate': 'dup_lines', 'v': CASE WHEN n_lines > 0 THEN 1000 * n_dup_lines // n_lines ELSE 0 END, 'least': 100, 'low_too': false},
+    {'rate': 'repeats', 'v': CASE WHEN n_words > 0 THEN 1000 * n_repeat_words // n_words ELSE 0 END, 'least': 30, 'low_too': false}], recursive := true) FROM b),
 x AS (SELECT *, greatest(length(bin(v)) - 6, 0) AS sh FROM v),
 p AS (SELECT *, (((v >> sh) + 1) << sh) - 1 AS bv FROM x),
 q AS (SELECT *, quantile_disc(bv, 0.25) OVER own AS a1, quantile_disc(bv, 0.75) OVER own AS b1, count(*) OVER own AS c1,
