@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphlog.llm.common import WORD, col, spread
+from graphlog.llm.common import WORD, col, serve, spread
 from graphlog.storage import materialise
 
 SLICE_BYTES = 6 << 20
@@ -86,6 +86,8 @@ class _Hashed:
 def _known():
     import xxhash
 
+    serve("lm")
+
     class Hashes(dict):
         def __missing__(self, word: str) -> int:
             if len(self) > 200_000:
@@ -249,8 +251,8 @@ def _look_up(buckets: int, back: int, frequent):
                     pairs = np.repeat(np.frombuffer(r["pairs"], np.uint64).reshape(-1, 2), sizes, axis=0)[here]
                     # take back the context and put the last word in its place
                     words, doc = pairs.T.reshape(-1), np.tile(docs[here], 2)
-                    hit, worth = _common(frequent.value, 1, words)
-                    size += add(r["batch"], np.bincount(doc[hit], weights=worth[hit], minlength=1).astype(np.int64))
+                    hit, usual = _common(frequent.value, 1, words)
+                    size += add(r["batch"], np.bincount(doc[hit], weights=usual[hit], minlength=1).astype(np.int64))
                     rest = ~hit
                     missing.extend(_packed(words[rest], doc[rest], rest[rest], False, buckets, n=1, sign=1, batch=r["batch"]))
 
