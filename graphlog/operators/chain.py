@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphlog.functions.literals import canonical_json
-from graphlog.model import CHUNK_ROWS, SNAPSHOT
-from graphlog.operators.runs import numbered, running
+from graphlog.functions.literals import canonical_json, overlay
+from graphlog.model import CHUNK_ROWS, SNAPSHOT, TOMBSTONE
+from graphlog.operators.log import TOMBSTONED
+from graphlog.operators.runs import running
 from graphlog.storage import materialise, scratch_path
 
 SENTINEL = "GENESIS"
@@ -89,18 +90,23 @@ def build_chain(
     return spark.read.schema(schema).option("basePath", out).parquet(out)
 
 
-def verify_chain(events: DataFrame, sentinel: str = SENTINEL, chunk: int = CHUNK_ROWS) -> DataFrame:
+def verify_chain(
+    events: DataFrame, sentinel: str = SENTINEL, chunk: int = CHUNK_ROWS, tenants: DataFrame | None = None
+) -> DataFrame:
     """Per tenant: valid, events checked before a break, and the first break.
 
     Each stored hash is recomputed from the stored one before it, so all rows
-    are checked at once.
+    are checked at once. A missing hash is a break. ``tenants`` (model_id,
+    hash_chain) leaves out those whose chain is off.
     """
-    rows = events.filter((F.col("event_type") != SNAPSHOT) & F.col("prev_hash").isNotNull())
+    rows = events.filter(F.col("event_type") != SNAPSHOT)
+    if tenants is not None:
+        rows = rows.join(tenants.filter("hash_chain").select("model_id"), "model_id", "left_semi")
     rows = rows.select("model_id", "seq", "prev_hash", canonical_json(F.col("payload")).alias("_text"))
     linked = running(rows, ["model_id"], "seq", {"_before": ("last", F.col("prev_hash"))}, inclusive=False, chunk=chunk)
     expected = F.sha2(F.concat(F.coalesce("_before", F.lit(genesis(sentinel))), F.col("_text")), 256)
     checked = linked.withColumn("_expected", expected)
-    bad = F.col("_expected") != F.col("prev_hash")
+    bad = ~F.col("_expected").eqNullSafe(F.col("prev_hash"))
     breaks = checked.filter(bad).groupBy("model_id").agg(
         F.min_by(F.struct(F.col("seq").alias("broken_seq"), F.col("_expected").alias("expected"),
                           F.col("prev_hash").alias("actual")), "seq").alias("_b")
@@ -115,26 +121,27 @@ def verify_chain(events: DataFrame, sentinel: str = SENTINEL, chunk: int = CHUNK
 
 
 def latest_per_entity(events: DataFrame) -> DataFrame:
-    """Last event before compaction of each node or edge."""
+    """Last event of each node or edge, its tombstone mark included."""
     rows = events.filter(F.col("event_type") != SNAPSHOT)
     rows = rows.withColumn("_entity", F.coalesce("node", "edge") if "edge" in events.columns else F.col("node"))
-    last = F.max_by(F.struct("node", *(["edge"] if "edge" in events.columns else []), "type", "payload"), "seq")
-    return rows.groupBy("model_id", "_entity").agg(last.alias("_l")).select("model_id", "_entity", "_l.*")
+    last = F.max_by(F.struct("node", *(["edge"] if "edge" in events.columns else []), "type", "payload", "seq"), "seq")
+    found = rows.groupBy("model_id", "_entity").agg(last.alias("_l"), F.bool_or(F.col("operation") == TOMBSTONE).alias("_gone"))
+    found = found.select("model_id", "_entity", "_l.*", "_gone")
+    mark = F.create_map(F.lit(TOMBSTONED), F.lit("true"))
+    return found.withColumn("payload", F.when(F.col("_gone"), overlay(F.col("payload"), mark)).otherwise(F.col("payload"))).drop("_gone")
 
 
-def compact(events: DataFrame, boundary: Column, first_seq: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(new log, counts): one SNAPSHOT event per entity replaces older events.
+def compact(events: DataFrame, boundary: Column) -> tuple[DataFrame, DataFrame]:
+    """(new log, counts): one SNAPSHOT event per entity replaces its events before ``boundary``.
 
-    Snapshot numbers follow the tenant's last event, ordered by entity; an
-    entity number comes from counting entities by hash range, not from one
-    window over the tenant.
+    A snapshot is stamped ``boundary`` and takes the number of the last event
+    it replaces, so it stands below every event that is kept and the state at
+    any instant from the boundary on is what it was.
     """
-    entities = latest_per_entity(events)
-    heads = first_seq if first_seq is not None else events.groupBy("model_id").agg(F.max("seq").alias("_head"))
-    named = numbered(entities, "model_id", ["_entity"], out="_position").join(heads, "model_id")
+    old = (F.col("event_type") != SNAPSHOT) & (F.col("event_time") < boundary)
+    entities = latest_per_entity(events.filter(old))
     columns = events.columns
     values = {
-        "seq": F.col("_head") + F.col("_position"),
         "event_time": boundary,
         "event_type": F.lit(SNAPSHOT),
         "operation": F.lit(SNAPSHOT),
@@ -144,8 +151,8 @@ def compact(events: DataFrame, boundary: Column, first_seq: DataFrame | None = N
         "confidence": F.lit(1).cast("decimal(4,3)"),
         "event_id": F.concat_ws(":", F.lit("snapshot"), "model_id", "_entity"),
     }
-    made = ["model_id", "node", "edge", "type", "payload"]
-    snapshot = named.select(
+    made = ["model_id", "node", "edge", "type", "payload", "seq"]
+    snapshot = entities.select(
         *[
             F.col(c) if c in made
             else values[c].cast(events.schema[c].dataType).alias(c) if c in values
@@ -153,7 +160,6 @@ def compact(events: DataFrame, boundary: Column, first_seq: DataFrame | None = N
             for c in columns
         ]
     )
-    old = (F.col("event_type") != SNAPSHOT) & (F.col("event_time") < boundary)
     log = events.filter(~old).unionByName(snapshot)
     counts = entities.groupBy("model_id").agg(F.count(F.lit(1)).alias("written")).join(
         events.filter(old).groupBy("model_id").agg(F.count(F.lit(1)).alias("deleted")), "model_id", "left"

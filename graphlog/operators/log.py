@@ -15,6 +15,7 @@ from graphlog.model import (
     EDGE_PREFIX,
     IDENTIFIER,
     OPERATIONS,
+    OWNED_KEYS,
     SNAPSHOT,
     SOURCE_TYPES,
     TOMBSTONE,
@@ -61,6 +62,25 @@ def event_type() -> Column:
     return F.concat_ws("_", F.col("operation"), F.when(is_edge(), F.lit("EDGE")).otherwise(F.lit("NODE")))
 
 
+TOMBSTONED = "_tombstoned"
+
+
+def writes_of(mutations: DataFrame) -> DataFrame:
+    """``mutations`` with the payload that takes effect.
+
+    A TOMBSTONE writes its mark and nothing else, and the mark stays; keys the
+    log owns are never taken from a caller.
+    """
+    empty = F.create_map().cast("map<string,string>")
+    mark = F.create_map(F.lit(TOMBSTONED), F.lit("true"))
+    own = F.map_filter(F.coalesce("payload", empty), lambda k, v: ~k.isin(OWNED_KEYS))
+    return mutations.withColumn("payload", F.when(F.col("operation") == TOMBSTONE, mark).otherwise(own))
+
+
+def is_tombstoned(payload: Column) -> Column:
+    return F.coalesce(payload[TOMBSTONED] == "true", F.lit(False))
+
+
 def deltas(mutations: DataFrame, chunk: int = CHUNK_ROWS, large: DataFrame | None = None) -> DataFrame:
     """Add ``delta``: the whole payload of a CREATE, the changed keys of an
     UPDATE, a marker for a TOMBSTONE.
@@ -71,14 +91,15 @@ def deltas(mutations: DataFrame, chunk: int = CHUNK_ROWS, large: DataFrame | Non
     if large is None:
         large = large_groups(mutations, NODE, chunk)
     key = NODE + ["_key"]
-    writes = mutations.select(*NODE, "seq", "operation", F.explode("payload").alias("_key", "_value"))
+    effective = writes_of(mutations)
+    writes = effective.select(*NODE, "seq", "operation", F.explode("payload").alias("_key", "_value"))
     seen = running(writes, key, "seq", {"_old": ("last", F.col("_value"))}, inclusive=False, chunk=chunk, large=large)
     changed = seen.filter((F.col("operation") == CREATE) | ~F.col("_value").eqNullSafe(F.col("_old")))
     per_row = changed.groupBy(*NODE, "seq").agg(
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("_key", "_value")))).alias("_changed")
     )
     empty = F.create_map().cast("map<string,string>")
-    marker = F.create_map(F.lit("_tombstoned"), F.lit("true"))
+    marker = F.create_map(F.lit(TOMBSTONED), F.lit("true"))
     delta = F.when(F.col("operation") == TOMBSTONE, marker).otherwise(F.coalesce("_changed", empty))
     return mutations.join(per_row, NODE + ["seq"], "left").withColumn("delta", delta).drop("_changed")
 
@@ -91,14 +112,24 @@ def histories(
 ) -> DataFrame:
     """Replace ``payload`` by the node's full state after each mutation.
 
-    ``keys`` are the property names to carry forward (the registry's): each
-    is one running column, all in one window pass.
+    ``keys`` are the property names that most writes use (the registry's):
+    each is one running column, all in one window pass. Nodes that ever write
+    another property carry those through :func:`open_histories`.
     """
-    wanted = {f"_v{i}": ("last", F.col("payload")[k]) for i, k in enumerate(keys)}
-    filled = running(mutations, NODE, "seq", wanted, chunk=chunk, large=large)
-    entries = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"_v{i}").alias("v")) for i, k in enumerate(keys)])
+    effective = writes_of(mutations)
+    listed = [*dict.fromkeys(keys), *([] if TOMBSTONED in keys else [TOMBSTONED])]
+    wanted = {f"_v{i}": ("last", F.col("payload")[k]) for i, k in enumerate(listed)}
+    filled = running(effective, NODE, "seq", wanted, chunk=chunk, large=large)
+    entries = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"_v{i}").alias("v")) for i, k in enumerate(listed)])
     state = F.map_from_entries(F.filter(entries, lambda e: e["v"].isNotNull()))
-    return filled.withColumn("payload", state).drop(*wanted)
+    filled = filled.withColumn("payload", state).drop(*wanted)
+
+    others = effective.select(*NODE, "seq", "operation", F.map_filter("payload", lambda k, v: ~k.isin(listed)).alias("payload"))
+    unlisted = others.filter(F.size("payload") > 0).select(*NODE).distinct()
+    rest = _carry_all(others.join(unlisted, NODE, "left_semi"), chunk, large).select(*NODE, "seq", F.col("payload").alias("_rest"))
+    both = filled.join(rest, NODE + ["seq"], "left")
+    merged = F.when(F.col("_rest").isNull(), F.col("payload")).otherwise(overlay(F.col("_rest"), F.col("payload")))
+    return both.withColumn("payload", merged).select(*mutations.columns)
 
 
 def _fold(batches: Iterator[pd.DataFrame], keep_first: bool) -> Iterator[pd.DataFrame]:
@@ -118,7 +149,12 @@ def _fold(batches: Iterator[pd.DataFrame], keep_first: bool) -> Iterator[pd.Data
 
 
 def open_histories(mutations: DataFrame, chunk: int = CHUNK_ROWS, large: DataFrame | None = None) -> DataFrame:
-    """``histories`` for property names that no registry lists.
+    """``histories`` for property names that no registry lists."""
+    return _carry_all(writes_of(mutations), chunk, large)
+
+
+def _carry_all(mutations: DataFrame, chunk: int, large: DataFrame | None) -> DataFrame:
+    """Running merge of whole maps.
 
     Rows are sorted by node and order inside each partition and folded batch
     by batch. A large node is cut into pieces; each piece starts from the
@@ -161,12 +197,12 @@ def state_at(events: DataFrame, at: Column, node: str | None = None, model_id: s
     if node is not None:
         past = past.filter(F.col("node") == node)
     latest = past.groupBy(*NODE).agg(
-        F.max_by(F.struct("seq", "event_time", "operation", "payload"), "seq").alias("_last")
+        F.max_by(F.struct("seq", "event_time", "payload"), "seq").alias("_last"),
+        F.bool_or(F.col("operation") == TOMBSTONE).alias("_gone"),
     )
-    gone = F.col("_last.operation") == TOMBSTONE
-    state = F.when(
-        gone, overlay(F.col("_last.payload"), F.create_map(F.lit("_tombstoned"), F.lit("true")))
-    ).otherwise(F.col("_last.payload"))
+    gone = F.coalesce("_gone", F.lit(False)) | is_tombstoned(F.col("_last.payload"))
+    mark = F.create_map(F.lit(TOMBSTONED), F.lit("true"))
+    state = F.when(gone, overlay(F.col("_last.payload"), mark)).otherwise(F.col("_last.payload"))
     return latest.select(*NODE, "_last.seq", "_last.event_time", gone.alias("tombstoned"), state.alias("state"))
 
 
@@ -194,7 +230,7 @@ def state_as_of(events: DataFrame, probes: DataFrame, parts: int | None = None)
         .select(*by, F.col("_at").alias("as_of"), F.greatest("_run", "_pre").alias("seq"))
         .filter(F.col("seq").isNotNull())
     )
-    state = events.select(*by, "seq", "event_time", "operation", "payload")
+    state = events.select(*by, "seq", "event_time", "operation", "payload", is_tombstoned(F.col("payload")).alias("tombstoned"))
     hits = found.join(state, by + ["seq"])
     return probes.join(hits, by + ["as_of"], "left")
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphlog.functions.literals import overlay
 from graphlog.model import CHUNK_ROWS, CREATE, EDGE_PREFIX
 from graphlog.operators import log, reconcile, rules, shapes, state
 from graphlog.storage import materialise
@@ -75,8 +76,7 @@ def run_funnel(
         .otherwise(F.col("_lost"))
     )
     echo_text = F.concat(
-        F.lit("echo loop detected (origin_connector_id="), F.col("origin_connector_id"),
-        F.lit(", origin_change_id="), F.col("origin_change_id"), F.lit(")"),
+        F.lit("change "), F.col("origin_change_id"), F.lit(" of connector "), F.col("origin_connector_id"), F.lit(" came before"),
     )
     detail = F.coalesce(
         "error", F.when(F.col("echo"), echo_text), "reject_reason",
@@ -97,7 +97,9 @@ def run_funnel(
     changes = log.deltas(written, chunk).select("model_id", "seq", "delta")
     seeded = written
     if base is not None:
-        stored = base.select(*NODE, "seq", F.col("props").alias("payload"))
+        mark = F.create_map(F.lit(log.TOMBSTONED), F.lit("true"))
+        held = F.when(F.col("tombstoned"), overlay(F.col("props"), mark)).otherwise(F.col("props"))
+        stored = base.select(*NODE, "seq", held.alias("payload"))
         seeded = written.unionByName(stored, allowMissingColumns=True)
     states = log.histories(seeded, keys, chunk) if keys else log.open_histories(seeded, chunk)
     if base is not None:

@@ -27,7 +27,9 @@ def mutations(spark: SparkSession, folder: str) -> DataFrame:
     """Every event as a mutation of its user's node.
 
     A user's first event creates the node, some errors tombstone it, the rest
-    update it; every third update carries ``value`` only.
+    update it; every third update carries ``value`` only. Tombstones carry a
+    payload that must not count, some updates a key the log owns, and some a
+    property that ``STATE_KEYS`` does not list.
     """
     ev = table(spark, folder, "events")
     first = ev.groupBy("user_id").agg(F.min("event_id").alias("first_id"))
@@ -40,10 +42,12 @@ def mutations(spark: SparkSession, folder: str) -> DataFrame:
     k = F.regexp_extract("props", "[0-9]+", 0)
     full = F.create_map(F.lit("value"), F.col("value").cast("string"), F.lit("k"), k)
     part = F.create_map(F.lit("value"), F.col("value").cast("string"))
+    stray = F.create_map(F.lit("_created_at"), F.lit('"1970-01-01"'), F.lit("extra"), (F.col("event_id") % 100).cast("string"))
+    body = F.when((F.col("operation") == "UPDATE") & (F.col("event_id") % 3 == 0), part).otherwise(full)
     payload = (
-        F.when(F.col("operation") == "TOMBSTONE", F.create_map().cast("map<string,string>"))
-        .when((F.col("operation") == "UPDATE") & (F.col("event_id") % 3 == 0), part)
-        .otherwise(full)
+        F.when(F.col("operation") == "TOMBSTONE", F.create_map(F.lit("value"), F.lit("-1")))
+        .when((F.col("operation") == "UPDATE") & (F.col("event_id") % 11 == 0), F.map_concat(body, stray))
+        .otherwise(body)
     )
     return rows.select(
         F.concat(F.lit("t"), (F.col("user_id") % 3).cast("string")).alias("model_id"),
@@ -64,8 +68,9 @@ def mutations(spark: SparkSession, folder: str) -> DataFrame:
 
 SQL_MUTATIONS = """
 mut AS (
-  SELECT *, CASE WHEN op = 'TOMBSTONE' THEN NULL ELSE raw_value END AS value,
-         CASE WHEN op = 'TOMBSTONE' OR (op = 'UPDATE' AND seq % 3 = 0) THEN NULL ELSE raw_k END AS k
+  SELECT *, CASE WHEN op = 'TOMBSTONE' THEN NULL ELSE raw_value END AS value, CASE WHEN op = 'TOMBSTONE' THEN '-1' ELSE raw_value END AS sent,
+         CASE WHEN op = 'TOMBSTONE' OR (op = 'UPDATE' AND seq % 3 = 0) THEN NULL ELSE raw_k END AS k,
+         CASE WHEN op = 'UPDATE' AND seq % 11 = 0 THEN CAST(seq % 100 AS VARCHAR) END AS extra
   FROM (
     SELECT concat('t', user_id % 3) AS model_id, event_id AS seq, ts AS event_time,
            concat('user:', user_id) AS node, event_type AS source_system,
@@ -82,10 +87,11 @@ SQL_HISTORY = (
     + """,
 hist AS (
   SELECT model_id, node, seq, event_time, op, source_system, source_id, conn, change,
-         last_value(value IGNORE NULLS) OVER w AS value, last_value(k IGNORE NULLS) OVER w AS k
+         last_value(value IGNORE NULLS) OVER w AS value, last_value(k IGNORE NULLS) OVER w AS k,
+         last_value(extra IGNORE NULLS) OVER w AS extra, bool_or(op = 'TOMBSTONE') OVER w AS gone
   FROM mut WINDOW w AS (PARTITION BY model_id, node ORDER BY seq ROWS UNBOUNDED PRECEDING)),
 evt AS (
-  SELECT *, concat('{', concat_ws(',', '"k":' || k, '"value":' || value), '}') AS json,
+  SELECT *, concat('{', concat_ws(',', CASE WHEN gone THEN '"_tombstoned":true' END, '"extra":' || extra, '"k":' || k, '"value":' || value), '}') AS json,
          concat(op, '_NODE') AS event_type FROM hist)
 """
 )

@@ -104,6 +104,7 @@ def fold_incremental(spark, folder):
     + SQL_MUTATIONS
     + """, keyed AS (
        SELECT model_id, node, seq, op, 'k' AS key, k AS v FROM mut WHERE k IS NOT NULL
+       UNION ALL SELECT model_id, node, seq, op, 'extra', extra FROM mut WHERE extra IS NOT NULL
        UNION ALL SELECT model_id, node, seq, op, 'value', value FROM mut WHERE value IS NOT NULL),
      lagged AS (SELECT *, lag(v) OVER (PARTITION BY model_id, node, key ORDER BY seq) AS old FROM keyed),
      changed AS (SELECT model_id, node, seq, string_agg(concat('"', key, '":', v), ',' ORDER BY key) AS body
@@ -130,19 +131,19 @@ def event_types(spark, folder):
     return made.unionByName(placed).withColumn("event_type", log.event_type()).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-SQL_STATES = "SELECT model_id, node, seq, value, k FROM hist"
+SQL_STATES = "SELECT model_id, node, seq, json AS state FROM evt"
 
 
 @query("post_state_history", "WITH" + SQL_HISTORY + SQL_STATES)
 def post_state_history(spark, folder):
     found = log.histories(mutations(spark, folder), STATE_KEYS)
-    return found.select("model_id", "node", "seq", *state_columns(found))
+    return found.select("model_id", "node", "seq", canonical_json(F.col("payload")).alias("state"))
 
 
 @query("post_state_history_open", "WITH" + SQL_HISTORY + SQL_STATES)
 def post_state_history_open(spark, folder):
     found = log.open_histories(mutations(spark, folder))
-    return found.select("model_id", "node", "seq", *state_columns(found))
+    return found.select("model_id", "node", "seq", canonical_json(F.col("payload")).alias("state"))
 
 
 @query(
@@ -150,12 +151,12 @@ def post_state_history_open(spark, folder):
     "WITH"
     + SQL_HISTORY
     + """SELECT model_id, node, max(seq) AS seq, max_by(value, seq) AS value, max_by(k, seq) AS k,
-       max_by(op, seq) = 'TOMBSTONE' AS tombstoned FROM hist
+       max_by(extra, seq) AS extra, max_by(gone, seq) AS tombstoned FROM hist
        WHERE event_time <= TIMESTAMP '2024-01-20 00:00:00' GROUP BY model_id, node""",
 )
 def state_at(spark, folder):
     found = log.state_at(events(spark, folder), at("2024-01-20 00:00:00"))
-    return found.select("model_id", "node", "seq", *state_columns(found, "state"), "tombstoned")
+    return found.select("model_id", "node", "seq", *state_columns(found, "state"), F.col("state")["extra"].alias("extra"), "tombstoned")
 
 
 @query(
@@ -163,7 +164,7 @@ def state_at(spark, folder):
     "WITH"
     + SQL_HISTORY
     + """, probe AS (SELECT DISTINCT model_id, node, event_time + INTERVAL 6 HOUR AS as_of FROM mut)
-       SELECT p.model_id, p.node, epoch_us(p.as_of) AS as_of, h.seq, h.value, h.k
+       SELECT p.model_id, p.node, epoch_us(p.as_of) AS as_of, h.seq, h.value, h.k, h.gone AS tombstoned
        FROM probe p ASOF LEFT JOIN hist h ON p.model_id = h.model_id AND p.node = h.node AND p.as_of >= h.event_time""",
 )
 def state_as_of_join(spark, folder):
@@ -171,7 +172,7 @@ def state_as_of_join(spark, folder):
         "model_id", "node", (F.col("event_time") + F.expr("INTERVAL 6 HOURS")).alias("as_of")
     ).distinct()
     found = log.state_as_of(events(spark, folder), probes)
-    return found.select("model_id", "node", _micros("as_of"), "seq", *state_columns(found))
+    return found.select("model_id", "node", _micros("as_of"), "seq", *state_columns(found), "tombstoned")
 
 
 @query(
@@ -297,13 +298,14 @@ def chain_build(spark, folder):
     "WITH RECURSIVE"
     + SQL_HISTORY
     + SQL_CHAIN
-    + """, stored AS (SELECT l.model_id, l.seq, l.i, l.prev_hash,
+    + """, stored AS (SELECT l.model_id, l.seq, l.i,
+         CASE WHEN l.model_id = 't2' AND l.seq = (SELECT max(seq) FROM evt WHERE model_id = 't2') THEN NULL ELSE l.prev_hash END AS prev_hash,
          CASE WHEN e.model_id = 't1' AND e.op = 'TOMBSTONE' THEN concat(e.json, ' ') ELSE e.json END AS json
          FROM links l JOIN evt e USING (model_id, seq)),
      again AS (SELECT *, sha256(concat(coalesce(lag(prev_hash) OVER (PARTITION BY model_id ORDER BY seq), sha256('GENESIS')),
          CASE WHEN ends_with(json, ' ') THEN '{"k":0}' ELSE json END)) AS expected FROM stored),
      breaks AS (SELECT model_id, min(seq) AS broken_seq, min_by(expected, seq) AS expected, min_by(prev_hash, seq) AS actual
-         FROM again WHERE expected <> prev_hash GROUP BY model_id)
+         FROM again WHERE expected IS DISTINCT FROM prev_hash GROUP BY model_id)
      SELECT a.model_id, any_value(b.broken_seq) IS NULL AS valid,
         count(*) FILTER (WHERE b.broken_seq IS NULL OR a.seq < b.broken_seq) AS events_checked,
         any_value(b.broken_seq) AS broken_seq, any_value(b.expected) AS expected, any_value(b.actual) AS actual
@@ -314,12 +316,15 @@ def chain_verify(spark, folder):
     hashes = chain.build_chain(log_rows)
     tampered = (F.col("model_id") == "t1") & (F.col("operation") == "TOMBSTONE")
     payload = F.when(tampered, F.create_map(F.lit("k"), F.lit("0"))).otherwise(F.col("payload"))
-    stored = log_rows.join(hashes, ["model_id", "seq"]).withColumn("payload", payload)
+    tails = log_rows.filter("model_id = 't2'").agg(F.max("seq").alias("_tail"))
+    stored = log_rows.join(hashes, ["model_id", "seq"]).withColumn("payload", payload).join(F.broadcast(tails))
+    stripped = (F.col("model_id") == "t2") & (F.col("seq") == F.col("_tail"))
+    stored = stored.withColumn("prev_hash", F.when(~stripped, F.col("prev_hash"))).drop("_tail")
     return chain.verify_chain(stored)
 
 
-SQL_COMPACT = """, latest AS (SELECT model_id, node, max_by(json, seq) AS json FROM evt GROUP BY model_id, node),
-  heads AS (SELECT model_id, max(seq) AS head FROM evt GROUP BY model_id)
+SQL_COMPACT = """, folded AS (SELECT model_id, node, max(seq) AS seq, max_by(json, seq) AS json FROM evt
+    WHERE event_time < TIMESTAMP '2024-01-22 00:00:00' GROUP BY model_id, node)
 """
 
 
@@ -329,20 +334,39 @@ SQL_COMPACT = """, latest AS (SELECT model_id, node, max_by(json, seq) AS json F
     + SQL_HISTORY
     + SQL_COMPACT
     + """SELECT model_id, node, seq, event_type, json AS payload FROM evt WHERE event_time >= TIMESTAMP '2024-01-22 00:00:00'
-     UNION ALL SELECT l.model_id, l.node, h.head + row_number() OVER (PARTITION BY l.model_id ORDER BY l.node), 'SNAPSHOT', l.json
-     FROM latest l JOIN heads h USING (model_id)""",
+     UNION ALL SELECT model_id, node, seq, 'SNAPSHOT', json FROM folded""",
 )
 def compaction(spark, folder):
     compacted, _ = chain.compact(events(spark, folder), at("2024-01-22 00:00:00"))
     return compacted.select("model_id", "node", "seq", "event_type", canonical_json(F.col("payload")).alias("payload"))
 
 
+@query(
+    "compaction_time_travel",
+    "WITH"
+    + SQL_HISTORY
+    + ", moments AS (SELECT unnest([TIMESTAMP '2024-01-22 00:00:00', TIMESTAMP '2024-01-24 00:00:00', TIMESTAMP '2024-03-01 00:00:00']) AS t)"
+    + """SELECT epoch_us(t) AS at, model_id, node, max_by(json, seq) AS state, max_by(gone, seq) AS tombstoned
+     FROM evt JOIN moments ON event_time <= t GROUP BY t, model_id, node""",
+)
+def compaction_time_travel(spark, folder):
+    """States read from the compacted log, against those of the full log."""
+    compacted, _ = chain.compact(events(spark, folder), at("2024-01-22 00:00:00"))
+    out = None
+    for moment in ("2024-01-22 00:00:00", "2024-01-24 00:00:00", "2024-03-01 00:00:00"):
+        found = log.state_at(compacted, at(moment)).select(
+            F.unix_micros(at(moment)).alias("at"), "model_id", "node", canonical_json(F.col("state")).alias("state"), "tombstoned"
+        )
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 @query(
     "compaction_counts",
     "WITH"
     + SQL_HISTORY
-    + """SELECT model_id, count(DISTINCT node) AS written,
-       count(*) FILTER (WHERE event_time < TIMESTAMP '2024-01-22 00:00:00') AS deleted FROM evt GROUP BY model_id""",
+    + """SELECT model_id, count(DISTINCT node) AS written, count(*) AS deleted FROM evt
+       WHERE event_time < TIMESTAMP '2024-01-22 00:00:00' GROUP BY model_id""",
 )
 def compaction_counts(spark, folder):
     return chain.compact(events(spark, folder), at("2024-01-22 00:00:00"))[1]
@@ -350,17 +374,11 @@ def compaction_counts(spark, folder):
 
 @query(
     "newest_snapshots",
-    "WITH"
-    + SQL_HISTORY
-    + SQL_COMPACT
-    + """, firsts AS (SELECT model_id, count(DISTINCT node) AS n FROM evt GROUP BY model_id)
-     SELECT l.model_id, l.node, h.head + f.n + row_number() OVER (PARTITION BY l.model_id ORDER BY l.node) AS seq, l.json AS payload
-     FROM latest l JOIN heads h USING (model_id) JOIN firsts f USING (model_id)""",
+    "WITH" + SQL_HISTORY + "SELECT model_id, node, max(seq) AS seq, max_by(json, seq) AS payload FROM evt GROUP BY model_id, node",
 )
 def newest_snapshots(spark, folder):
     once, _ = chain.compact(events(spark, folder), at("2024-01-22 00:00:00"))
-    # the second run sees only what the first one left of the old events
-    twice, _ = chain.compact(events(spark, folder).unionByName(once.filter("event_type = 'SNAPSHOT'")), at("2024-03-01 00:00:00"))
+    twice, _ = chain.compact(once, at("2024-03-01 00:00:00"))
     left = chain.newest_snapshots(twice)
     return left.select("model_id", "node", "seq", canonical_json(F.col("payload")).alias("payload"))
 

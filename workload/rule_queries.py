@@ -128,7 +128,7 @@ def rule_activation(spark, folder):
     return rules.active_rules(_rules(), config).drop("position")
 
 
-SQL_RULED = """, src AS (SELECT *, CAST(value AS DOUBLE) AS v FROM mut),
+SQL_RULED = """, src AS (SELECT *, CAST(sent AS DOUBLE) AS v FROM mut),
 verdict AS (SELECT *, coalesce(v > 250, false) AS large, source_system = 'error' AND model_id <> 't1' AS odd FROM src),
 ruled AS (SELECT *, CASE WHEN model_id = 't0' AND large THEN 'too-large' WHEN odd THEN 'odd-source' WHEN large THEN 'too-large' END AS rejected_by FROM verdict)
 """
@@ -153,7 +153,7 @@ def rule_reject(spark, folder):
     + SQL_MUTATIONS
     + SQL_RULED
     + """SELECT model_id, seq,
-       CASE WHEN v > 200 THEN '200' ELSE value END AS value,
+       CASE WHEN v > 200 THEN '200' ELSE sent END AS value,
        CASE WHEN k = '7' THEN '1' ELSE coalesce(k, '0') END AS k,
        CASE WHEN model_id = 't2' THEN '"none"' WHEN v > 100 THEN '"high"' WHEN v IS NOT NULL THEN '"low"' ELSE '"none"' END AS band
      FROM ruled WHERE rejected_by IS NULL""",
@@ -200,9 +200,9 @@ def _registry(spark):
 
 
 SQL_SHAPES = """, faults AS (
-  SELECT model_id, node, seq, 'value' AS path, 'MinCountConstraintComponent' AS c FROM mut WHERE model_id IN ('t0', 't1') AND value IS NULL
+  SELECT model_id, node, seq, 'value' AS path, 'MinCountConstraintComponent' AS c FROM mut WHERE model_id IN ('t0', 't1') AND sent IS NULL
   UNION ALL SELECT model_id, node, seq, 'k', 'MinCountConstraintComponent' FROM mut WHERE model_id = 't0' AND k IS NULL
-  UNION ALL SELECT model_id, node, seq, 'value', 'DatatypeConstraintComponent' FROM mut WHERE model_id = 't1' AND NOT regexp_full_match(value, '-?[0-9]+')
+  UNION ALL SELECT model_id, node, seq, 'value', 'DatatypeConstraintComponent' FROM mut WHERE model_id = 't1' AND NOT regexp_full_match(sent, '-?[0-9]+')
   UNION ALL SELECT model_id, node, seq, 'k', 'DatatypeConstraintComponent' FROM mut WHERE model_id = 't1' AND regexp_full_match(k, '-?[0-9]+')
   UNION ALL SELECT model_id, node, seq, 'ref', 'MinCountConstraintComponent' FROM mut WHERE model_id = 't1')
 """
