@@ -34,16 +34,21 @@ def random_log(seed, size=300, nodes=6, tenants=2, keys=("a", "b", "c"), sources
         model, node = ("t0", "n0") if rnd.random() < 0.34 else (f"t{rnd.randrange(tenants)}", f"n{rnd.randrange(nodes)}")
         op = "CREATE" if (model, node) not in born else rnd.choice(["UPDATE"] * 9 + ["TOMBSTONE"])
         born.add((model, node))
-        payload = {} if op == "TOMBSTONE" else {k: str(rnd.randrange(4)) for k in keys if rnd.random() < 0.5}
+        payload = {k: str(rnd.randrange(4)) for k in keys if rnd.random() < 0.5}
+        if op == "TOMBSTONE":
+            payload = {keys[0]: "9"}  # must not count
+        elif rnd.random() < 0.1:
+            payload |= {"stray": str(rnd.randrange(4)), "_updated_at": '"mine"'}
         rows.append(mutation(seq, node, op, payload, model, rnd.choice(sources)))
     return rows
 
 
 def replay(rows):
-    """(state per event, final state) by walking the log in order."""
+    """(state per event with its tombstone mark, final properties) by walking the log in order."""
     state, events = {}, {}
     for r in sorted(rows, key=lambda r: (r["model_id"], r["seq"])):
         key = (r["model_id"], r["node"])
-        state[key] = {**state.get(key, {}), **r["payload"]}
+        wrote = {k: v for k, v in r["payload"].items() if k not in ("_created_at", "_updated_at")}
+        state[key] = {**state.get(key, {}), **({"_tombstoned": "true"} if r["operation"] == "TOMBSTONE" else wrote)}
         events[r["model_id"], r["seq"]] = dict(state[key])
-    return events, state
+    return events, {key: {k: v for k, v in props.items() if k != "_tombstoned"} for key, props in state.items()}

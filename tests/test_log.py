@@ -199,19 +199,64 @@ def test_chain_continues_from_heads_and_is_opt_in(spark):
     assert {r.model_id for r in chain.build_chain(events, tenants).collect()} == {"t0"}
 
 
-def test_compaction_keeps_state_and_counts(spark):
-    rows = random_log(8, 150)
-    _, final = replay(rows)
+def test_a_missing_hash_is_a_break_and_a_chain_may_be_off(spark):
+    rows = random_log(9, 60)
+    events = log.histories(frame(spark, rows), ["a", "b", "c"]).withColumn("event_type", log.event_type())
+    stored = events.join(chain.build_chain(events), ["model_id", "seq"])
+    tail = max(r["seq"] for r in rows if r["model_id"] == "t0")
+    cut = (F.col("model_id") == "t0") & (F.col("seq") == tail)
+    stripped = stored.withColumn("prev_hash", F.when(~cut, F.col("prev_hash")))
+    got = {r.model_id: r for r in chain.verify_chain(stripped).collect()}
+    assert not got["t0"].valid and got["t0"].broken_seq == tail and got["t0"].actual is None and got["t1"].valid
+    tenants = spark.createDataFrame([("t0", False), ("t1", True)], "model_id string, hash_chain boolean")
+    assert [r.model_id for r in chain.verify_chain(stripped, tenants=tenants).collect()] == ["t1"]
+
+
+def _numbered_log(spark, seed, size):
+    rows = random_log(seed, size)
     events = log.histories(frame(spark, rows), ["a", "b", "c"]).withColumn("event_type", log.event_type())
-    events = events.withColumn("event_id", F.concat_ws(":", "model_id", "seq"))
+    return rows, events.withColumn("event_id", F.concat_ws(":", "model_id", "seq"))
+
+
+def test_compaction_keeps_state_and_counts(spark):
+    rows, events = _numbered_log(spark, 8, 150)
+    states, final = replay(rows)
     compacted, counts = chain.compact(events, F.lit(START + dt.timedelta(days=2)))
     got = compacted.collect()
     assert {r.event_type for r in got} == {"SNAPSHOT"} and {r.confidence for r in got} == {Decimal("1.000")}
-    assert {(r.model_id, r.node): r.payload for r in got} == final
+    assert {(r.model_id, r.seq): r.payload for r in got}.items() <= states.items()
+    assert {(r.model_id, r.node) for r in got} == set(final)
     assert sum(r.deleted for r in counts.collect()) == 150 and sum(r.written for r in counts.collect()) == len(final)
     assert len({(r.model_id, r.seq) for r in got}) == len(got)
 
 
+def test_time_travel_over_a_compacted_log(spark):
+    rows, events = _numbered_log(spark, 10, 160)
+    boundary = START + dt.timedelta(minutes=80)
+    compacted, _ = chain.compact(events, F.lit(boundary))
+    for minutes in (80, 81, 120, 500):
+        at = F.lit(START + dt.timedelta(minutes=minutes))
+        whole, short = ({(r.model_id, r.node): (r.state, r.tombstoned) for r in log.state_at(e, at).collect()} for e in (events, compacted))
+        assert whole == short and any(gone for _, gone in whole.values())
+
+
+def test_the_latest_state_is_the_fold(spark):
+    rows, events = _numbered_log(spark, 11, 200)
+    folded = {(r.model_id, r.node): (r.props, r.tombstoned, r.seq) for r in state.fold_nodes(frame(spark, rows)).collect()}
+    found = log.state_at(events, F.lit(START + dt.timedelta(days=9))).collect()
+    assert {(r.model_id, r.node): ({k: v for k, v in r.state.items() if k != "_tombstoned"}, r.tombstoned, r.seq) for r in found} == folded
+
+
+def test_a_tombstone_stays_through_later_updates(spark):
+    rows = [mutation(1, "n", "CREATE", {"a": "1"}), mutation(2, "n", "TOMBSTONE", {"a": "9"}), mutation(3, "n", "UPDATE", {"b": "2", "_created_at": "0"})]
+    events = log.histories(frame(spark, rows), ["a"])
+    last = log.state_at(events, F.lit(START + dt.timedelta(days=1))).first()
+    assert last.tombstoned and last.state == {"a": "1", "b": "2", "_tombstoned": "true"}
+    probes = spark.createDataFrame([("t0", "n", START + dt.timedelta(minutes=m)) for m in (1, 2, 3)], "model_id string, node string, as_of timestamp")
+    assert [r.tombstoned for r in sorted(log.state_as_of(events, probes).collect(), key=lambda r: r.as_of)] == [False, True, True]
+    assert log.deltas(frame(spark, rows)).filter("seq = 3").first().delta == {"b": "2"}
+
+
 def test_retention_keeps_snapshots_and_unlimited_tenants(spark):
     rows = [mutation(i, "n", model=m, event_time=START + dt.timedelta(days=i)) for i in range(10) for m in ("t0", "t1", "t2")]
     events = frame(spark, rows).withColumn("event_type", F.when(F.col("seq") == 2, "SNAPSHOT").otherwise("UPDATE_NODE"))
