@@ -210,10 +210,13 @@ def _spans(x: np.ndarray, width: int, contested: bool = False, bucket: int | Non
 
 
 def _dealt(x: np.ndarray, by: str, buckets: int) -> list[dict]:
-    bucket = ((x[by] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    if not len(x):
+        return []
+    # an anchor is a smallest hash, so its own high bits are all alike
+    bucket = ((_mix(x[by]) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
     order = np.argsort(bucket, kind="stable")
     x, bucket = x[order], bucket[order]
-    cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))).tolist() if len(x) else []
+    cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))).tolist()
     return [{"bucket": int(bucket[a]), "entries": _planes(x[a:b])} for a, b in zip(cuts, [*cuts[1:], len(x)], strict=True)]
 
 
@@ -234,7 +237,7 @@ def _index(width: int, buckets: int):
     """Texts -> entries dealt by anchor, and the spans that repeat within the slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = once(("hasher",), lambda: Hasher(SLICE_BYTES + 4096))
+        hasher = once(("repeats", "hasher"), lambda: Hasher(SLICE_BYTES + 4096))
         pad = 2 * width + SEED
         for ids, parts, texts in _buffers(batches):
             found = []
@@ -301,8 +304,8 @@ def _match(width: int):
     return run
 
 
-def _lists(found: list[dict], contested: bool) -> tuple[np.ndarray, np.ndarray]:
-    some = [f for f in found or [] if f["contested"] == contested]
+def _lists(found: list[dict], part: int, contested: bool) -> tuple[np.ndarray, np.ndarray]:
+    some = [f for f in found or [] if f["contested"] == contested and f["part"] == part]
     return tuple(np.frombuffer(b"".join(f[n] for f in some), np.int32).astype(np.int64) for n in ("starts", "stops"))
 
 
@@ -310,7 +313,7 @@ def _windows(width: int, buckets: int):
     """Texts with their contested runs -> the windows of those runs, dealt by hash, and repeats within the slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = once(("hasher",), lambda: Hasher(SLICE_BYTES + 4096))
+        hasher = once(("repeats", "hasher"), lambda: Hasher(SLICE_BYTES + 4096))
 
         def flush(cuts: list[bytes], ids: list, parts: list, starts: list) -> pa.RecordBatch:
             sizes = np.array([len(c) for c in cuts])
@@ -330,7 +333,7 @@ def _windows(width: int, buckets: int):
         for batch in batches:
             for i, part, text, found in zip(*(batch.column(n) for n in ("_id", "_part", "_text", "_found")), strict=True):
                 data = (text.as_py() or "").encode()
-                for a, b in zip(*_lists(found.as_py(), True), strict=True):
+                for a, b in zip(*_lists(found.as_py(), part.as_py(), True), strict=True):
                     cuts.append(data[a:b])
                     ids.append(i.as_py())
                     parts.append(part.as_py())
@@ -361,14 +364,14 @@ def _first(width: int):
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(keys.., text, found) -> (keys.., kept bytes, spans removed)."""
+    """(.., text, part, found) -> (.., text, kept bytes, spans removed)."""
     for batch in batches:
         names = batch.schema.names
-        texts, found = batch.column(names.index("_text")), batch.column(names.index("_found"))
+        columns = [batch.column(names.index(n)) for n in ("_text", "_part", "_found")]
         kept, spans = [], []
-        for text, f in zip(texts, found, strict=True):
+        for text, part, f in zip(*columns, strict=True):
             data = (text.as_py() or "").encode()
-            starts, stops = _lists(f.as_py(), False)
+            starts, stops = _lists(f.as_py(), part.as_py(), False)
             order = np.argsort(starts, kind="stable")
             merged: list[list[int]] = []
             for a, b in zip(starts[order].tolist(), stops[order].tolist(), strict=True):
@@ -379,7 +382,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = [0, *[b for _, b in merged]]
             kept.append(b"".join(data[a:b] for a, b in zip(ends, [*[a for a, _ in merged], len(data)], strict=True)))
             spans.append([{"start": a, "stop": b} for a, b in merged])
-        rest = [i for i, n in enumerate(names) if n not in ("_text", "_found")]
+        rest = [i for i, n in enumerate(names) if n not in ("_id", "_part", "_found")]
         kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
         yield pa.RecordBatch.from_arrays(
             [*[batch.column(i) for i in rest], pa.array(kept, pa.binary()), pa.array(spans, kind)], names=[*[names[i] for i in rest], "_kept", "_spans"]
@@ -410,9 +413,9 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     spark = docs.sparkSession
     rest = [c for c in docs.columns if c.lower() not in (kept.lower(), spans.lower())]
     names = [f"_c{i}" for i in range(len(rest))]
-    source = docs.select(*[col(c).alias(n) for c, n in zip(rest, names, strict=True)])
-    at = dict(zip(rest, names, strict=True))
-    source = _parts(source.withColumns({"_id": F.coalesce(F.col(at[id_column]).cast("long"), F.lit(_LAST)), "_text": F.col(at[text]).cast("string")}))
+    names = ["_text" if c == text else n for c, n in zip(rest, names, strict=True)]
+    ids = F.coalesce(col(id_column).cast("long"), F.lit(_LAST)).alias("_id")
+    source = _parts(docs.select(*[(col(c).cast("string") if c == text else col(c)).alias(n) for c, n in zip(rest, names, strict=True)], ids))
     size = source.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     tasks = spread(spark)
     buckets = max(tasks, size // BUCKET_BYTES + 1)
@@ -422,15 +425,15 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
         return rows.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(match, _ROW)
 
     def lists(rows: DataFrame) -> DataFrame:
-        one = F.struct("contested", "starts", "stops")
-        return rows.groupBy(F.col("id").alias("_id"), F.col("part").alias("_part")).agg(F.collect_list(one).alias("_found"))
+        return rows.groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.struct("part", "contested", "starts", "stops")).alias("_found"))
 
     found = materialise(settled(texts.mapInArrow(_index(width, buckets), _ROW), _match(width)))
-    open_runs = texts.join(lists(found.filter("contested")), ["_id", "_part"]).dropDuplicates(["_id", "_part"])
+    # whole rows, as in the last join: both then read one shuffle of the texts
+    open_runs = source.join(lists(found.filter("contested")), "_id")
     late = settled(open_runs.mapInArrow(_windows(width, buckets), _ROW), _first(width))
     all_spans = lists(found.filter("NOT contested").unionByName(late))
-    joined = source.join(all_spans, ["_id", "_part"], "left").drop("_id", "_part")
-    schema = joined.drop("_text", "_found").schema
+    joined = source.join(all_spans, "_id", "left")
+    schema = joined.drop("_id", "_part", "_found").schema
     shape = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in schema] + ["_kept binary", "_spans array<struct<start:bigint,stop:bigint>>"])
     done = joined.mapInArrow(_cut, shape)
     return done.select(*[F.col(n).alias(c) for c, n in zip(rest, names, strict=True)], F.col("_kept").alias(kept), F.col("_spans").alias(spans))
