@@ -25,11 +25,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, IntegerType
 
-from graphlog.llm.common import col, once
+from graphlog.llm.common import col, once, pieces
 
-PIECES_KEPT = 150_000
-PAIRS_KEPT = 200_000
-SLICE_BYTES = 2 << 20
+PIECES_KEPT = 100_000
+PAIRS_KEPT = 100_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -175,16 +174,11 @@ def _encoder(shared, pattern: str):
                     self[piece] = ids
                 return ids
 
-        vocabulary = once(("bpe", name), lambda: Vocabulary(ranks))
-        pieces = once(("bpe pieces", name), lambda: [None])
-        if pieces[0] is None:
-            pieces[0] = Pieces()
+        vocabulary = once(("bpe", name, "vocabulary"), lambda: Vocabulary(ranks))
         found = regex.compile(pattern).findall
-        ids_of = pieces[0].__getitem__
+        ids_of = once(("bpe", name, "pieces"), Pieces).__getitem__
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            for at in _slices(pc.fill_null(pc.binary_length(texts), 0)):
-                part = batch.slice(*at)
+            for part in pieces(batch, "_in"):
                 flat = array("i")
                 stops = [0]
                 for text in part.column(part.num_columns - 1).to_pylist():
@@ -205,31 +199,17 @@ def _running(sizes) -> Iterator[int]:
         yield total
 
 
-def _slices(sizes: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """(offset, length) of runs of rows of about ``most`` bytes; a longer row stands alone."""
-    start = size = 0
-    for i, n in enumerate(sizes.to_pylist()):
-        if size and size + n > most:
-            yield start, i - start
-            start, size = i, 0
-        size += n
-    if len(sizes):
-        yield start, len(sizes) - start
-
-
 def _decoder(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, name = shared.value
-        table = once(("bpe bytes", name), lambda: {i: t for t, i in ranks.items()})
+        table = once(("bpe", name, "bytes"), lambda: {i: t for t, i in ranks.items()})
         for batch in batches:
-            column = batch.column(batch.num_columns - 1)
-            for at, n in _slices(pc.multiply(pc.fill_null(pc.list_value_length(column), 0), 4)):
-                part = column.slice(at, n)
-                tokens = list(map(table.__getitem__, part.flatten().to_numpy().tolist()))
-                stops = list(_running(pc.fill_null(pc.list_value_length(part), 0).to_pylist()))
-                rows = [b"".join(tokens[a:b]) if known else None for a, b, known in zip([0, *stops], stops, part.is_valid().to_pylist(), strict=False)]
-                rest = batch.slice(at, n).columns[:-1]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(rows, pa.binary())], names=[*batch.schema.names[:-1], "_bytes"])
+            for part in pieces(batch, "_in", 500_000):
+                column = part.column(part.num_columns - 1)
+                tokens = list(map(table.__getitem__, column.flatten().to_numpy().tolist()))
+                stops = list(_running(pc.fill_null(pc.list_value_length(column), 0).to_pylist()))
+                rows = [b"".join(tokens[a:b]) if known else None for a, b, known in zip([0, *stops], stops, column.is_valid().to_pylist(), strict=False)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(rows, pa.binary())], names=[*part.schema.names[:-1], "_bytes"])
 
     return run
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import types
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,17 +26,41 @@ def spread(spark: SparkSession) -> int:
 
 
 def once(key: tuple, build: Callable):
-    """What ``build`` makes, kept for the life of a Python worker.
+    """What ``build`` makes, kept while this Python worker serves the same operator.
 
     Task code is shipped by value, so that a module global would be made anew
-    for each task. Used only for tables of a fixed size.
+    for each task. Used only for tables of a bounded size; ``key[0]`` names
+    the operator, and a worker that is reused by another lets go of them.
     """
-    held = sys.modules.setdefault("_graphlog_worker", types.ModuleType("_graphlog_worker")).__dict__.setdefault("held", {})
+    held = serve(key[0])
     if key not in held:
         held[key] = build()
     return held[key]
 
 
+def serve(operator: str) -> dict:
+    """The worker's store for one operator; that of any other is emptied."""
+    store = sys.modules.setdefault("_graphlog_worker", types.ModuleType("_graphlog_worker")).__dict__
+    if store.get("operator") != operator:
+        store.update(operator=operator, held={})
+        gc.collect()
+    return store["held"]
+
+
+def pieces(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows of about ``most`` bytes of ``column``; a longer row stands alone."""
+    start = size = 0
+    values = batch.column(column)
+    lengths = pc.list_value_length(values) if pa.types.is_list(values.type) else pc.binary_length(values)
+    for i, n in enumerate(pc.fill_null(lengths, 0).to_pylist()):
+        if size and size + n > most:
+            yield batch.slice(start, i - start)
+            start, size = i, 0
+        size += n
+    if batch.num_rows:
+        yield batch.slice(start)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, lengthened until ``df`` has no such column in any case."""
     taken = {c.lower() for c in df.columns}

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from graphlog.llm.common import col, free_name
+from graphlog.llm.common import col, free_name, pieces, serve
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 #: rate -> (numerator, denominator, scale, least spread of its fence, whether low values are judged too)
@@ -56,7 +56,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return n, sum(map(len, words)), symbols, len(lines) - len(set(lines)), repeated, len(lines)
 
     kind = pa.struct([(s, pa.int64()) for s in STATS])
-    for batch in batches:
+    serve("rules")
+    for batch in (part for whole in batches for part in pieces(whole, "_text")):
         rows = [of(t or "") for t in batch.column(batch.schema.get_field_index("_text")).to_pylist()]
         made = pa.array([dict(zip(STATS, r, strict=True)) for r in rows], kind)
         rest = [i for i, n in enumerate(batch.schema.names) if n != "_text"]

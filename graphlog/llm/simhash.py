@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphlog.llm.common import col, free_name
+from graphlog.llm.common import col, free_name, pieces, serve, spread
 from graphlog.storage import materialise
 
 BUCKET_ROWS = 4096
@@ -76,7 +76,8 @@ def _prints(size: int, fold: bool, wide: int):
             votes = [_votes(h), *[_votes(_remix(h, k)) for k in range(1, wide)]]
             return np.packbits(np.concatenate(votes) * 2 > n, bitorder="little").tobytes()
 
-        for batch in batches:
+        serve("simhash")
+        for batch in (part for whole in batches for part in pieces(whole, "_text")):
             made = [of(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
             low = np.frombuffer(b"".join(x[:8] for x in made), np.int64)
             more = pa.array(made if wide else [None] * len(made), pa.binary())
@@ -201,6 +202,7 @@ def links(prints: DataFrame, column: str = "fingerprint", distance: int = 3, par
     if not 0 < agree <= parts <= BITS:
         raise ValueError("need 0 < agree <= parts <= 64")
     one = prints.select(col(column).alias("_node")).filter("_node IS NOT NULL").distinct()
+    one = one.repartition(spread(prints.sparkSession), "_node")  # few bytes now, many rows next
     blocks = _edges(parts)
     keys = []
     for chosen in combinations(range(parts), agree):

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from graphlog.llm.common import col, free_name, once
+from graphlog.llm.common import col, once, pieces
 
 NODES_KEPT = 250_000
 WORDS_KEPT = 150_000
@@ -123,12 +123,12 @@ def _counter(shared):
                     self[word] = n
                 return n
 
-        trie = once(("trie", name), lambda: Trie(model))
-        of = once(("trie words", name), Words).__getitem__
-        for batch in batches:
+        trie = once(("unigram", name, "trie"), lambda: Trie(model))
+        of = once(("unigram", name, "words"), Words).__getitem__
+        for batch in (part for whole in batches for part in pieces(whole, "_text")):
             words, tokens = [], []
-            for text in batch.column(batch.num_columns - 1):
-                found = find(text.as_py() or "")
+            for text in batch.column(batch.num_columns - 1).to_pylist():
+                found = find(text or "")
                 words.append(len(found))
                 tokens.append(sum(map(of, found)))
             yield pa.RecordBatch.from_arrays(
@@ -147,7 +147,7 @@ def count_tokens(docs: DataFrame, path: str, keep: list[str], text: str = "text"
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((path, read_pieces(path)))
     names = [f"_k{i}" for i in range(len(keep))]
-    source = docs.select(*[col(c).alias(n) for c, n in zip(keep, names, strict=True)], col(text).cast("string").alias(free_name(docs, "_text")))
+    source = docs.select(*[col(c).alias(n) for c, n in zip(keep, names, strict=True)], col(text).cast("string").alias("_text"))
     schema: StructType = source.select(*names).schema.add("_words", "long").add("_tokens", "long")
     made = source.mapInArrow(_counter(shared), schema)
     return made.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], F.col("_words").alias(n_words), F.col("_tokens").alias(n_tokens))
