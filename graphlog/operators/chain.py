@@ -48,7 +48,7 @@ def build_chain(
     A chain is sequential by definition. Tenants run side by side; a long
     tenant is walked ``chunk`` sequence numbers at a time, each step taking
     the last hash of the step before, so that no task holds more than one
-    step of a tenant. ``heads`` (model_id, prev_hash) continues stored chains,
+    step of a tenant; steps without rows cost nothing. ``heads`` (model_id, prev_hash) continues stored chains,
     which makes the usual job as long as the new events only.
     """
     spark = events.sparkSession
@@ -60,15 +60,15 @@ def build_chain(
         F.floor(F.col("seq") / chunk).cast("long").alias("_step"),
     )
     steps = materialise(rows, "_step")
-    bounds = steps.agg(F.min("_step"), F.max("_step")).first()
+    held = sorted(r[0] for r in steps.select("_step").distinct().collect())
     schema = T.StructType(
         [T.StructField("model_id", T.StringType()), T.StructField("seq", T.LongType()), T.StructField("prev_hash", T.StringType())]
     )
-    if bounds[0] is None:
+    if not held:
         return spark.createDataFrame([], schema)
     known = heads.select("model_id", "prev_hash") if heads is not None else None
     out = scratch_path(spark)
-    for step in range(bounds[0], bounds[1] + 1):
+    for step in held:
         part = steps.filter(F.col("_step") == step)
         start = F.lit(genesis(sentinel))
         if known is not None:
@@ -85,7 +85,7 @@ def build_chain(
             known = known.join(tips, "model_id", "full_outer").select(
                 "model_id", F.coalesce("_tip", "prev_hash").alias("prev_hash")
             )
-        if step < bounds[1]:
+        if step < held[-1]:
             known = materialise(known)
     return spark.read.schema(schema).option("basePath", out).parquet(out)
 

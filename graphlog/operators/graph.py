@@ -50,17 +50,20 @@ def reach(edges: DataFrame, roots: DataFrame, hops: int, direction: str = "out")
     return front.select("model_id", "root", F.col("a").alias("node"))
 
 
-def neighbourhood(edges: DataFrame, roots: DataFrame, depth: int = 1) -> DataFrame:
+def neighbourhood(edges: DataFrame, roots: DataFrame, depth: int = 1, most: int = 3) -> DataFrame:
     """Distinct nodes within ``depth`` undirected steps, the root left out.
 
-    Depth is held to 0..3.
+    A depth beyond 0..``most`` is an error. Levels are written, so each is
+    worked out once.
     """
-    depth = max(0, min(3, depth))
-    step = steps(edges)
+    if not 0 <= depth <= most:
+        raise ValueError(f"{depth} is not within 0..{most}")
+    step = materialise(steps(edges).distinct()) if depth > 1 else steps(edges)
     front = roots.select("model_id", F.col("node").alias("root"), F.col("node").alias("a")).distinct()
     seen = front
-    for _ in range(depth):
+    for hop in range(depth):
         front = front.join(step, ["model_id", "a"]).select("model_id", "root", F.col("b").alias("a")).distinct()
+        front = materialise(front) if hop + 1 < depth else front
         seen = seen.unionByName(front)
     found = seen.filter(F.col("a") != F.col("root")).distinct()
     return found.select("model_id", "root", F.col("a").alias("node"))
@@ -123,7 +126,7 @@ def _next_level(front: DataFrame, last: DataFrame, step: DataFrame, key: list[st
     return ahead.select(*key, F.col("b").alias("node")).distinct().join(known, key + ["node"], "left_anti")
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
+def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = MAX_HOPS, most: int = MAX_HOPS) -> DataFrame:
     """Per (model_id, src, dst) pair: the nodes of a shortest undirected path.
 
     Breadth-first from both ends, the smaller frontier first, one search per
@@ -135,7 +138,8 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = MAX_HOPS)
     from the target, is given. Pairs without a path within ``max_hops`` are
     absent.
     """
-    max_hops = max(1, min(MAX_HOPS, max_hops))
+    if not 1 <= max_hops <= most:
+        raise ValueError(f"{max_hops} is not within 1..{most}")
     pair = ["model_id", "src", "dst"]
     keys = {"src": ["model_id", "src"], "dst": ["model_id", "dst"]}
     asked = materialise(pairs.select(*pair).filter(F.col("src") != F.col("dst")).distinct())

@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from graphlog.functions.literals import unquote
 
 
-def _held(value: int | None, default: int, low: int, high: int) -> int:
-    return max(low, min(high, default if value is None else value))
+def bounded(value: int | None, default: int, most: int) -> int:
+    """``value``, or ``default`` if there is none; beyond 1..``most`` is an error, never a shorter answer."""
+    value = default if value is None else value
+    if not 1 <= value <= most:
+        raise ValueError(f"{value} is not within 1..{most}")
+    return value
 
 
 def typed_scan(nodes: DataFrame, model_id: str, node_type: str, include_tombstoned: bool = True) -> DataFrame:
@@ -27,13 +31,13 @@ def lookup_many(nodes: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def page(nodes: DataFrame, model_id: str, node_type: str, after: int = 0, limit: int | None = None,
-         where: Column | None = None) -> DataFrame:
-    """The next page by sequence number: default 50 rows, held to 1..500.
+         where: Column | None = None, most: int = 500) -> DataFrame:
+    """The next page by sequence number: default 50 rows, at most ``most``.
 
     One row past the page decides ``next_after``: the last number of the page
     when more rows follow, else null.
     """
-    size = _held(limit, 50, 1, 500)
+    size = bounded(limit, 50, most)
     return _page(typed_scan(nodes, model_id, node_type), after, size, where)
 
 
@@ -52,15 +56,15 @@ def _page(rows: DataFrame, after: int, size: int, where: Column | None) -> DataF
 
 
 def filtered_page(nodes: DataFrame, model_id: str, node_type: str, equal: dict[str, str], after: int = 0,
-                  limit: int | None = None) -> DataFrame:
-    """A page of nodes whose properties equal the given texts: 20 rows, 1..100.
+                  limit: int | None = None, most: int = 100) -> DataFrame:
+    """A page of nodes whose properties equal the given texts: 20 rows, at most ``most``.
 
     The filter runs before the page is cut; a missing property never matches.
     """
     where = F.lit(True)
     for name, text in equal.items():
         where = where & (unquote(F.col("props")[name]) == text)
-    return _page(typed_scan(nodes, model_id, node_type), after, _held(limit, 20, 1, 100), where)
+    return _page(typed_scan(nodes, model_id, node_type), after, bounded(limit, 20, most), where)
 
 
 def count_by_type(nodes: DataFrame) -> DataFrame:
@@ -76,14 +80,19 @@ def first_by(nodes: DataFrame, order: list[Column], n: int) -> DataFrame:
 
 
 def newest(log: DataFrame, time: str, tie: str, limit: int | None = None, top: int = 500,
-           where: Column | None = None) -> DataFrame:
-    """Newest-first listing of a log: default 100 rows, held to 1..``top``."""
+           where: Column | None = None, before: tuple | None = None) -> DataFrame:
+    """Newest-first listing of a log: default 100 rows, at most ``top``.
+
+    ``before`` is the (time, tie) of the last row of the page before.
+    """
     rows = log if where is None else log.filter(where)
-    return rows.orderBy(F.desc(time), F.desc(tie)).limit(_held(limit, 100, 1, top))
+    if before is not None:
+        rows = rows.filter((F.col(time) < F.lit(before[0])) | ((F.col(time) == F.lit(before[0])) & (F.col(tie) < F.lit(before[1]))))
+    return rows.orderBy(F.desc(time), F.desc(tie)).limit(bounded(limit, 100, top))
 
 
 def audit_listing(calls: DataFrame, model_id: str, agent: str | None = None, start: Column | None = None,
-                  end: Column | None = None, limit: int | None = None) -> DataFrame:
+                  end: Column | None = None, limit: int | None = None, before: tuple | None = None) -> DataFrame:
     """Newest agent calls of a tenant, by agent and time span."""
     where = F.col("model_id") == model_id
     if agent is not None:
@@ -92,4 +101,4 @@ def audit_listing(calls: DataFrame, model_id: str, agent: str | None = None, sta
         where = where & (F.col("called_at") >= start)
     if end is not None:
         where = where & (F.col("called_at") <= end)
-    return newest(calls, "called_at", "call_id", limit, 500, where)
+    return newest(calls, "called_at", "call_id", limit, 500, where, before)

@@ -36,9 +36,11 @@ def calls_since(calls: DataFrame, since: Column) -> DataFrame:
     return counted.groupBy("model_id", "agent_id").agg(F.count(F.lit(1)).alias("calls"))
 
 
-def hourly_usage(calls: DataFrame, quotas: DataFrame) -> DataFrame:
+def clock_hour_usage(calls: DataFrame, quotas: DataFrame) -> DataFrame:
     """Calls per agent and clock hour against the hourly quota.
 
+    Hours are those of the clock, not counted from an agent's first call.
+
     No quota, or none above zero, is exceeded by the first call.
     """
     hour = F.date_trunc("hour", "called_at").alias("hour")

@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from graphlog.storage import materialise
 
 THRESHOLD = 0.7
 NEIGHBOURS = 5
-#: Query vectors sent to the tasks at a time.
-BLOCK_BYTES = 32 << 20
+#: Vectors of one block; a task holds a block of each side.
+BLOCK_BYTES = 8 << 20
+#: Spelling scores below this are not worked out for the review queue.
+REVIEW_FLOOR = 0.6
 
 
 def exact_matches(candidates: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -33,14 +32,7 @@ def upsert_embeddings(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     return last.select("model_id", "node", "_l.*")
 
 
-_NEAR = T.StructType(
-    [
-        T.StructField("model_id", T.StringType()),
-        T.StructField("query_id", T.StringType()),
-        T.StructField("node", T.StringType()),
-        T.StructField("score", T.DoubleType()),
-    ]
-)
+_NEAR = "model_id string, query_id string, node string, score double"
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -58,28 +50,28 @@ def _best(nodes: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return near[np.lexsort((nodes[near], -scores[near]))][:k]
 
 
-def _scan(block, k: int):
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        asked = {m: (ids, _unit(np.asarray(vectors, dtype=np.float64))) for m, (ids, vectors) in block.value.items()}
-        kept: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
-            for model_id, rows in batch.groupby("model_id", sort=False):
-                if model_id not in asked:
-                    continue
-                ids, queries = asked[model_id]
-                names = rows["node"].to_numpy(dtype=str)
-                scores = queries @ _unit(np.vstack(rows["vector"].to_numpy()).astype(np.float64)).T
-                for q in range(len(ids)):
-                    n, s = names, scores[q]
-                    if (model_id, q) in kept:
-                        n = np.concatenate([kept[model_id, q][0], n])
-                        s = np.concatenate([kept[model_id, q][1], s])
-                    top = _best(n, s, k)
-                    kept[model_id, q] = (n[top], s[top])
-        for (model_id, q), (n, s) in kept.items():
-            yield pd.DataFrame({"model_id": model_id, "query_id": asked[model_id][0][q], "node": n, "score": s})
-
-    return scan
+def _rows(table: pa.Table, column: str, width: int) -> np.ndarray:
+    flat = table.column(column).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return _unit(flat.astype(np.float64).reshape(table.num_rows, width))
+
+
+def _score(k: int):
+    def score(key: tuple, vectors: pa.Table, queries: pa.Table) -> pa.Table:
+        found: dict[str, list] = {"query_id": [], "node": [], "score": []}
+        if vectors.num_rows and queries.num_rows:
+            width = key[1].as_py()
+            names = np.array(vectors.column("node").to_pylist(), dtype=str)
+            scores = _rows(queries, "q", width) @ _rows(vectors, "vector", width).T
+            for query, own in zip(queries.column("query_id").to_pylist(), scores, strict=True):
+                top = _best(names, own, k)
+                found["query_id"] += [query] * len(top)
+                found["node"] += names[top].tolist()
+                found["score"] += own[top].tolist()
+        columns = [[key[0].as_py()] * len(found["node"]), *found.values()]
+        kinds = [pa.string()] * 3 + [pa.float64()]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["model_id", *found])
+
+    return score
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = NEIGHBOURS, model: str | None = None,
@@ -87,30 +79,35 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = NEIGHBOURS, model:
     """Exact k nearest vectors by cosine per query, within its tenant.
 
     ``queries`` has (model_id, query_id, vector), ``vectors`` has (model_id,
-    node, vector) and perhaps ``embedding_model``. Queries go out in blocks
-    of a checked size; each task scores a batch of vectors against a block as
-    one matrix product and keeps k per query, so at most partitions times k
-    rows per query are shuffled. More queries than a block holds mean more
-    scans, never a larger broadcast.
+    node, vector) and perhaps ``embedding_model``; only vectors of one length
+    meet. Both sides are dealt into blocks of a size taken from their counts,
+    and each pair of blocks of a tenant is one group and one matrix product
+    that keeps k per query. Nothing passes through the driver, and the number
+    of jobs does not depend on the number of queries.
     """
-    spark = vectors.sparkSession
     if model is not None and "embedding_model" in vectors.columns:
         vectors = vectors.filter(F.col("embedding_model") == model)
-    vectors = vectors.filter(F.col("vector").isNotNull()).select("model_id", "node", "vector")
-    stats = queries.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
-    count, width = stats[0], stats[1] or 1
-    per_block = max(1, block_bytes // (8 * width))
-    blocks = max(1, -(-count // per_block))
-    split = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    found = None
-    for b in range(blocks):
-        picked: dict[str, tuple[list, list]] = {}
-        for row in split.filter(F.col("_block") == b).select("model_id", "query_id", "vector").toLocalIterator():
-            ids, rows = picked.setdefault(row[0], ([], []))
-            ids.append(str(row[1]))
-            rows.append(np.asarray(row[2], dtype=np.float64))
-        near = vectors.mapInPandas(_scan(spark.sparkContext.broadcast(picked), k), _NEAR)
-        found = near if found is None else found.unionByName(near)
+
+    def dealt(rows: DataFrame, name: str, vector: str, block: str, blocks: str) -> tuple[DataFrame, DataFrame]:
+        rows = rows.filter(F.col("vector").isNotNull()).select("model_id", name, F.col("vector").alias(vector), F.size("vector").alias("width"))
+        per = F.greatest(F.lit(1), F.floor(F.lit(block_bytes) / (8 * F.greatest("width", F.lit(1)))))
+        counts = rows.groupBy("model_id", "width").agg(F.ceil(F.count(F.lit(1)) / per).cast("int").alias(blocks))
+        number = F.pmod(F.xxhash64(name), F.col(blocks)).cast("int").alias(block)
+        return rows.join(counts, ["model_id", "width"]).select("model_id", "width", number, name, vector), counts
+
+    known, known_blocks = dealt(vectors, "node", "vector", "block", "blocks")
+    asked, asked_blocks = dealt(queries, "query_id", "q", "part", "parts")
+
+    def to_all(rows: DataFrame, counts: DataFrame, blocks: str, block: str) -> DataFrame:
+        every = F.explode(F.sequence(F.lit(0), F.col(blocks) - 1)).alias(block)
+        return rows.join(counts, ["model_id", "width"]).select(*rows.columns, every)
+
+    left = to_all(known, asked_blocks, "parts", "part")
+    right = to_all(asked, known_blocks, "blocks", "block").select(
+        F.col("model_id").alias("_m"), F.col("width").alias("_w"), F.col("block").alias("_b"), F.col("part").alias("_p"), "query_id", "q"
+    )
+    pairs = left.groupBy("model_id", "width", "block", "part").cogroup(right.groupBy("_m", "_w", "_b", "_p"))
+    found = pairs.applyInArrow(_score(k), _NEAR)
     order = Window.partitionBy("model_id", "query_id").orderBy(F.desc("score"), "node")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
@@ -209,14 +206,14 @@ def embedding_matches(candidates: DataFrame, nodes: DataFrame, vectors: DataFram
 
 
 def resolve(candidates: DataFrame, nodes: DataFrame, vectors: DataFrame | None = None, threshold: float = THRESHOLD,
-            model: str | None = None, review_floor: float | None = None) -> DataFrame:
+            model: str | None = None, review_floor: float = REVIEW_FLOOR) -> DataFrame:
     """MATCH with its tier and score, or NEEDS_REVIEW with the best score seen.
 
-    Each tier runs on what the one before left over. A spelling score below
-    ``review_floor`` (the threshold by default) is not worked out; a review
-    row then carries the vector score or 0.
+    Each tier runs on what the one before left over. A review row carries the
+    better of the vector score and the spelling score; it is null if there is
+    no vector score and no name is ``review_floor`` alike or more.
     """
-    floor = threshold if review_floor is None else min(review_floor, threshold)
+    floor = min(review_floor, threshold)
 
     def tagged(df: DataFrame, tier: str) -> DataFrame:
         return df.select("candidate_id", F.lit("MATCH").alias("outcome"), F.lit(tier).alias("tier"), "node", "score")
@@ -236,10 +233,10 @@ def resolve(candidates: DataFrame, nodes: DataFrame, vectors: DataFrame | None =
     found = found.unionByName(tagged(hits, "FUZZY"))
     left = rest.join(hits.select("candidate_id"), "candidate_id", "left_anti")
     left = left.join(alike.select("candidate_id", F.col("score").alias("_f")), "candidate_id", "left")
-    score = F.coalesce(F.col("_f"), F.lit(0.0))
+    score = F.col("_f")
     if best is not None:
         left = left.join(best, "candidate_id", "left")
-        score = F.greatest(score, F.coalesce("best", F.lit(0.0)))
+        score = F.greatest(score, F.col("best"))  # nulls are passed over
     review = left.select(
         "candidate_id", F.lit("NEEDS_REVIEW").alias("outcome"), F.lit("ALL").alias("tier"),
         F.lit(None).cast("string").alias("node"), score.alias("score"),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphlog.model import CREATE, UPDATE
+from graphlog.operators.read import bounded
 
 
 def enqueue(candidates: DataFrame, resolved: DataFrame, created_at: Column) -> DataFrame:
@@ -18,8 +19,11 @@ def enqueue(candidates: DataFrame, resolved: DataFrame, created_at: Column) -> D
 
 
 def pending(queue: DataFrame, model_id: str, connector: str | None = None, node_type: str | None = None,
-            since: Column | None = None, limit: int = 50) -> DataFrame:
-    """Undecided rows of a tenant, oldest first; the limit is held to 1..200."""
+            since: Column | None = None, limit: int = 50, most: int = 200, after: tuple | None = None) -> DataFrame:
+    """Undecided rows of a tenant, oldest first, at most ``most`` at once.
+
+    ``after`` is the (created_at, candidate_id) of the last row of the page before.
+    """
     where = (F.col("model_id") == model_id) & F.col("decision").isNull()
     if connector is not None:
         where = where & (F.col("connector_id") == connector)
@@ -27,7 +31,10 @@ def pending(queue: DataFrame, model_id: str, connector: str | None = None, node_
         where = where & (F.col("type") == node_type)
     if since is not None:
         where = where & (F.col("created_at") >= since)
-    return queue.filter(where).orderBy("created_at", "candidate_id").limit(max(1, min(200, limit)))
+    if after is not None:
+        later = F.col("created_at") > F.lit(after[0])
+        where = where & (later | ((F.col("created_at") == F.lit(after[0])) & (F.col("candidate_id") > F.lit(after[1]))))
+    return queue.filter(where).orderBy("created_at", "candidate_id").limit(bounded(limit, 50, most))
 
 
 def decide(queue: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:

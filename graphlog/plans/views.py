@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +29,9 @@ def typed_view(nodes: DataFrame, columns: list[tuple[str, str]], model_id: str,
 
 
 def view_name(model_id: str, node_type: str) -> str:
-    return f"v_{model_id}_{node_type}".replace("-", "_").lower()
+    """A readable name, told apart from like ones by a hash of what it stands for."""
+    code = hashlib.sha256(f"{len(model_id)}:{model_id}{node_type}".encode()).hexdigest()[:10]
+    return re.sub(r"\W", "_", f"v_{model_id}_{node_type}").lower() + f"_{code}"
 
 
 def refresh_views(spark: SparkSession, nodes: DataFrame, types: DataFrame, registry: DataFrame,
@@ -37,12 +42,15 @@ def refresh_views(spark: SparkSession, nodes: DataFrame, types: DataFrame, regis
     record is returned. Only registry rows reach the driver.
     """
     recorded = dict(recorded or {})
-    exposed = types.filter("exposed").select("model_id", "type", "schema_version").collect()
-    for model_id, node_type, version in exposed:
+    exposed = types.filter("exposed").select("model_id", "type", "schema_version")
+    live = registry.filter(F.col("deprecated_at").isNull()).select("model_id", "type", "property", "data_type")
+    columns: dict[tuple[str, str], list[tuple[str, str]]] = {}
+    for model_id, node_type, name, kind in live.join(exposed, ["model_id", "type"], "left_semi").collect():
+        columns.setdefault((model_id, node_type), []).append((name, kind))
+    for model_id, node_type, version in exposed.collect():
         name = view_name(model_id, node_type)
         if recorded.get(name) == version:
             continue
-        columns = type_columns(registry, model_id, node_type)
-        typed_view(nodes, columns, model_id, node_type).createOrReplaceTempView(name)
+        typed_view(nodes, sorted(columns.get((model_id, node_type), [])), model_id, node_type).createOrReplaceTempView(name)
         recorded[name] = version
     return recorded

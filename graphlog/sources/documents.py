@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,11 +17,20 @@ OVERLAP = 200
 _BLOCK = 512
 
 
+def _glob_pattern(glob: str) -> str:
+    """A glob over relative paths as a regular expression; ``**/`` is any folders or none."""
+    out = ""
+    for part in re.split(r"(\*\*/|\*\*|\*|\?)", glob):
+        out += {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(part, re.escape(part))
+    return f"^{out}$"
+
+
 def scan_folder(spark: SparkSession, folder: str, glob: str = "**/*.md", max_bytes: int = MAX_BYTES) -> tuple[DataFrame, DataFrame]:
     """(documents, dead letters) of the matching files below ``folder``.
 
-    The size test is pushed to the file listing, so the content of a file
-    that is too large is never read.
+    The whole relative path is matched. The size test is pushed to the file
+    listing, so the content of a file that is too large is never read; a file
+    that is not UTF-8 is one dead letter.
     """
     files = (
         spark.read.format("binaryFile")
@@ -29,18 +40,26 @@ def scan_folder(spark: SparkSession, folder: str, glob: str = "**/*.md", max_byt
     )
     base = folder.rstrip("/") + "/"
     relative = F.substring_index("path", base, -1)
-    docs = files.filter(F.col("length") <= max_bytes).select(
+    files = files.filter(relative.rlike(_glob_pattern(glob)))
+    text = F.col("content").cast("string")
+    small = files.filter(F.col("length") <= max_bytes)
+    docs = small.filter(F.is_valid_utf8(text)).select(
         relative.alias("path"),
         F.unix_millis("modificationTime").alias("mtime"),
         F.col("length").alias("size"),
-        F.decode("content", "UTF-8").alias("text"),
+        text.alias("text"),
     )
     too_large = files.filter(F.col("length") > max_bytes).select(
         F.lit("FILE_TOO_LARGE").alias("reason"),
-        F.concat(F.lit(f"File exceeds max size ({max_bytes} bytes): "), relative).alias("detail"),
+        F.concat(relative, F.lit(f" is larger than {max_bytes} bytes")).alias("detail"),
         F.to_json(F.struct(relative.alias("path"), F.col("length").alias("size"))).alias("raw_payload"),
     )
-    return docs, too_large
+    unreadable = small.filter(~F.is_valid_utf8(text)).select(
+        F.lit("IO_ERROR").alias("reason"),
+        F.concat(relative, F.lit(" is not UTF-8 text")).alias("detail"),
+        F.to_json(F.struct(relative.alias("path"), F.col("length").alias("size"))).alias("raw_payload"),
+    )
+    return docs, too_large.unionByName(unreadable)
 
 
 def changed_documents(documents: DataFrame, previous: DataFrame) -> DataFrame:
@@ -120,8 +139,12 @@ def paragraph_chunks(documents: DataFrame, overlap: int = OVERLAP) -> DataFrame:
 
 
 def sentence_chunks(documents: DataFrame, overlap: int = OVERLAP) -> DataFrame:
-    """Chunks that end after ``.``, ``!`` or ``?`` and spaces, or a newline."""
-    pattern = r"""(?s)(.*?(?:[.!?]+["')\]]*[ \t]+|\n+|\z))"""
+    """Chunks that end after ``!`` or ``?`` and white space, or after a full
+    stop and white space unless a lower-case letter follows.
+
+    A line break is white space like any other.
+    """
+    pattern = r"""(?s)(.*?(?:[!?]["')\]]*[ \t\r\n]++|[.]["')\]]*[ \t\r\n]++(?!\p{Ll})|\z))"""
     parts = F.regexp_extract_all("text", F.lit(pattern), 1)
     return _chunks(documents, parts, F.array().cast("array<string>"), overlap)
 
@@ -139,8 +162,8 @@ def parse_responses(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``response`` column and whatever names its document and chunk.
     """
     clean = F.trim(F.regexp_replace("response", r"^\s+|\s+$", ""))
-    bare = F.regexp_replace(F.regexp_replace(clean, r"^```json?\n?", ""), r"```\s*$", "")
-    text = F.when(clean.startswith("```"), F.trim(bare)).otherwise(clean)
+    fence = r"^```[A-Za-z]*\s*|\s*```$"
+    text = F.when(clean.startswith("```"), F.regexp_replace(clean, fence, "")).otherwise(clean)
     rest = [c for c in responses.columns if c != "response"]
     whole = F.schema_of_variant(F.try_parse_json(text)).startswith("ARRAY")
     parsed = responses.withColumn("_list", F.when(whole, F.from_json(text, _CANDIDATE)))
@@ -154,7 +177,7 @@ def parse_responses(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.col("c.relationships").alias("relationships"),
     )
     bad = parsed.filter(F.col("_list").isNull()).select(
-        *rest, F.lit("EXTRACTION_ERROR").alias("reason"), F.lit("Failed to parse extraction output as JSON").alias("detail"),
+        *rest, F.lit("EXTRACTION_ERROR").alias("reason"), F.lit("the answer is no JSON array of the expected form").alias("detail"),
         F.col("response").alias("raw_payload"),
     )
     return rows, bad

@@ -81,7 +81,7 @@ def map_rows(rows: DataFrame, fields: list[Field]) -> DataFrame:
         failed = F.col(f"_text{i}").isNotNull() & F.col(f"_value{i}").isNull()
         told = F.when(failed, F.concat(F.lit(f"Cannot apply {kinds[i]} to {fields[i].path}: "), F.col(f"_text{i}")))
         if fields[i].required:
-            missing = F.when(F.col(f"_raw{i}").isNull(), F.lit(f"Required field missing: {fields[i].path}"))
+            missing = F.when(F.col(f"_raw{i}").isNull(), F.lit(f"no value at {fields[i].path}"))
             told = F.coalesce(missing, told)
         return told
 

@@ -6,18 +6,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphlog.functions.literals import canonical_json
+from graphlog.storage import file_system
 
 
 def write_events(events: DataFrame, path: str, mode: str = "append") -> None:
     """The event log as Parquet, one partition per month of event time.
 
-    Rows are gathered by month and a salt before writing, so that a month
-    with most of the data is still written by many tasks.
+    Rows are gathered by month, and adaptive execution splits a month into as
+    many tasks as its size needs.
     """
-    month = F.date_format("event_time", "yyyy-MM")
-    spread = F.pmod(F.xxhash64("model_id", "seq"), F.lit(16))
-    rows = events.withColumn("event_month", month)
-    rows.repartition("event_month", spread).write.mode(mode).partitionBy("event_month").parquet(path)
+    rows = events.withColumn("event_month", F.date_format("event_time", "yyyy-MM"))
+    rows.hint("rebalance", F.col("event_month")).write.mode(mode).partitionBy("event_month").parquet(path)
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
@@ -43,7 +42,7 @@ def write_topics(messages: DataFrame, target: str, options: dict[str, str] | Non
     if options:
         messages.write.format("kafka").options(**options).option("includeHeaders", "true").save()
         return
-    messages.write.mode("append").partitionBy("topic").parquet(target)
+    messages.hint("rebalance", F.col("topic")).write.mode("append").partitionBy("topic").parquet(target)
 
 
 def event_span(start: Column, end: Column) -> Column:
@@ -71,11 +70,9 @@ def read_published(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _versions(spark: SparkSession, root: str, committed: bool) -> list[int]:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    path = hadoop(root)
-    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files, path = file_system(spark, root)
     if not files.exists(path):
         return []
     names = [s.getPath().getName() for s in files.listStatus(path)]
     found = [int(n.removeprefix("version=")) for n in names if n.startswith("version=")]
-    return [v for v in found if not committed or files.exists(hadoop(f"{root}/version={v}/_SUCCESS"))]
+    return [v for v in found if not committed or files.exists(file_system(spark, f"{root}/version={v}/_SUCCESS")[1])]

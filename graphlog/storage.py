@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -24,19 +25,40 @@ def session(app: str, cores: int | str = "*", partitions: int = 8) -> SparkSessi
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+    """This application's own folder below the one ``spark.checkpoint.dir`` names.
 
+    It is removed when the driver ends, as nothing written there is a result.
     A temporary folder is used only by a local master that names none: on a
     cluster the executors would not see it.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="graphlog-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    context = spark.sparkContext
+    own = _OWN.get(context.applicationId)
+    if own is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared:
+            if context.master.split("[")[0] != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+            shared = tempfile.mkdtemp(prefix="graphlog-")
+        own = _OWN[context.applicationId] = f"{shared.rstrip('/')}/graphlog-{uuid.uuid4().hex}"
+        atexit.register(_remove, spark, own)
+    return own
+
+
+_OWN: dict[str, str] = {}
+
+
+def file_system(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop for a path of any scheme."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        files, where = file_system(spark, path)
+        files.delete(where, True)
+    except Exception:  # noqa: BLE001  the session may be gone, and the folder with it
+        pass
 
 
 def scratch_path(spark: SparkSession) -> str:

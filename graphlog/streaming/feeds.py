@@ -10,16 +10,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from graphlog.operators.log import ORIGIN, outbox
 from graphlog.sources.documents import changed_documents
+from graphlog.storage import file_system
 
 
 def _empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """What is stored at ``path`` so far; nothing before the first batch."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception as error:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return spark.createDataFrame([], schema)
+    files, where = file_system(spark, path)
+    return spark.read.schema(schema).parquet(path) if files.exists(where) else spark.createDataFrame([], schema)
 
 
 def drain_outbox(events: DataFrame, target: str, checkpoint: str) -> StreamingQuery:

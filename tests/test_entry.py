@@ -1,7 +1,7 @@
 import __spark_entry__ as entry
 
 
-def test_every_query_builds_and_has_rows_or_a_schema(spark):
+def test_some_queries_build_and_run(spark):
     names = ["state_at", "authority_fold", "keyset_page", "typed_view", "map_rows"]
     queries = entry.queries()
     for name in names:

@@ -69,17 +69,25 @@ def test_paths_stay_in_their_tenant(spark):
 def test_neighbourhood(spark, depth):
     edges = random_edges(3)
     roots = [("t0", "n00"), ("t1", "n03"), ("t0", "n99")]
-    got = graph.neighbourhood(spark.createDataFrame(edges, EDGES), spark.createDataFrame(roots, "model_id string, node string"), depth)
+    got = graph.neighbourhood(spark.createDataFrame(edges, EDGES), spark.createDataFrame(roots, "model_id string, node string"), depth, most=9)
     want = set()
     for m, r in roots:
         near, seen, front = neighbours(edges, m), {r}, {r}
-        for _ in range(min(depth, 3)):
+        for _ in range(depth):
             front = {b for a in front for b in near.get(a, ())}
             seen |= front
         want |= {(m, r, n) for n in seen - {r}}
     assert {tuple(r) for r in got.collect()} == want
 
 
+def test_bounds_are_errors_not_shorter_answers(spark):
+    edges, roots = spark.createDataFrame(random_edges(3), EDGES), spark.createDataFrame([("t0", "n00")], "model_id string, node string")
+    with pytest.raises(ValueError):
+        graph.neighbourhood(edges, roots, 4)
+    with pytest.raises(ValueError):
+        graph.shortest_paths(edges, roots.selectExpr("model_id", "node AS src", "'n05' AS dst"), 11)
+
+
 def test_patterns_use_no_edge_twice(spark):
     edges = spark.createDataFrame([("t0", "R", "a", "x"), ("t0", "R", "b", "x"), ("t0", "S", "x", "y"), ("t1", "R", "c", "x")], EDGES)
     nodes = spark.createDataFrame([("t0", n, k) for n, k in (("a", "p"), ("b", "p"), ("x", "q"), ("y", "r"))] + [("t1", "c", "p")], "model_id string, node string, type string")
@@ -100,8 +108,11 @@ def test_pages_cover_everything_once(spark):
         seen += [r.seq for r in rows]
         after = rows[0].next_after if rows else None
     assert seen == [i for i in range(1, 101) if i % 3]
-    assert read.page(nodes, "t0", "item", 0, 0).count() == 1
-    odd = read.filtered_page(nodes, "t0", "item", {"s": "1"}, limit=1000).collect()
+    for wrong in (0, 501):
+        with pytest.raises(ValueError):
+            read.page(nodes, "t0", "item", 0, wrong)
+    assert read.page(nodes, "t0", "item", 0, 501, most=600).count() == 67
+    odd = read.filtered_page(nodes, "t0", "item", {"s": "1"}, limit=100).collect()
     assert [r.seq for r in odd] == [i for i in range(1, 101) if i % 3 and i % 2]
     assert read.filtered_page(nodes, "t0", "item", {"gone": "1"}).count() == 0
     assert read.typed_scan(nodes, "t0", "item", False).count() == sum(1 for i in range(1, 101) if i % 3 and i % 7)

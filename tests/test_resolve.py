@@ -62,7 +62,7 @@ def test_blocking_misses_no_pair(spark, threshold):
         assert best.get(cid) == ((min(options)[1], -min(options)[0]) if options else None)
 
 
-@pytest.mark.parametrize("block", [1, 1 << 20])
+@pytest.mark.parametrize("block", [1, 500, 1 << 20])
 def test_nearest_equals_brute_force(spark, block):
     rng = np.random.default_rng(3)
     vectors = [(f"t{i % 2}", f"n{i:03}", "m1" if i % 5 else "m2", rng.normal(size=6).tolist()) for i in range(120)]
@@ -91,7 +91,9 @@ def test_tiers(spark):
         "typed": ("NEEDS_REVIEW", "ALL", None), "other": ("NEEDS_REVIEW", "ALL", None),
     }
     review_score = {r.candidate_id: r.score for r in resolve.resolve(cands, nodes, vectors, 0.85).filter("node is null").collect()}
-    assert review_score["typed"] == pytest.approx(1.0) and review_score["other"] == 0.0
+    assert review_score["typed"] == pytest.approx(1.0) and review_score["other"] is None
+    near = resolve.resolve(cands.filter("candidate_id = 'fuzzy'"), nodes, None, 0.95).first()
+    assert (near.outcome, near.score) == ("NEEDS_REVIEW", pytest.approx(0.9))
     floor = resolve.resolve(cands.filter("candidate_id = 'fuzzy'"), nodes, None, 0.95, review_floor=0.5).first()
     assert (floor.outcome, floor.score) == ("NEEDS_REVIEW", pytest.approx(0.9))
 

@@ -69,7 +69,8 @@ scored AS (SELECT c.model_id, c.type, c.name, k.node,
    1.0 - CAST(levenshtein(c.name, k.name) AS DOUBLE) / greatest(length(c.name), length(k.name)) AS score
    FROM (SELECT DISTINCT model_id, type, name FROM cand) c JOIN names k ON c.model_id = k.model_id AND c.type = k.type),
 alike AS (SELECT model_id, type, name, max(score) AS score, min_by(node, (-score, node)) AS node FROM scored WHERE score >= 0.85 GROUP BY model_id, type, name),
-fuzzy AS (SELECT c.candidate_id, a.node, a.score FROM cand c JOIN alike a USING (model_id, type, name))
+fuzzy AS (SELECT c.candidate_id, a.node, a.score FROM cand c JOIN alike a USING (model_id, type, name)),
+spelt AS (SELECT c.candidate_id, max(s.score) AS score FROM cand c JOIN scored s USING (model_id, type, name) WHERE s.score >= 0.6 GROUP BY c.candidate_id)
 """
 
 
@@ -140,8 +141,8 @@ tiers AS (
  SELECT candidate_id, 'MATCH' AS outcome, 'EXACT' AS tier, node, score FROM exact
  UNION ALL SELECT candidate_id, 'MATCH', 'EMBEDDING', node, score FROM emb
  UNION ALL SELECT candidate_id, 'MATCH', 'FUZZY', node, score FROM fuz
- UNION ALL SELECT c.candidate_id, 'NEEDS_REVIEW', 'ALL', NULL, coalesce((SELECT max(score) FROM near n WHERE n.candidate_id = c.candidate_id), 0.0)
-  FROM cand c WHERE candidate_id NOT IN (SELECT candidate_id FROM exact) AND candidate_id NOT IN (SELECT candidate_id FROM emb)
+ UNION ALL SELECT c.candidate_id, 'NEEDS_REVIEW', 'ALL', NULL, greatest((SELECT max(score) FROM near n WHERE n.candidate_id = c.candidate_id), s.score)
+  FROM cand c LEFT JOIN spelt s USING (candidate_id) WHERE candidate_id NOT IN (SELECT candidate_id FROM exact) AND candidate_id NOT IN (SELECT candidate_id FROM emb)
   AND candidate_id NOT IN (SELECT candidate_id FROM fuzzy))
 """
 

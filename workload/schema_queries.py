@@ -50,8 +50,9 @@ def typed_view_casts(spark, folder):
 )
 def view_refresh(spark, folder):
     types = spark.sql("SELECT 't0' AS model_id, 'customer' AS type, true AS exposed, 3L AS schema_version")
-    views.refresh_views(spark, nodes(spark, folder, only=["customer"]), types, _customer_registry(spark), {"v_t0_customer": 2})
-    return spark.sql("SELECT segment, count(*) AS n, sum(CASE WHEN vip THEN 1 ELSE 0 END) AS vips FROM v_t0_customer GROUP BY segment")
+    name = views.view_name("t0", "customer")
+    views.refresh_views(spark, nodes(spark, folder, only=["customer"]), types, _customer_registry(spark), {name: 2})
+    return spark.sql(f"SELECT segment, count(*) AS n, sum(CASE WHEN vip THEN 1 ELSE 0 END) AS vips FROM {name} GROUP BY segment")
 
 
 def _changes(spark, folder):
@@ -273,4 +274,4 @@ def agent_calls(spark, folder):
 )
 def agent_usage(spark, folder):
     quotas = spark.sql("SELECT * FROM VALUES ('t0','click',1), ('t1','view',2), ('t2','error',0) AS q(model_id, agent_id, per_hour)")
-    return report.hourly_usage(_calls(spark, folder), quotas).withColumn("hour", F.unix_micros("hour"))
+    return report.clock_hour_usage(_calls(spark, folder), quotas).withColumn("hour", F.unix_micros("hour"))
