@@ -117,7 +117,7 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", simhash.hexed(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
-@query("op10_sharding")
+@query("op10_sharding", shards.SQL)
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     rows = docs.select(

@@ -94,3 +94,29 @@ def place(rows: DataFrame, key: str, layout: Tree, grown: Tree | None = None, or
         *[col(c) for c in rows.columns if c.lower() not in taken],
         col(inner["_shard"]).alias(shard), (col(inner["_slot"]) - 1).alias(slot), col(inner["_grown"]).alias(grown_shard),
     )
+
+
+def placement_sql(shards: int, rows: str) -> str:
+    """SQL over ``rows`` (rid, key) for (rid, shard): the same draws, level by level."""
+    levels, leaves = _levels(tree(shards))
+    before = f"SELECT rid, key, '' AS at FROM {rows}"
+    for level in levels:
+        nodes = ", ".join(f"('{parent}', '{path}', {weight})" for parent, below in level.items() for path, weight in below)
+        draw = "-ln((('0x' || substr(md5(key || '/' || n.path), 1, 13))::BIGINT + 1) / 4503599627370496.0::DOUBLE) / n.weight"
+        before = f"SELECT rid, key, min_by(n.path, {draw}) AS at FROM ({before}) b JOIN (VALUES {nodes}) n(parent, path, weight) ON n.parent = b.at GROUP BY rid, key"
+    ends = ", ".join(f"('{path}', {shard})" for path, shard in leaves.items())
+    return f"SELECT rid, shard FROM ({before}) b JOIN (VALUES {ends}) s(path, shard) ON s.path = b.at"
+
+
+SQL = f"""WITH RECURSIVE steps(i, k, c) AS (SELECT i, 0, i FROM range(256) r(i) UNION ALL
+    SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM steps WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8),
+d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(doc_id::VARCHAR, '') AS key, hex(encode(coalesce(text, ''))) AS h FROM documents),
+m AS (SELECT rid, doc_id, (length(h) // 2 + 1)::BIGINT AS size, CASE WHEN h = '' THEN 0 ELSE xor(list_reduce(list_prepend(4294967295::BIGINT,
+    list_transform(range(1, length(h), 2), lambda i: ('0x' || h[i:i + 1])::BIGINT)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) END AS text_crc32
+    FROM d, crc),
+now AS ({placement_sql(16, "d")}),
+grown AS ({placement_sql(17, "d")})
+SELECT doc_id, size, text_crc32, 'key' AS law, now.shard::INT AS shard,
+    row_number() OVER (PARTITION BY now.shard ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown.shard::INT AS grown_shard
+FROM m JOIN now USING (rid) JOIN grown USING (rid)"""
