@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, IntegerType
 
-from graphlog.llm.common import col, once, pieces
+from graphlog.llm.common import col, once, pieces, tidy
 
 PIECES_KEPT = 100_000
 PAIRS_KEPT = 100_000
@@ -223,7 +223,7 @@ def _with(df: DataFrame, column: str, cast: str, run, made: str, kind: DataType,
     rest = [c for c in df.columns if c.lower() != out.lower()]
     names = [f"_c{i}" for i in range(len(rest))]
     source = df.select(*[col(c).alias(n) for c, n in zip(rest, names, strict=True)], col(column).cast(cast).alias("_in"))
-    done = source.mapInArrow(run, source.drop("_in").schema.add(made, kind))
+    done = source.mapInArrow(tidy(run), source.drop("_in").schema.add(made, kind))
     return done.select(*[F.col(n).alias(c) for n, c in zip(names, rest, strict=True)], F.col(made).alias(out))
 
 

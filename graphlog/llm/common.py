@@ -47,6 +47,27 @@ def serve(operator: str) -> dict:
     return store["held"]
 
 
+def tidy(run: Callable) -> Callable:
+    """``run`` over batches, after which the worker hands freed memory back.
+
+    An idle worker stays for a minute, beside the workers of the next stage.
+    """
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ctypes
+
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return tidied
+
+
 def pieces(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """A batch in runs of rows of about ``most`` bytes of ``column``; a longer row stands alone."""
     start = size = 0

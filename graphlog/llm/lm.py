@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphlog.llm.common import WORD, col, serve, spread
+from graphlog.llm.common import WORD, col, serve, spread, tidy
 from graphlog.storage import materialise
 
 SLICE_BYTES = 6 << 20
@@ -343,9 +343,9 @@ def score(docs: DataFrame, corpus: DataFrame | None = None, id_column: str = "do
     buckets = max(tasks, size // BUCKET_BYTES + 1)
 
     def grouped(rows: DataFrame) -> DataFrame:
-        return rows.repartition(tasks, "bucket").sortWithinPartitions("bucket", "n").mapInArrow(_look_up(buckets, back, frequent), _ROW)
+        return rows.repartition(tasks, "bucket").sortWithinPartitions("bucket", "n").mapInArrow(tidy(_look_up(buckets, back, frequent)), _ROW)
 
-    packs = slim(docs).mapInArrow(_pack(buckets, own, True, frequent), _ROW)
+    packs = slim(docs).mapInArrow(tidy(_pack(buckets, own, True, frequent)), _ROW)
     if own:
         sums = grouped(packs)
     else:

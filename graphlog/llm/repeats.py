@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphlog.llm.common import col, free_name, once, spread
+from graphlog.llm.common import col, once, spread, tidy
 from graphlog.storage import materialise
 
 WIDTH = 100
@@ -422,18 +422,18 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     texts = source.select("_id", "_part", "_text")
 
     def settled(rows: DataFrame, match) -> DataFrame:
-        return rows.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(match, _ROW)
+        return rows.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(match), _ROW)
 
     def lists(rows: DataFrame) -> DataFrame:
         return rows.groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.struct("part", "contested", "starts", "stops")).alias("_found"))
 
-    found = materialise(settled(texts.mapInArrow(_index(width, buckets), _ROW), _match(width)))
+    found = materialise(settled(texts.mapInArrow(tidy(_index(width, buckets)), _ROW), _match(width)))
     # whole rows, as in the last join: both then read one shuffle of the texts
     open_runs = source.join(lists(found.filter("contested")), "_id")
-    late = settled(open_runs.mapInArrow(_windows(width, buckets), _ROW), _first(width))
+    late = settled(open_runs.mapInArrow(tidy(_windows(width, buckets)), _ROW), _first(width))
     all_spans = lists(found.filter("NOT contested").unionByName(late))
     joined = source.join(all_spans, "_id", "left")
     schema = joined.drop("_id", "_part", "_found").schema
     shape = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in schema] + ["_kept binary", "_spans array<struct<start:bigint,stop:bigint>>"])
-    done = joined.mapInArrow(_cut, shape)
+    done = joined.mapInArrow(tidy(_cut), shape)
     return done.select(*[F.col(n).alias(c) for c, n in zip(rest, names, strict=True)], F.col("_kept").alias(kept), F.col("_spans").alias(spans))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from graphlog.llm.common import col, free_name, pieces, serve
+from graphlog.llm.common import col, free_name, pieces, serve, tidy
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 #: rate -> (numerator, denominator, scale, least spread of its fence, whether low values are judged too)
@@ -71,7 +71,7 @@ def measure(docs: DataFrame, keep: list[str], text: str = "text", out: str = "st
     stats = StructType()
     for s in STATS:
         stats = stats.add(s, "long")
-    done = source.mapInArrow(_count, source.drop("_text").schema.add("_stats", stats))
+    done = source.mapInArrow(tidy(_count), source.drop("_text").schema.add("_stats", stats))
     return done.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], F.col("_stats").alias(out))
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphlog.llm.common import col, free_name, pieces, serve, spread
+from graphlog.llm.common import col, free_name, pieces, serve, spread, tidy
 from graphlog.storage import materialise
 
 BUCKET_ROWS = 4096
@@ -97,7 +97,7 @@ def fingerprints(docs: DataFrame, keep: list[str], text: str = "text", out: str
     names = [f"_k{i}" for i in range(len(keep))]
     source = docs.select(*[col(c).alias(n) for c, n in zip(keep, names, strict=True)], col(text).cast("string").alias("_text"))
     schema = source.drop("_text").schema.add("_print", "long").add("_wide", "binary")
-    made = source.mapInArrow(_prints(words, fold, WIDE if wide else 0), schema)
+    made = source.mapInArrow(tidy(_prints(words, fold, WIDE if wide else 0)), schema)
     more = [F.col("_wide").alias(wide)] if wide else []
     return made.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], F.col("_print").alias(out), *more)
 
@@ -121,8 +121,11 @@ def _forest(nodes: np.ndarray, prints: np.ndarray, cut: int | None, distance: in
             near = near[tree[near] != tree[i]]
 
 
-def _scan(group: list[str], distance: int):
-    """Batches sorted by ``group``: the links of each group, one group in memory at a time."""
+def _scan(group: list[str], distance: int, joined: bool):
+    """Batches sorted by ``group``: the links of each group, one group in memory at a time.
+
+    ``joined``: a print is the node's own 64 bits and those in ``_bits``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -149,6 +152,7 @@ def _scan(group: list[str], distance: int):
             bits = batch.column("_bits")
             if pa.types.is_integer(bits.type):
                 prints = bits.to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, 1)
+                prints = np.hstack([nodes.view(np.uint64).reshape(-1, 1), prints]) if joined else prints
             else:
                 prints = np.frombuffer(b"".join(bits.to_pylist()), np.uint64).reshape(len(nodes), -1)
             change = np.zeros(len(nodes), bool)
@@ -171,7 +175,7 @@ def _scan(group: list[str], distance: int):
     return run
 
 
-def _linked(members: DataFrame, group: list[str], distance: int, rows: int) -> DataFrame:
+def _linked(members: DataFrame, group: list[str], distance: int, rows: int, joined: bool = False) -> DataFrame:
     """(src, dst) links between the members (*group, _node, _bits) of each group."""
     sizes = members.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     slices = F.ceil(F.col("_n") / F.lit(rows)).cast("int")
@@ -186,30 +190,32 @@ def _linked(members: DataFrame, group: list[str], distance: int, rows: int) -> D
     )
     dealt = members.join(sizes, group).select("_node", "_bits", *group, F.inline(tasks))
     keys = [*group, "_a", "_b"]
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_scan(keys, distance), "src long, dst long").distinct()
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tidy(_scan(keys, distance, joined)), "src long, dst long").distinct()
 
 
 def links(prints: DataFrame, column: str = "fingerprint", distance: int = 3, parts: int = 6, agree: int | None = None,
-          bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+          bucket_rows: int = BUCKET_ROWS, more: str | None = None) -> DataFrame:
     """(src, dst): links whose components are those of all pairs within ``distance`` bits.
 
     A key is made of ``agree`` of ``parts`` blocks, ``parts - distance``
     unless given. With more than that, pairs beyond ``parts - agree`` bits are
-    found only if they happen to agree in as many blocks. ``prints`` may
-    repeat a fingerprint; nulls take no part.
+    found only if they happen to agree in as many blocks. ``more`` names a
+    column with 64 further bits that count in the distance and have keys of
+    their own. ``prints`` may repeat a fingerprint; nulls take no part.
     """
     agree = parts - distance if agree is None else agree
     if not 0 < agree <= parts <= BITS:
         raise ValueError("need 0 < agree <= parts <= 64")
-    one = prints.select(col(column).alias("_node")).filter("_node IS NOT NULL").distinct()
+    one = prints.groupBy(col(column).alias("_node")).agg(F.min(col(more or column)).alias("_bits")).filter("_node IS NOT NULL")
     one = one.repartition(spread(prints.sparkSession), "_node")  # few bytes now, many rows next
     blocks = _edges(parts)
     keys = []
-    for chosen in combinations(range(parts), agree):
-        mask = sum(((1 << blocks[i][1]) - 1) << blocks[i][0] for i in chosen)
-        keys.append(F.col("_node").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)))
-    keyed = one.select("_node", F.posexplode(F.array(*keys)).alias("_set", "_key"))
-    return _linked(keyed.withColumn("_bits", F.col("_node")), ["_set", "_key"], distance, bucket_rows)
+    for word in ("_node", "_bits") if more else ("_node",):
+        for chosen in combinations(range(parts), agree):
+            mask = sum(((1 << blocks[i][1]) - 1) << blocks[i][0] for i in chosen)
+            keys.append(F.col(word).bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)))
+    keyed = one.select("_node", "_bits", F.posexplode(F.array(*keys)).alias("_set", "_key"))
+    return _linked(keyed, ["_set", "_key"], distance, bucket_rows, more is not None)
 
 
 def alike(prints: DataFrame, wide: str, root: str, similarity: float, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -286,10 +292,11 @@ def hexed(fingerprint) -> F.Column:
 
 
 def deduplicate(docs: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8,
-                distance: int = 9, parts: int = 10, agree: int = 3) -> DataFrame:
+                distance: int = 28, parts: int = 8, agree: int = 3) -> DataFrame:
     """One row of each group of near copies: that of the smallest id (nulls last), then of the smallest text hash.
 
-    Fingerprints within ``distance`` bits form candidate groups; inside each
+    Fingerprints of 128 bits within ``distance`` bits that agree in ``agree``
+    of ``parts`` blocks of either half form candidate groups; inside each
     group texts are linked if their wide fingerprints differ in no more bits
     than ``similarity`` of their shingle sets allows. Columns stay as they
     are; only the chosen rows' keys meet the texts.
@@ -298,8 +305,10 @@ def deduplicate(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     value = [col(id_column).isNull(), F.coalesce(col(id_column).cast("string"), F.lit("")), F.xxhash64(col(text))]
     marked = docs.withColumns(dict(zip(key, value, strict=True)))
     slim = docs.select(col(id_column).alias("_id"), col(text).alias("_t"), *[v.alias(k) for k, v in zip(key, value, strict=True)])
-    prints = materialise(fingerprints(slim, ["_id", *key], "_t", "_fp", words, wide="_w").withColumn("_node", F.xxhash64("_w")))
-    coarse = components(links(prints, "_fp", distance, parts, agree)).withColumnsRenamed({"node": "_fp", "component": "_near"})
+    prints = fingerprints(slim, ["_id", *key], "_t", "_fp", words, wide="_w")
+    more = F.conv(F.hex(F.substring("_w", 9, 8)), 16, -10).cast("long")
+    prints = materialise(prints.withColumns({"_node": F.xxhash64("_w"), "_more": more}))
+    coarse = components(links(prints, "_fp", distance, parts, agree, more="_more")).withColumnsRenamed({"node": "_fp", "component": "_near"})
     alone = prints.groupBy("_fp").agg(F.min("_w").alias("_least"), F.max("_w").alias("_most")).filter("_least <> _most")
     grouped = coarse.unionByName(alone.join(coarse, "_fp", "left_anti").select("_fp", F.col("_fp").alias("_near")))
     close = alike(prints.select("_fp", "_w").distinct().join(grouped, "_fp"), "_w", "_near", similarity)

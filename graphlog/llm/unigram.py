@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from graphlog.llm.common import col, once, pieces
+from graphlog.llm.common import col, once, pieces, tidy
 
 NODES_KEPT = 250_000
 WORDS_KEPT = 150_000
@@ -149,5 +149,5 @@ def count_tokens(docs: DataFrame, path: str, keep: list[str], text: str = "text"
     names = [f"_k{i}" for i in range(len(keep))]
     source = docs.select(*[col(c).alias(n) for c, n in zip(keep, names, strict=True)], col(text).cast("string").alias("_text"))
     schema: StructType = source.select(*names).schema.add("_words", "long").add("_tokens", "long")
-    made = source.mapInArrow(_counter(shared), schema)
+    made = source.mapInArrow(tidy(_counter(shared)), schema)
     return made.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], F.col("_words").alias(n_words), F.col("_tokens").alias(n_tokens))

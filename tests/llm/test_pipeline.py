@@ -36,9 +36,8 @@ def near_groups(texts):
     """Kept indexes: the first of each group, over all pairs."""
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["_k0", "_text"])
     made = pa.Table.from_batches(simhash._prints(5, True, simhash.WIDE)(iter([batch])))
-    prints = [p & (2**64 - 1) for p in made.column("_print").to_pylist()]
     wide = [int.from_bytes(w, "little") for w in made.column("_wide").to_pylist()]
-    masks = [((1 << w) - 1) << s for s, w in simhash._edges(10)]
+    masks = [((1 << w) - 1) << s for s, w in simhash._edges(8)]
 
     def join(pairs):
         tree = list(range(len(texts)))
@@ -52,8 +51,11 @@ def near_groups(texts):
             tree[max(find(i), find(j))] = min(find(i), find(j))
         return [find(i) for i in range(len(texts))]
 
+    def agree(differ):
+        return any(sum(not differ >> 64 * half & m for m in masks) >= 3 for half in (0, 1))
+
     pairs = [(i, j) for i in range(len(texts)) for j in range(i)]
-    close = join((i, j) for i, j in pairs if (d := prints[i] ^ prints[j]).bit_count() <= 9 and sum(not d & m for m in masks) >= 3)
+    close = join((i, j) for i, j in pairs if ((wide[i] ^ wide[j]) & (2**128 - 1)).bit_count() <= 28 and agree(wide[i] ^ wide[j]))
     groups = join((i, j) for i, j in pairs if close[i] == close[j] and (wide[i] ^ wide[j]).bit_count() <= 78)
     return sorted(set(groups))
 

@@ -86,7 +86,7 @@ def test_near_copies_go_and_unlike_texts_stay(spark):
         half = t.split(" ")[:80]
         data.append((200 + i, " ".join(half) + " " + odd.prose(rnd, 150).replace("\n", " "), "en", "b", 0))
     df = odd.frame(spark, data + data[:3])
-    kept = sorted(r.doc_id for r in simhash.deduplicate(df, distance=12, agree=2).collect())
+    kept = sorted(r.doc_id for r in simhash.deduplicate(df, agree=2).collect())
     assert [i for i in kept if i < 100] == list(range(12))
     assert [i for i in kept if i >= 200] == list(range(200, 212))
     assert len([i for i in kept if 100 <= i < 200]) <= 1
