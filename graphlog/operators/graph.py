@@ -116,14 +116,15 @@ def match(nodes: DataFrame, edges: DataFrame, pattern: list[Spot | Hop]) -> Data
 
 
 def _next_level(front: DataFrame, last: DataFrame, step: DataFrame, key: list[str]) -> DataFrame:
-    """New nodes one step on.
+    """New nodes one step on, each with its smallest predecessor.
 
     A step from hop k can only meet hops k-1, k and k+1, so new nodes are
     told by the last two levels.
     """
     known = front.select(*key, "node").unionByName(last.select(*key, "node"))
     ahead = front.select(*key, F.col("node").alias("a")).join(step, ["model_id", "a"])
-    return ahead.select(*key, F.col("b").alias("node")).distinct().join(known, key + ["node"], "left_anti")
+    fresh = ahead.groupBy(*key, F.col("b").alias("node")).agg(F.min("a").alias("parent"))
+    return fresh.join(known, key + ["node"], "left_anti")
 
 
 def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = MAX_HOPS, most: int = MAX_HOPS) -> DataFrame:
@@ -182,8 +183,9 @@ def _walk_back(step: DataFrame, levels: dict[str, list[DataFrame]], meetings: li
     From the nodes where a source's pairs met, the search goes on towards
     their targets through the nodes the backward search has seen at the right
     distance. That depends on the source and the hop it met at, not on the
-    target, so pairs share it. The paths are then read off from the targets:
-    only the nodes on them are asked for their smallest predecessor.
+    target, so pairs share it. Both searches keep each node's smallest
+    predecessor, so the paths are read off from the targets by one small
+    equi-join per hop.
     """
     pair = ["model_id", "src", "dst"]
     shared = ["model_id", "src", "i"]
@@ -206,35 +208,27 @@ def _walk_back(step: DataFrame, levels: dict[str, list[DataFrame]], meetings: li
     for hop in range(1, depth_j + 1):
         goal = materialise(wanted(hop))
         narrow = step.join(goal.select("model_id", F.col("node").alias("b")).distinct(), ["model_id", "b"], "left_semi")
-        # made distinct before the goal test, not after: that combines on the
-        # map side, while the test would shuffle every step
+        # reduced before the goal test, not after: that combines on the map
+        # side, while the test would shuffle every step
         ahead = past[-1].select(*shared, F.col("node").alias("a")).join(narrow, ["model_id", "a"])
-        ahead = ahead.select(*shared, F.col("b").alias("node")).distinct()
+        ahead = ahead.groupBy(*shared, F.col("b").alias("node")).agg(F.min("a").alias("parent"))
         past.append(materialise(ahead.join(goal, shared + ["node"], "left_semi")))
 
     trail = settled.select("*", F.col("dst").alias("node"), F.array("dst").alias("path"))
 
-    def back(trail: DataFrame, before: DataFrame, on: Column) -> DataFrame:
-        """Put each path's smallest predecessor among ``before`` ahead of it."""
-        key = [c for c in before.columns if c != "node"]
-        asked = trail.filter(on).select(*key, F.col("node").alias("b")).distinct()
-        parents = (
-            asked.join(step, ["model_id", "b"])
-            .join(before.withColumnRenamed("node", "a"), key + ["a"], "left_semi")
-            .groupBy(*key, F.col("b").alias("node"))
-            .agg(F.min("a").alias("parent"))
-        )
-        joined = trail.join(parents, key + ["node"], "left")
-        return materialise(
-            joined.select(
-                *pair, "i", "j",
-                F.when(on, F.col("parent")).otherwise(F.col("node")).alias("node"),
-                F.when(on, F.concat(F.array("parent"), F.col("path"))).otherwise(F.col("path")).alias("path"),
-            )
+    def back(trail: DataFrame, level: DataFrame, on: Column) -> DataFrame:
+        """Put the parent that the search kept ahead of each path's first node."""
+        key = [c for c in level.columns if c != "parent"]
+        joined = trail.join(level, key, "left")
+        return joined.select(
+            *pair, "i", "j",
+            F.when(on, F.col("parent")).otherwise(F.col("node")).alias("node"),
+            F.when(on, F.concat(F.array("parent"), F.col("path"))).otherwise(F.col("path")).alias("path"),
         )
 
     for hop in range(depth_j, 0, -1):
-        trail = back(trail, past[hop - 1], F.col("j") >= hop)
+        trail = back(trail, past[hop], F.col("j") >= hop)
+    trail = materialise(trail)
     for i in range(depth_i, 0, -1):
-        trail = back(trail, levels["src"][i - 1], F.col("i") >= i)
+        trail = back(trail, levels["src"][i], F.col("i") >= i)
     return trail.select(*pair, (F.col("i") + F.col("j")).alias("length"), "path")
