@@ -16,7 +16,7 @@ from __future__ import annotations
 import base64
 from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -152,7 +152,7 @@ class Vocabulary:
         return None
 
 
-def _encoder(shared, pattern: str):
+def _encoder(shared, pattern: str, decoded: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
@@ -185,9 +185,11 @@ def _encoder(shared, pattern: str):
                     flat.extend(chain.from_iterable(map(ids_of, found(text or ""))))
                     stops.append(len(flat))
                 offsets, values = pa.array(stops, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if flat else [], pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-1], pa.ListArray.from_arrays(offsets, values)], names=[*part.schema.names[:-1], "_ids"]
-                )
+                made = [pa.ListArray.from_arrays(offsets, values)]
+                if decoded:
+                    tokens = list(map(vocabulary.bytes_of.__getitem__, flat))
+                    made.append(pa.array([b"".join(tokens[a:b]) for a, b in pairwise(stops)], pa.binary()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], names=[*part.schema.names[:-1], "_ids", "_bytes"][:part.num_columns + decoded])
 
     return run
 
@@ -219,34 +221,44 @@ def _ship(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast((read_ranks(path), path))
 
 
-def _with(df: DataFrame, column: str, cast: str, run, made: str, kind: DataType, out: str) -> DataFrame:
-    rest = [c for c in df.columns if c.lower() != out.lower()]
+def _with(df: DataFrame, column: str, cast: str, run, made: dict[str, tuple[str, DataType]]) -> DataFrame:
+    """``made``: name in the batches -> (name in the result, type)."""
+    rest = [c for c in df.columns if c.lower() not in {out.lower() for out, _ in made.values()}]
     names = [f"_c{i}" for i in range(len(rest))]
     source = df.select(*[col(c).alias(n) for c, n in zip(rest, names, strict=True)], col(column).cast(cast).alias("_in"))
-    done = source.mapInArrow(tidy(run), source.drop("_in").schema.add(made, kind))
-    return done.select(*[F.col(n).alias(c) for n, c in zip(names, rest, strict=True)], F.col(made).alias(out))
+    schema = source.drop("_in").schema
+    for name, (_, kind) in made.items():
+        schema = schema.add(name, kind)
+    done = source.mapInArrow(tidy(run), schema)
+    return done.select(*[F.col(n).alias(c) for n, c in zip(names, rest, strict=True)], *[F.col(n).alias(out) for n, (out, _) in made.items()])
 
 
-def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
+def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:
     """``df`` with the token ids of ``text`` as an array of ints.
 
     ``pattern`` cuts the text into pieces that are encoded separately; no
     special tokens. A null or empty text has no ids. A column already called
-    ``out`` is replaced. Rows stay where they are: nothing is shuffled.
+    ``out`` is replaced. ``decoded`` names a column for the bytes the ids
+    stand for, read back in the same pass. Rows stay where they are: nothing
+    is shuffled.
     """
-    return _with(df, text, "string", _encoder(_ship(df.sparkSession, path), pattern), "_ids", ArrayType(IntegerType()), out)
+    made: dict[str, tuple[str, DataType]] = {"_ids": (out, ArrayType(IntegerType()))}
+    if decoded:
+        made["_bytes"] = decoded, BinaryType()
+    return _with(df, text, "string", _encoder(_ship(df.sparkSession, path), pattern, bool(decoded)), made)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "bytes") -> DataFrame:
     """``df`` with the bytes that ``ids`` stand for; null ids give null."""
-    return _with(df, ids, "array<int>", _decoder(_ship(df.sparkSession, path)), "_bytes", BinaryType(), out)
+    return _with(df, ids, "array<int>", _decoder(_ship(df.sparkSession, path)), {"_bytes": (out, BinaryType())})
 
 
-def digest(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """``df`` with ids and bytes turned into n_tokens, ids_sha256 and decoded_sha256."""
-    coded = decode(encode(df, path, pattern, text, "_ids_"), path, "_ids_", "_bytes_")
+def digest(df: DataFrame, path: str, pattern: str, keep: list[str], text: str = "text") -> DataFrame:
+    """The columns ``keep``, n_tokens, and SHA-256 of the ids (decimal, joined by a space) and of the bytes decoded from them."""
+    slim = df.select(*[col(c) for c in keep], col(text).alias("_ids_"))
+    coded = encode(slim, path, pattern, "_ids_", "_ids_", "_bytes_")
     return coded.select(
-        *[col(c) for c in df.columns if c.lower() not in ("n_tokens", "ids_sha256", "decoded_sha256")],
+        *[col(c) for c in keep],
         F.size("_ids_").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("_ids_", " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("_bytes_", 256).alias("decoded_sha256"),

@@ -7,8 +7,8 @@ distance`` of ``parts`` equal blocks, so each choice of that many blocks gives
 one join key and every linked pair meets under at least one of them.
 
 Equal fingerprints are one row from the start. Members of a bucket are
-compared inside a task and only a spanning forest of their links goes on,
-never all pairs; a bucket above ``bucket_rows`` is dealt out as pairs of
+compared inside a task and only the links of each member to the smallest of
+its component go on, never all pairs; a bucket above ``bucket_rows`` is dealt out as pairs of
 slices, each its own task, so that it is searched whole with bounded memory.
 """
 
@@ -108,17 +108,24 @@ def _edges(parts: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def _forest(nodes: np.ndarray, prints: np.ndarray, cut: int | None, distance: int) -> Iterator[tuple[int, int]]:
-    """Links that span each component of the pairs of rows, or of pairs across ``cut``."""
+def _stars(nodes: np.ndarray, prints: np.ndarray, cut: int | None, distance: int) -> np.ndarray:
+    """(smallest node, node) for each component of the pairs of rows, or of pairs across ``cut``.
+
+    At most rows - 1 links, and the same ones from every bucket that holds the
+    same group, so that a large group does not multiply them.
+    """
     tree = np.arange(len(nodes))
     for i in range(len(nodes) if cut is None else cut):
         first = i + 1 if cut is None else cut
-        near = first + np.flatnonzero(np.bitwise_count(prints[first:] ^ prints[i]).sum(axis=1) <= distance)
-        near = near[tree[near] != tree[i]]
-        while len(near):  # one link for each tree that is met, at most rows - 1 in all
-            yield int(nodes[i]), int(nodes[near[0]])
-            tree[tree == tree[near[0]]] = tree[i]
-            near = near[tree[near] != tree[i]]
+        near = tree[first:][np.bitwise_count(prints[first:] ^ prints[i]).sum(axis=1) <= distance]
+        near = np.unique(near[near != tree[i]])
+        if len(near):
+            tree[np.isin(tree, near)] = tree[i]
+    order = np.lexsort((nodes, tree))
+    nodes, tree = nodes[order], tree[order]
+    new = np.concatenate(([True], tree[1:] != tree[:-1]))
+    low = nodes[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    return np.stack([low, nodes], axis=1)[nodes != low]
 
 
 def _scan(group: list[str], distance: int, joined: bool):
@@ -130,17 +137,20 @@ def _scan(group: list[str], distance: int, joined: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         key = None
-        links: list[tuple[int, int]] = []
+        links: list[np.ndarray] = []
+        count = 0
 
         def close() -> None:
+            nonlocal count
             side, nodes, prints = (np.concatenate(x) for x in zip(*held, strict=True))
             if len(nodes) > 1:
                 order = np.argsort(side, kind="stable")
                 cut = int((side == 1).sum()) if side.any() else None
-                links.extend(_forest(nodes[order], prints[order], cut, distance))
+                links.append(_stars(nodes[order], prints[order], cut, distance))
+                count += len(links[-1])
 
         def flush() -> pa.RecordBatch:
-            pairs = np.array(links, np.int64).reshape(-1, 2)
+            pairs = np.concatenate([np.zeros((0, 2), np.int64), *links])
             links.clear()
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["src", "dst"])
 
@@ -166,8 +176,9 @@ def _scan(group: list[str], distance: int, joined: bool):
                     held = []
                 key = here
                 held.append((side[s:e], nodes[s:e], prints[s:e]))
-            if len(links) > 1 << 16:
+            if count > 1 << 16 or len(links) > 1 << 16:
                 yield flush()
+                count = 0
         if held:
             close()
         yield flush()

@@ -2,7 +2,7 @@
 
 The distinct pre-tokens a task meets go into one trie. A node stands for a
 prefix and keeps the best score of a segmentation of that prefix together with
-its number of tokens, worked out once from the nodes above when the node is
+its number of tokens, worked out once from the node above when the node is
 made; the node where a pre-token ends so holds its count. Words that share a
 prefix share all its scores, and no word is segmented twice.
 """
@@ -20,8 +20,8 @@ from pyspark.sql.types import StructType
 
 from graphlog.llm.common import col, once, pieces, tidy
 
-NODES_KEPT = 250_000
-WORDS_KEPT = 150_000
+NODES_KEPT = 500_000
+WORDS_KEPT = 500_000
 LONG_WORD = 64
 
 
@@ -31,7 +31,6 @@ class Unigrams:
 
     costs: dict[str, int]
     byte: int
-    longest: int
 
 
 def read_pieces(path: str) -> Unigrams:
@@ -46,60 +45,66 @@ def read_pieces(path: str) -> Unigrams:
     names = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
     total = sum(1 / r for r in range(1, len(names) + 1))
     costs = {n: round(1000 * math.log(r * total)) for r, n in enumerate(names, 1)}
-    return Unigrams(costs, max(costs.values()) + 1000, max(map(len, costs)))
+    return Unigrams(costs, max(costs.values()) + 1000)
 
 
 class Trie:
-    """Prefixes seen so far with their best cost and count; forgotten together when there are too many."""
+    """Prefixes seen so far, each with its best cost and count; forgotten together when there are too many.
+
+    A node also keeps its open starts: where a piece may begin that reaches
+    past this prefix, with the best cost and count up to there. Only those are
+    tried when a node is made below it.
+    """
 
     def __init__(self, model: Unigrams):
         self.model = model
+        #: prefix of a piece -> the piece's cost, or -1 where no piece ends
+        self.known = {name[:n]: -1 for name in model.costs for n in range(1, len(name))} | model.costs
         self.clear()
 
     def clear(self) -> None:
-        self.child: dict[tuple[int, str], int] = {}
-        self.cost, self.count = [0], [0]
+        self.nodes: dict[str, tuple[int, int, tuple]] = {"": (0, 0, ())}
 
     def count_of(self, word: str) -> int:
-        if len(word) > LONG_WORD:
-            cost, count = [0], [0]
-            for end in range(1, len(word) + 1):
-                c, n = self._best(word, end, cost, count, range(end))
-                cost.append(c)
-                count.append(n)
-            return count[-1]
-        if len(self.cost) > NODES_KEPT:
+        """Tokens of the best segmentation: the count kept at the node where the word ends."""
+        size, nodes = len(word), self.nodes
+        if size > LONG_WORD:  # a long word's own prefixes are not kept
+            node = nodes[""]
+            for end in range(1, size + 1):
+                node = self._below(word, end, node)
+            return node[1]
+        if len(nodes) > NODES_KEPT:
             self.clear()
-        path, child, node = [0], self.child, 0
-        for end, letter in enumerate(word, 1):
-            below = child.get((node, letter))
-            if below is None:
-                c, n = self._best(word, end, self.cost, self.count, path)
-                below = child[node, letter] = len(self.cost)
-                self.cost.append(c)
-                self.count.append(n)
-            node = below
-            path.append(node)
-        return self.count[node]
-
-    def _best(self, word: str, end: int, cost: list[int], count: list[int], path) -> tuple[int, int]:
-        """(cost, tokens) of the best last piece of word[:end]; fewer tokens win a tie."""
-        costs = self.model.costs
-        best = None
-        for start in range(max(0, end - self.model.longest), end):
-            piece = costs.get(word[start:end])
+            nodes = self.nodes
+        end, node = size, nodes.get(word)
+        while node is None:  # the longest prefix that is there
+            end -= 1
+            node = nodes.get(word[:end])
+        while end < size:
+            end += 1
+            node = nodes[word[:end]] = self._below(word, end, node)
+        return node[1]
+
+    def _below(self, word: str, end: int, node: tuple[int, int, tuple]) -> tuple[int, int, tuple]:
+        """The node of word[:end], from that of word[:end - 1]; fewer tokens win a tie."""
+        cost, count, starts = node
+        known = self.known
+        low, few, still = 1 << 60, 0, []
+        for start in (*starts, (end - 1, cost, count)):
+            piece = known.get(word[start[0]:end])
             if piece is not None:
-                at = path[start]
-                found = cost[at] + piece, count[at] + 1
-                if best is None or found < best:
-                    best = found
-        size = len(word[end - 1].encode("utf-8", "surrogatepass"))
-        at = path[end - 1]
-        if word[end - 1] not in costs:
-            found = cost[at] + size * self.model.byte, count[at] + size
-            if best is None or found < best:
-                best = found
-        return best
+                still.append(start)
+                if piece >= 0:
+                    c, n = start[1] + piece, start[2] + 1
+                    if c < low or (c == low and n < few):
+                        low, few = c, n
+        letter = word[end - 1]
+        if letter not in self.model.costs:
+            size = len(letter.encode("utf-8", "surrogatepass"))
+            c, n = cost + size * self.model.byte, count + size
+            if c < low or (c == low and n < few):
+                low, few = c, n
+        return low, few, tuple(still)
 
 
 def _counter(shared):
