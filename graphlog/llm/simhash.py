@@ -10,18 +10,23 @@ Equal fingerprints are one row from the start. Members of a bucket are
 compared inside a task and only the links of each member to the smallest of
 its component go on, never all pairs; a bucket above ``bucket_rows`` is dealt out as pairs of
 slices, each its own task, so that it is searched whole with bounded memory.
+
+``deduplicate`` does not use fingerprints: near copies are found by an exact
+prefix filter over shingles and decided by the Jaccard similarity itself.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from graphlog.llm.common import col, free_name, pieces, serve, spread, tidy
 from graphlog.storage import materialise
@@ -29,6 +34,7 @@ from graphlog.storage import materialise
 BUCKET_ROWS = 4096
 BITS = 64
 WIDE = 8  # words of a wide fingerprint: 512 bits
+SET_HASHES = 1 << 20  # shingles of a slice of a candidate group
 
 
 def _votes(h: np.ndarray) -> np.ndarray:
@@ -52,29 +58,41 @@ def _remix(h: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _shingles(size: int, fold: bool):
+    """A text's hashes of its shingles of ``size`` words, one for a shorter text, none without words."""
+    import re
+
+    import xxhash
+
+    word = re.compile(rb"[^\x20\x09-\x0D]+")
+    digest = xxhash.xxh64_intdigest
+
+    def of(text: str | None) -> np.ndarray:
+        data = (text or "").encode()
+        words = word.findall(data.lower() if fold else data)
+        if not words:
+            return np.zeros(0, np.uint64)
+        n = max(1, len(words) - size + 1)
+        joined = memoryview(b" ".join(words))
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
+        return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, ends[-n:].tolist(), strict=True)), np.uint64, n)
+
+    return of
+
+
 def _prints(size: int, fold: bool, wide: int):
     """Arrow batches of (keys.., text) -> (keys.., fingerprint, wide fingerprint or null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
-
-        import xxhash
-
-        word = re.compile(rb"[^\x20\x09-\x0D]+")
-        digest = xxhash.xxh64_intdigest
+        hashes = _shingles(size, fold)
 
         def of(text: str | None) -> bytes:
-            data = (text or "").encode()
-            words = word.findall(data.lower() if fold else data)
-            if not words:
+            h = hashes(text)
+            if not len(h):
                 return bytes(8 * max(1, wide))
-            n = max(1, len(words) - size + 1)
-            joined = memoryview(b" ".join(words))
-            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-            starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
-            h = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, ends[-n:].tolist(), strict=True)), np.uint64, n)
             votes = [_votes(h), *[_votes(_remix(h, k)) for k in range(1, wide)]]
-            return np.packbits(np.concatenate(votes) * 2 > n, bitorder="little").tobytes()
+            return np.packbits(np.concatenate(votes) * 2 > len(h), bitorder="little").tobytes()
 
         serve("simhash")
         for batch in (part for whole in batches for part in pieces(whole, "_text")):
@@ -121,6 +139,11 @@ def _stars(nodes: np.ndarray, prints: np.ndarray, cut: int | None, distance: int
         near = np.unique(near[near != tree[i]])
         if len(near):
             tree[np.isin(tree, near)] = tree[i]
+    return _ties(nodes, tree)
+
+
+def _ties(nodes: np.ndarray, tree: np.ndarray) -> np.ndarray:
+    """(smallest node, node) of each tree."""
     order = np.lexsort((nodes, tree))
     nodes, tree = nodes[order], tree[order]
     new = np.concatenate(([True], tree[1:] != tree[:-1]))
@@ -229,15 +252,127 @@ def links(prints: DataFrame, column: str = "fingerprint", distance: int = 3, par
     return _linked(keyed, ["_set", "_key"], distance, bucket_rows, more is not None)
 
 
-def alike(prints: DataFrame, wide: str, root: str, similarity: float, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """(src, dst) links between wide fingerprints of one ``root``; nodes are their 64-bit hashes.
+def _sets(size: int):
+    """Arrow batches of (keys.., text) -> (keys.., row, node, n, set): the distinct shingles, and their hash as the node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+        from pyspark import TaskContext
+
+        serve("simhash")
+        hashes = _shingles(size, True)
+        row = TaskContext.get().partitionId() << 40
+        for batch in (part for whole in batches for part in pieces(whole, "_text")):
+            sets = [np.unique(hashes(t)) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            n = np.array([len(x) for x in sets], np.int32)
+            nodes = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+            ends = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
+            values = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
+            made = [pa.array(np.arange(row, row + len(n))), pa.array(nodes), pa.array(n), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))]
+            row += len(n)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*batch.schema.names[:-1], "_row", "_node", "_n", "_set"])
+
+    return run
+
+
+def _similar(nodes: np.ndarray, sizes: np.ndarray, values: np.ndarray, limit: Fraction) -> np.ndarray:
+    """(smallest node, node) for each component of the sets that share ``limit`` or more of their union.
+
+    Members of one component are not compared again, so that a dense group
+    costs one pass over its sets.
+    """
+    owner = np.repeat(np.arange(len(nodes)), sizes)
+    _, which, count = np.unique(values, return_inverse=True, return_counts=True)
+    held = owner[np.argsort(which, kind="stable")]
+    first = np.cumsum(count) - count
+    ends = np.cumsum(sizes)
+    tree = np.arange(len(nodes))
+    for i in range(len(nodes) - 1):
+        if (tree[i + 1:] == tree[i]).all():
+            continue
+        mine = which[ends[i] - sizes[i]:ends[i]]
+        mine = mine[count[mine] > 1]
+        many = count[mine]
+        at = np.arange(int(many.sum())) + np.repeat(first[mine] - (np.cumsum(many) - many), many)
+        shared = np.bincount(held[at], minlength=len(nodes))[i + 1:]
+        near = shared * (limit.numerator + limit.denominator) >= limit.numerator * (sizes[i] + sizes[i + 1:])
+        near = np.unique(tree[i + 1:][near])
+        near = near[near != tree[i]]
+        if len(near):
+            tree[np.isin(tree, near)] = tree[i]
+    return _ties(nodes, tree)
+
+
+def _compare(limit: Fraction):
+    """Batches sorted by (_near, _a, _b): the links of each group, one group in memory at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        key = None
+
+        def close() -> pa.RecordBatch:
+            nodes, sizes, values = (np.concatenate(x) for x in zip(*held, strict=True))
+            pairs = _similar(nodes, sizes, values, limit)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["src", "dst"])
 
-    Sets that share a fraction s of their union have cosine 2s / (1 + s), and
-    bits differ with the probability angle / pi.
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(n).to_numpy(zero_copy_only=False) for n in ("_near", "_a", "_b")]
+            nodes = batch.column("_node").to_numpy(zero_copy_only=False)
+            sets = batch.column("_set")
+            sizes = pc.list_value_length(sets).to_numpy(zero_copy_only=False).astype(np.int64)
+            values = sets.flatten().to_numpy(zero_copy_only=False)
+            ends = np.concatenate(([0], np.cumsum(sizes)))
+            change = np.zeros(len(nodes), bool)
+            for c in cols:
+                change[1:] |= c[1:] != c[:-1]
+            cuts = [0, *np.flatnonzero(change).tolist(), len(nodes)]
+            for s, e in zip(cuts, cuts[1:], strict=False):
+                here = tuple(int(c[s]) for c in cols)
+                if here != key and held:
+                    yield close()
+                    held = []
+                key = here
+                held.append((nodes[s:e], sizes[s:e], values[ends[s]:ends[e]]))
+        if held:
+            yield close()
+
+    return run
+
+
+def near(sets: DataFrame, similarity: float) -> DataFrame:
+    """(src, dst): links whose components are those of all pairs of sets of Jaccard ``similarity`` or more.
+
+    ``sets`` has (_node, _n, _set), a row per node, and is read several times.
+    With shingles ordered by the number of sets that hold them, rarest first,
+    such a pair shares one of the first n - ceil(similarity * n) + 1 of either
+    set. Those in no other set are skipped, so that only a set made up of
+    shared shingles has keys at all, and the frequent ones are keys of a set
+    that has no rarer. Sets connected by keys are a candidate group; each is
+    compared by exact counts, above ``SET_HASHES`` as pairs of slices.
     """
-    bits = round(WIDE * BITS * math.acos(2 * similarity / (1 + similarity)) / math.pi)
-    members = prints.select(col(root).alias("_root"), F.xxhash64(col(wide)).alias("_node"), col(wide).alias("_bits")).distinct()
-    return _linked(members, ["_root"], bits, bucket_rows)
+    limit = Fraction(str(similarity))
+    rows = sets.select("_node", "_n", F.explode("_set").alias("_h"))
+    often = rows.groupBy("_h").agg(F.count(F.lit(1)).alias("_df")).filter("_df > 1")
+    listed = rows.join(often, "_h").groupBy("_node").agg(F.first("_n").alias("_n"), F.collect_list(F.struct("_df", "_h")).alias("_all"))
+    least = F.floor((F.col("_n").cast("long") * limit.numerator + (limit.denominator - 1)) / limit.denominator)
+    room = (F.size("_all") - least + 1).cast("int")  # the prefix less the shingles of this set alone
+    keyed = listed.filter(room > 0).select("_node", F.explode(F.slice(F.array_sort("_all"), F.lit(1), room)).alias("_k"))
+    keys = materialise(keyed.select("_node", F.col("_k._h").alias("_h")))
+    low = keys.groupBy("_h").agg(F.min("_node").alias("_low"), F.count(F.lit(1)).alias("_c")).filter("_c > 1")
+    met = keys.join(low, "_h").filter("_node <> _low").select(F.col("_low").alias("src"), F.col("_node").alias("dst")).distinct()
+    grouped = components(met).withColumnsRenamed({"node": "_node", "component": "_near"})
+    members = materialise(sets.join(grouped, "_node"))
+    total = members.groupBy("_near").agg(F.sum("_n").alias("_t"))
+    slices = F.ceil(F.col("_t") / F.lit(SET_HASHES)).cast("int")
+    own = F.pmod(F.xxhash64("_node"), slices).cast("int")
+    # (a, b): the pair of slices compared; a slice alone is part of each of its pairs
+    others = F.filter(F.sequence(F.lit(0), slices - 1), lambda o: (slices == 1) | (o != own))
+    tasks = F.transform(others, lambda o: F.struct(F.least(own, o).alias("_a"), F.greatest(own, o).alias("_b")))
+    dealt = members.join(total, "_near").select("_near", "_node", "_set", F.inline(tasks))
+    order = ["_near", "_a", "_b"]
+    return dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(tidy(_compare(limit)), "src long, dst long").distinct()
 
 
 def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -306,25 +441,23 @@ def deduplicate(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
                 distance: int = 28, parts: int = 8, agree: int = 3) -> DataFrame:
     """One row of each group of near copies: that of the smallest id (nulls last), then of the smallest text hash.
 
-    Fingerprints of 128 bits within ``distance`` bits that agree in ``agree``
-    of ``parts`` blocks of either half form candidate groups; inside each
-    group texts are linked if their wide fingerprints differ in no more bits
-    than ``similarity`` of their shingle sets allows. Columns stay as they
-    are; only the chosen rows' keys meet the texts.
+    Texts are linked if their sets of shingles (64-bit hashes, A-Z lowered)
+    share ``similarity`` or more of their union; groups are the components of
+    all such pairs. ``distance``, ``parts`` and ``agree`` belonged to an
+    approximate search and decide nothing any more. Columns stay as they are;
+    only the chosen rows' keys meet the texts.
     """
     key = [free_name(docs, n) for n in ("_nid", "_sid", "_txt")]
     value = [col(id_column).isNull(), F.coalesce(col(id_column).cast("string"), F.lit("")), F.xxhash64(col(text))]
     marked = docs.withColumns(dict(zip(key, value, strict=True)))
-    slim = docs.select(col(id_column).alias("_id"), col(text).alias("_t"), *[v.alias(k) for k, v in zip(key, value, strict=True)])
-    prints = fingerprints(slim, ["_id", *key], "_t", "_fp", words, wide="_w")
-    more = F.conv(F.hex(F.substring("_w", 9, 8)), 16, -10).cast("long")
-    prints = materialise(prints.withColumns({"_node": F.xxhash64("_w"), "_more": more}))
-    coarse = components(links(prints, "_fp", distance, parts, agree, more="_more")).withColumnsRenamed({"node": "_fp", "component": "_near"})
-    alone = prints.groupBy("_fp").agg(F.min("_w").alias("_least"), F.max("_w").alias("_most")).filter("_least <> _most")
-    grouped = coarse.unionByName(alone.join(coarse, "_fp", "left_anti").select("_fp", F.col("_fp").alias("_near")))
-    close = alike(prints.select("_fp", "_w").distinct().join(grouped, "_fp"), "_w", "_near", similarity)
-    tied = components(close).withColumnsRenamed({"node": "_node", "component": "_root"})
-    labels = prints.join(tied, "_node", "left").withColumn("_root", F.coalesce("_root", "_node"))
-    order = F.struct(col(key[0]), F.col("_id"), col(key[2]), col(key[1]))
-    chosen = labels.groupBy("_root").agg(F.min(order).alias("_m")).select(*[F.col(f"_m.{k}").alias(k) for k in key]).distinct()
+    names = ["_k0", "_k1", "_k2", "_k3"]
+    slim = docs.select(*[v.alias(n) for v, n in zip([col(id_column), *value], names, strict=True)], col(text).cast("string").alias("_text"))
+    schema = slim.drop("_text").schema.add("_row", "long").add("_node", "long").add("_n", "integer").add("_set", ArrayType(LongType()))
+    made = materialise(slim.mapInArrow(tidy(_sets(words)), schema))
+    firsts = materialise(made.groupBy("_node").agg(F.min("_row").alias("_row")))
+    sets = made.select("_row", "_node", "_n", "_set").join(firsts, ["_node", "_row"], "left_semi").drop("_row")
+    tied = components(near(sets, similarity)).withColumnsRenamed({"component": "_root", "node": "_node"})
+    labels = made.select(*names, "_node").join(tied, "_node", "left").withColumn("_root", F.coalesce("_root", "_node"))
+    order = F.struct("_k1", "_k0", "_k3", "_k2")
+    chosen = labels.groupBy("_root").agg(F.min(order).alias("_m")).select(*[F.col(f"_m.{n}").alias(k) for n, k in zip(names[1:], key, strict=True)]).distinct()
     return marked.join(chosen, key, "left_semi").dropDuplicates(key).select(*[col(c) for c in docs.columns])

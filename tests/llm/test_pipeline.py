@@ -8,6 +8,7 @@ import public_tokenizers
 import pyarrow as pa
 import tiktoken
 from test_lines import plain as cut_lines
+from test_simhash import exact_groups
 
 from graphlog.llm import bpe, mix, rules, simhash
 
@@ -90,3 +91,8 @@ def test_stages_take_any_rows_and_return_the_columns(spark, tmp_path):
             assert docs.columns == COLUMNS
             docs = spark.createDataFrame(docs.collect(), odd.SCHEMA)
         assert corpus_pipeline.encode(spark, docs, str(tmp_path)).count() == docs.count()
+
+
+def test_run_with_groups_by_exact_jaccard(spark, tmp_path, monkeypatch):
+    monkeypatch.setitem(globals(), "near_groups", lambda texts: sorted(set(exact_groups(texts))))
+    test_run_equals_a_plain_version(spark, tmp_path)

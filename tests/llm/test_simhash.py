@@ -102,3 +102,46 @@ def test_odd_rows_are_kept_once_with_their_columns(spark):
     assert min(r[0] for r in data if not (r[1] or "").strip()) in {r.doc_id for r in found}
     assert simhash.deduplicate(odd.frame(spark, [])).count() == 0
     assert simhash.groups(odd.frame(spark, [])).count() == 0
+
+
+def exact_groups(texts, least=0.8):
+    def shingles(text):
+        words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+        return {b" ".join(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    sets = [shingles(t) for t in texts]
+    tree = list(range(len(sets)))
+
+    def find(i):
+        while tree[i] != i:
+            i = tree[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                tree[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(sets))]
+
+
+def test_near_copies_equal_all_pairs_by_jaccard(spark, monkeypatch):
+    rnd = random.Random(31)
+    passage = odd.prose(rnd, 30).replace("\n", " ")
+    base = [odd.prose(rnd, rnd.choice([12, 60, 90, 220])).replace("\n", " ") + (" " + passage if i % 3 == 0 else "") for i in range(50)]
+    texts = list(base)
+    for t in base:  # a run of changed words: similarities on both sides of 0.8
+        for share in (0.04, 0.08, 0.1, 0.14):
+            words = t.split(" ")
+            at = rnd.randrange(len(words) // 2)
+            for k in range(max(1, int(share * len(words)))):
+                words[at + k] = f"new{rnd.randrange(10**6)}"
+            texts.append(" ".join(words))
+    texts += [passage, passage + " more", "", None, "one"]
+    want = exact_groups(texts)
+    assert 60 < len(set(want)) < len(texts) - 40
+    data = [(i, t, "en", "a", 0) for i, t in enumerate(texts)]
+    for size in (simhash.SET_HASHES, 300):
+        monkeypatch.setattr(simhash, "SET_HASHES", size)
+        kept = sorted(r.doc_id for r in simhash.deduplicate(odd.frame(spark, data)).collect())
+        assert kept == sorted(set(want))
