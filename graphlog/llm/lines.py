@@ -26,30 +26,37 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def boilerplate(pages: DataFrame, host: str = "host", text: str = "text", percent: int = 5, least: int = 5) -> DataFrame:
+def boilerplate(pages: DataFrame, host: str = "host", text: str = "text", percent: int = 5, least: int = 5,
+                copies: bool = True) -> DataFrame:
     """(host, lines): hashes of the lines on more than ``percent`` of a host's pages and on at least ``least`` of them.
 
     A line is compared without the blanks around it; blank lines and pages of
-    no host (null) are left out.
+    no host (null) are left out. Without ``copies``, pages of one host and
+    text are one page, told by the text's 64-bit hash: a text given often is
+    no boilerplate for that.
     """
     named = pages.filter(col(host).isNotNull()).select(col(host).alias("host"), col(text).alias("text"))
-    total = named.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     keys = F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: _key(x) != ""), lambda x: F.xxhash64(_key(x))))
-    seen = named.select("host", F.explode(keys).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
+    hashed = named.select("host", F.xxhash64("text").alias("own"), keys.alias("keys"))
+    if not copies:
+        hashed = materialise(hashed.groupBy("host", "own").agg(F.first("keys").alias("keys")))
+    total = hashed.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    seen = hashed.select("host", F.explode("keys").alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
     often = seen.filter(F.col("n") >= least).join(total, "host").filter(F.col("n") * 100 > F.col("pages") * percent)
     return often.groupBy("host").agg(F.collect_list("line").alias("lines"))
 
 
 def drop_boilerplate(pages: DataFrame, host: str = "host", text: str = "text", percent: int = 5, least: int = 5,
-                     n_lines: str | None = None, n_dropped: str | None = None) -> DataFrame:
+                     n_lines: str | None = None, n_dropped: str | None = None, copies: bool = True) -> DataFrame:
     """``pages`` with the boilerplate lines of each host cut out of ``text``.
 
     The other lines keep their order and bytes. A null text stays null, an
     empty one empty; a page of nothing but boilerplate becomes empty; pages of
     a null host stay as they are. ``n_lines`` and ``n_dropped`` name columns
-    for the number of non-blank lines and of those cut, if wanted.
+    for the number of non-blank lines and of those cut, if wanted; ``copies``
+    is that of ``boilerplate``.
     """
-    found = materialise(boilerplate(pages, host, text, percent, least))
+    found = materialise(boilerplate(pages, host, text, percent, least, copies))
     site, bad = free_name(pages, "_site"), free_name(pages, "_bad")
     joined = pages.join(found.select(F.col("host").alias(site), F.col("lines").alias(bad)), col(host) == col(site), "left")
     lines = _lines(col(text))

@@ -47,3 +47,13 @@ def test_clashing_names_and_empty_tables(spark):
     df = odd.clashing(odd.frame(spark, data()), ["_site", "_bad", "host", "lines"])
     assert lines.drop_boilerplate(df, "source", "text").columns == df.columns
     assert lines.drop_boilerplate(odd.frame(spark, []), "source", "text").count() == 0
+
+
+def test_copies_of_a_page_can_count_as_one_page(spark):
+    rows = [(i, f"menu\nown {i}", "en", "a", 1) for i in range(20)]
+    rows += [(100 + i, "menu\ngiven\noften", "en", "a", 1) for i in range(30)] + [(200, None, "en", "a", 1), (201, "", "en", "a", 1)]
+    done = {r.doc_id: r.text for r in lines.drop_boilerplate(odd.frame(spark, rows), "source", "text", copies=False).collect()}
+    assert done[3] == "own 3" and done[110] == "given\noften" and done[200] is None and done[201] == ""
+    sites = [(i, f"{i // 10}", "en", "s", 1) for i in range(300)]
+    kept = lines.drop_boilerplate(odd.frame(spark, sites), "source", "text", 2, 5, copies=False)
+    assert all(r.text for r in kept.collect())
