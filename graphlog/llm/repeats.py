@@ -39,7 +39,7 @@ SLICE_BYTES = 4 << 20
 BUCKET_BYTES = 8 << 20
 BATCH = 1 << 16
 _LAST = (1 << 63) - 1
-_ENTRY = np.dtype([("anchor", "u8"), ("hash", "u8"), ("id", "i8"), ("start", "i4"), ("part", "u2"), ("n", "u1")])
+_ENTRY = np.dtype([("anchor", "u8"), ("hash", "u8"), ("id", "i8"), ("start", "i4"), ("part", "u4"), ("n", "u1")])
 _ROW = "bucket int, id long, part int, contested boolean, starts binary, stops binary, entries binary"
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BACK = pow(_BASE, -1, 1 << 64)
@@ -304,8 +304,8 @@ def _match(width: int):
     return run
 
 
-def _lists(found: list[dict], part: int, contested: bool) -> tuple[np.ndarray, np.ndarray]:
-    some = [f for f in found or [] if f["contested"] == contested and f["part"] == part]
+def _lists(found: list[dict], contested: bool) -> tuple[np.ndarray, np.ndarray]:
+    some = [f for f in found or [] if f["contested"] == contested]
     return tuple(np.frombuffer(b"".join(f[n] for f in some), np.int32).astype(np.int64) for n in ("starts", "stops"))
 
 
@@ -333,7 +333,7 @@ def _windows(width: int, buckets: int):
         for batch in batches:
             for i, part, text, found in zip(*(batch.column(n) for n in ("_id", "_part", "_text", "_found")), strict=True):
                 data = (text.as_py() or "").encode()
-                for a, b in zip(*_lists(found.as_py(), part.as_py(), True), strict=True):
+                for a, b in zip(*_lists(found.as_py(), True), strict=True):
                     cuts.append(data[a:b])
                     ids.append(i.as_py())
                     parts.append(part.as_py())
@@ -364,14 +364,14 @@ def _first(width: int):
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(.., text, part, found) -> (.., text, kept bytes, spans removed)."""
+    """(.., text, found) -> (.., text, kept bytes, spans removed)."""
     for batch in batches:
         names = batch.schema.names
-        columns = [batch.column(names.index(n)) for n in ("_text", "_part", "_found")]
+        columns = [batch.column(names.index(n)) for n in ("_text", "_found")]
         kept, spans = [], []
-        for text, part, f in zip(*columns, strict=True):
+        for text, f in zip(*columns, strict=True):
             data = (text.as_py() or "").encode()
-            starts, stops = _lists(f.as_py(), part.as_py(), False)
+            starts, stops = _lists(f.as_py(), False)
             order = np.argsort(starts, kind="stable")
             merged: list[list[int]] = []
             for a, b in zip(starts[order].tolist(), stops[order].tolist(), strict=True):
@@ -425,14 +425,14 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
         return rows.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(match), _ROW)
 
     def lists(rows: DataFrame) -> DataFrame:
-        return rows.groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.struct("part", "contested", "starts", "stops")).alias("_found"))
+        return rows.groupBy(F.col("id").alias("_id"), F.col("part").alias("_part")).agg(F.collect_list(F.struct("contested", "starts", "stops")).alias("_found"))
 
     found = materialise(settled(texts.mapInArrow(tidy(_index(width, buckets)), _ROW), _match(width)))
     # whole rows, as in the last join: both then read one shuffle of the texts
-    open_runs = source.join(lists(found.filter("contested")), "_id")
+    open_runs = source.join(lists(found.filter("contested")), ["_id", "_part"])
     late = settled(open_runs.mapInArrow(tidy(_windows(width, buckets)), _ROW), _first(width))
     all_spans = lists(found.filter("NOT contested").unionByName(late))
-    joined = source.join(all_spans, "_id", "left")
+    joined = source.join(all_spans, ["_id", "_part"], "left")
     schema = joined.drop("_id", "_part", "_found").schema
     shape = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in schema] + ["_kept binary", "_spans array<struct<start:bigint,stop:bigint>>"])
     done = joined.mapInArrow(tidy(_cut), shape)

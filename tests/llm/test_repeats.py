@@ -1,6 +1,7 @@
 import random
 
 import odd
+import pyarrow as pa
 import pytest
 
 from graphlog.llm import repeats
@@ -94,3 +95,12 @@ def test_levels_stay_logarithmic():
     assert again == 0  # the very entries once more are no repeats of themselves
     x["id"] += 1000
     assert sum(len(r) for r in family.add(x)) == 100
+
+
+def test_spans_stay_with_their_text_beyond_65536_texts_of_an_id():
+    rnd = random.Random(5)
+    passage = odd.prose(rnd, 60)
+    texts = ["a " + passage, odd.prose(rnd, 20) + passage]
+    batch = pa.RecordBatch.from_arrays([pa.array([repeats._LAST] * 2), pa.array([5, 65_541], pa.int32()), pa.array(texts)], names=["_id", "_part", "_text"])
+    rows = [r for b in repeats._index(100, 4)(iter([batch])) for r in b.to_pylist()]
+    assert {r["part"] for r in rows if r["starts"]} == {65_541}
