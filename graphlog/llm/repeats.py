@@ -176,8 +176,16 @@ class Family:
 
 def _among(x: np.ndarray, few: np.ndarray) -> np.ndarray:
     """Which entries of ``x`` are in ``few``."""
-    key = x["id"].astype(np.int64) * 1_000_003 + x["start"]
-    return np.isin(key, few["id"].astype(np.int64) * 1_000_003 + few["start"]) & np.isin(x["hash"], few["hash"])
+    names = ["id", "start", "part", "hash"]
+    maybe = np.flatnonzero(np.isin(x["hash"], few["hash"]))
+    both = np.concatenate([x[names][maybe], few[names]])
+    order = np.lexsort([both[n] for n in names])
+    both = both[order]
+    group = np.cumsum(np.concatenate(([False], both[1:] != both[:-1])))
+    hit = np.isin(group, group[order >= len(maybe)])
+    out = np.zeros(len(x), bool)
+    out[maybe[order[hit & (order < len(maybe))]]] = True
+    return out
 
 
 def _rows(rows: list[dict]) -> pa.RecordBatch:

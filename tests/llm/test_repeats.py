@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import odd
 import pyarrow as pa
 import pytest
@@ -104,3 +105,11 @@ def test_spans_stay_with_their_text_beyond_65536_texts_of_an_id():
     batch = pa.RecordBatch.from_arrays([pa.array([repeats._LAST] * 2), pa.array([5, 65_541], pa.int32()), pa.array(texts)], names=["_id", "_part", "_text"])
     rows = [r for b in repeats._index(100, 4)(iter([batch])) for r in b.to_pylist()]
     assert {r["part"] for r in rows if r["starts"]} == {65_541}
+
+
+def test_entries_are_told_apart_by_id_start_part_and_hash():
+    x = np.zeros(4, repeats._ENTRY)
+    x["id"], x["start"], x["part"], x["hash"] = [5, 6, 6, 6], [2_000_010, 1_000_007, 1_000_007, 1_000_007], [0, 0, 70_000, 0], [7, 7, 7, 8]
+    assert repeats._among(x, x[1:2]).tolist() == [False, True, False, False]
+    assert repeats._among(x, x[[3, 0]]).tolist() == [True, False, False, True]
+    assert not repeats._among(x[:0], x).any() and not repeats._among(x, x[:0]).any()
