@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlog.llm import bitslice, bpe, lines, lm, mix, repeats, rules, shards, simhash, unigram
+from graphlog.llm import bitslice, bpe, lines, lm, mix, repeats, rules, search, shards, simhash, unigram
 from graphlog.llm.common import table
 from graphlog.storage import materialise
 
@@ -127,3 +127,8 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("key").alias("law"),
     )
     return shards.place(rows, "doc_id", shards.tree(16), shards.tree(17), ["doc_id", "size", "text_crc32"])
+
+
+@query("op11_ranked_search", search.SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
