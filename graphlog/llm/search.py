@@ -31,7 +31,7 @@ from graphlog.storage import materialise
 
 ITEM_BYTES = 16 << 20  # text of a block of items, whose terms every task holds
 SEGMENT = 1 << 20  # postings of a segment
-STEP = 32  # intervals split at a time
+STEP = 256  # intervals split at a time
 WINDOW = 1 << 20  # bytes of a long text looked at together
 
 
@@ -99,25 +99,26 @@ class Segment:
         self.bounds = np.searchsorted(slots, np.arange(terms + 1))
         longest = int(np.diff(self.bounds).max(initial=0))
         best = np.arange(len(slots), dtype=np.int32)
-        self.table = [best]  # level j, place i: the posting of greatest impact in i .. i + 2**j - 1
+        levels = [best]  # level j, place i: the posting of greatest impact in i .. i + 2**j - 1
         for j in range(1, longest.bit_length()):
             a, b = best[:-(1 << (j - 1))], best[1 << (j - 1):]
             best = np.where(self.impacts[a] >= self.impacts[b], a, b)
-            self.table.append(best)
+            levels.append(best)
+        self.table = np.concatenate(levels)
+        self.level = np.cumsum([0, *map(len, levels[:-1])])
         self.log = np.zeros(longest + 1, np.int8)
         for j in range(1, longest.bit_length()):
             self.log[1 << j:] = j
 
     def _peaks(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Greatest impact of each run a..b-1 and its posting; 0 for an empty run."""
-        level = self.log[np.maximum(b - a, 1)]
         peak, at = np.zeros(a.shape, np.int64), np.zeros(a.shape, np.int32)
         full = b > a
-        for j in np.unique(level[full]):
-            here = full & (level == j)
-            x, y = self.table[j][a[here]], self.table[j][b[here] - (1 << int(j))]
-            best = np.where(self.impacts[x] >= self.impacts[y], x, y)
-            at[here], peak[here] = best, self.impacts[best]
+        a, b = a[full], b[full]
+        level = self.log[b - a]
+        x, y = self.table[self.level[level] + a], self.table[self.level[level] + b - (1 << level.astype(np.int64))]
+        first, second = self.impacts[x], self.impacts[y]
+        at[full], peak[full] = np.where(first >= second, x, y), np.maximum(first, second)
         return peak, at
 
     def best(self, terms: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
