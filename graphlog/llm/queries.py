@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlog.llm import bitslice, bpe, lines, lm, mix, prefixes, repeats, rules, search, shards, simhash, unigram
+from graphlog.llm import bitslice, bpe, jaccard, lines, lm, mix, prefixes, repeats, rules, search, shards, simhash, unigram
 from graphlog.llm.common import table
 from graphlog.storage import materialise
 
@@ -134,6 +134,11 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     return search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@query("op12_jaccard_join")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.join(table(spark, folder, "documents"))
+
+
 @query("op13_conversation_trie", prefixes.SQL)
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     return prefixes.trie(table(spark, folder, "conversations"))
