@@ -472,3 +472,15 @@ def join(docs: DataFrame, id_column: str = "doc_id", text: str = "text", words:
     low = rows.filter("root IS NOT NULL").groupBy("root").agg(F.min(col(id_column)).alias("component_id"))
     alone = rows.filter("root IS NULL").select(col(id_column), "n_shingles", col(id_column).alias("component_id"))
     return rows.join(low, "root").select(col(id_column), "n_shingles", "component_id").unionByName(alone)
+
+
+#: The same classes in DuckDB: all pairs that share a shingle, and whom each text reaches.
+SQL = r"""WITH RECURSIVE w AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+    s AS (SELECT DISTINCT rid, array_to_string(list_slice(ws, i, i + 4), ' ') AS sh FROM (SELECT rid, ws, unnest(range(1, greatest(2, len(ws) - 3))) AS i FROM w WHERE len(ws) > 0)),
+    n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+    p AS (SELECT a.rid AS u, b.rid AS v, count(*) AS met FROM s a JOIN s b USING (sh) WHERE a.rid <> b.rid GROUP BY a.rid, b.rid),
+    e AS (SELECT u, v FROM p JOIN n x ON x.rid = u JOIN n y ON y.rid = v WHERE 100 * met >= 80 * (x.n + y.n - met)),
+    r AS (SELECT rid, rid AS root FROM w UNION SELECT e.v, r.root FROM r JOIN e ON e.u = r.rid)
+    SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(o.doc_id) AS component_id
+    FROM w JOIN r ON r.rid = w.rid JOIN w o ON o.rid = r.root LEFT JOIN n ON n.rid = w.rid GROUP BY w.rid, w.doc_id"""

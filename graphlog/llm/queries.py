@@ -134,7 +134,7 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     return search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
-@query("op12_jaccard_join")
+@query("op12_jaccard_join", jaccard.SQL)
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.join(table(spark, folder, "documents"))
 
