@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 from graphlog.llm.common import col, pieces, serve, spread, tidy
-from graphlog.llm.simhash import components
+from graphlog.llm.ties import components
 from graphlog.storage import materialise
 
 WINDOW = 1 << 20  # bytes of a long text split into words together
@@ -66,7 +66,7 @@ def _hashes(size: int):
             words = data[start:end].split()
             parts.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
             start = end
-            if len(known) > 1 << 19:
+            if len(known) > 1 << 18:
                 known.clear()
         words = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
         if not len(words):
@@ -110,7 +110,7 @@ def _summary(size: int, most: int):
             for text in batch.column(0).to_pylist():
                 held.append(np.unique(hashes(text)))
                 size_now += len(held[-1])
-                if size_now > 1 << 22:
+                if size_now > 1 << 21:
                     merge()
                     size_now = 0
         merge()
@@ -127,7 +127,7 @@ def _sketch(values: np.ndarray) -> np.ndarray:
 
 
 def _sets(size: int, limit: Fraction, frequent):
-    """Batches of (keys.., text) -> (keys.., row, digest, n, short, hot, sketch).
+    """Batches of (keys.., text) -> (keys.., row, digest, id, n, short, hot, sketch).
 
     ``short`` are the shingles of the short lists, ``hot`` those of them that
     are frequent. Of equal sets in a task only the first brings its lists.
@@ -163,15 +163,16 @@ def _sets(size: int, limit: Fraction, frequent):
                 short.append(few.view(np.int64))
                 hot.append(values[is_hot][:keys - len(few)].view(np.int64) if len(few) < keys else empty)
                 sketches.append(_sketch(values))
-            made = [pa.array(np.arange(row, row + len(sizes))), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), *[pa.array(x, kind) for x in (short, hot, sketches)]]
+            ids = np.frombuffer(b"".join(d[:8] for d in digests), np.int64)
+            made = [pa.array(np.arange(row, row + len(sizes))), pa.array(digests, pa.binary()), pa.array(ids), pa.array(sizes, pa.int32()), *[pa.array(x, kind) for x in (short, hot, sketches)]]
             row += len(sizes)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*batch.schema.names[:-1], "_row", "_digest", "_n", "_short", "_hot", "_sketch"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*batch.schema.names[:-1], "_row", "_digest", "_id", "_n", "_short", "_hot", "_sketch"])
 
     return run
 
 
 def _blocks(buckets: int):
-    """Batches of (node, short) -> (bucket, block): entries (shingle, node) packed by bucket."""
+    """Batches of (id, short) -> (bucket, block): entries (shingle, id) packed by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -201,7 +202,7 @@ def _blocks(buckets: int):
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The blocks of one bucket -> (kind, a, b): pairs of nodes (0), and members of lists of three or more (1)."""
+    """The blocks of one bucket -> (kind, a, b): pairs of ids (0), and members of lists of three or more (1)."""
     serve("jaccard")
     held = [np.frombuffer(b, np.int64).reshape(-1, 2) for batch in batches for b in batch.column("block").to_pylist()]
     if not held:
@@ -209,6 +210,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     entries = np.concatenate(held)
     held.clear()
     entries = entries[np.lexsort((entries[:, 1], entries[:, 0]))]
+    entries = entries[np.concatenate(([True], (entries[1:] != entries[:-1]).any(axis=1)))]  # equal sets of several tasks
     first = np.flatnonzero(np.concatenate(([True], entries[1:, 0] != entries[:-1, 0])))
     count = np.diff(np.append(first, len(entries)))
     shared = np.repeat(count > 1, count)
@@ -381,32 +383,36 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, l
     return placed.mapInArrow(tidy(_probe(limit)), "src long, dst long")
 
 
-def links(nodes: DataFrame, docs: DataFrame, words: int, limit: Fraction) -> DataFrame:
-    """(node, component) of the nodes with a link: the components of all pairs that reach ``limit``."""
+def links(made: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, limit: Fraction) -> DataFrame:
+    """(node, component) of the nodes with a link: the components of all pairs that reach ``limit``.
+
+    Lists hold the first 64 bits of a set's digest, so that the lists of equal
+    sets need not be sorted out first; an id stands for all nodes that have it.
+    """
     spark = nodes.sparkSession
-    entries = nodes.agg(F.sum(F.size("_short"))).first()[0] or 0
+    entries = made.agg(F.sum(F.size("_short"))).first()[0] or 0
     buckets = max(1, -(-entries // BUCKET), min(spread(spark), -(-entries // (1 << 16))))
-    packed = nodes.select("node", "_short").mapInArrow(tidy(_blocks(buckets)), "bucket int, block binary")
+    packed = made.filter("_short IS NOT NULL").select("_id", "_short").mapInArrow(tidy(_blocks(buckets)), "bucket int, block binary")
     met = packed.repartitionById(buckets, F.col("bucket")).mapInArrow(tidy(_merge), "kind int, a long, b long")
-    hot = nodes.select(F.explode("_hot").alias("a"), F.col("node").alias("b"))
+    hot = made.select(F.explode("_hot").alias("a"), F.col("_id").alias("b")).distinct()
     ends = hot.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     held = hot.join(ends, "a")
     stars = held.filter("b <> low").select(F.lit(0).alias("kind"), F.col("low").alias("a"), "b").unionByName(
         held.filter("b <> low AND b <> high").select(F.lit(0).alias("kind"), F.col("b").alias("a"), F.col("high").alias("b")))
     met = materialise(met.unionByName(stars).unionByName(held.filter("n > 2").select(F.lit(1).alias("kind"), "a", "b")))
 
-    sketches = nodes.select("node", F.col("_n").alias("n"), F.col("_sketch").alias("sketch"))
+    sketches = nodes.select(F.col("_id").alias("id"), "node", F.col("_n").alias("n"), F.col("_sketch").alias("sketch"))
     sides = [sketches.select(*[F.col(c).alias(f"{c}_{s}") for c in sketches.columns]) for s in "ab"]
     first = met.filter("kind = 0").select("a", "b").distinct()
-    paired = first.join(sides[0], F.col("a") == F.col("node_a")).join(sides[1], F.col("b") == F.col("node_b"))
+    paired = first.join(sides[0], F.col("a") == F.col("id_a")).join(sides[1], F.col("b") == F.col("id_b"))
     likely = paired.filter(_may_link(limit, (F.col("n_a"), F.col("n_b")), (F.col("sketch_a"), F.col("sketch_b"))))
-    near = _verified(materialise(likely.select(F.col("a").alias("src"), F.col("b").alias("dst"))), nodes, docs, words, limit)
+    near = _verified(materialise(likely.select(F.least("node_a", "node_b").alias("src"), F.greatest("node_a", "node_b").alias("dst"))), nodes, docs, words, limit)
     near = materialise(near)
     tied = materialise(components(near))
 
     # lists that still span components; of those with the same members one is enough
-    members = met.filter("kind = 1").select(F.col("a").alias("list"), F.col("b").alias("node"))
-    members = members.join(tied, "node", "left").withColumn("comp", F.coalesce("component", "node"))
+    placed = nodes.select(F.col("_id").alias("b"), "node").join(tied, "node", "left").withColumn("comp", F.coalesce("component", "node"))
+    members = met.filter("kind = 1").join(placed, "b").select(F.col("a").alias("list"), "node", "comp")
     mark = [F.bit_xor(F.xxhash64("node")), F.sum(F.xxhash64(F.lit(1), "node").bitwiseAND(F.lit((1 << 40) - 1))), F.min("node"), F.max("node"), F.count(F.lit(1))]
     lists = members.groupBy("list").agg(*[m.alias(f"_m{i}") for i, m in enumerate(mark)], F.min("comp").alias("_c0"), F.max("comp").alias("_c1")).filter("_c0 < _c1")
     lists = lists.groupBy(*[f"_m{i}" for i in range(len(mark))]).agg(F.min("list").alias("list"))
@@ -415,7 +421,7 @@ def links(nodes: DataFrame, docs: DataFrame, words: int, limit: Fraction) -> Dat
     # (a, b): the pair of slices compared; side 0 within one slice, 1 and 2 between two
     tasks = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(
         F.least(own, o).alias("a"), F.greatest(own, o).alias("b"), F.when(own == o, 0).when(own < o, 1).otherwise(2).alias("side")))
-    dealt = members.select("list", "node", "comp").join(lists, "list").select("list", "node", "comp", F.inline(tasks)).join(sketches, "node")
+    dealt = members.select("list", "node", "comp").join(lists, "list").select("list", "node", "comp", F.inline(tasks)).join(sketches.drop("id"), "node")
     order = ["list", "a", "b"]
     searched = dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(tidy(_pairs_of_lists(limit)), "src long, dst long")
     more = materialise(searched.distinct())
@@ -451,13 +457,13 @@ def groups(docs: DataFrame, keep: list[str], text: str = "text", words: int = 5,
     often = spark.sparkContext.broadcast(frequent(slim, words))
     source = slim.select(*names, F.xxhash64("_text").alias("_t"), "_text")
     arrays = [StructField(c, ArrayType(LongType())) for c in ("_short", "_hot", "_sketch")]
-    schema = StructType([*source.drop("_text").schema, StructField("_row", LongType()), StructField("_digest", BinaryType()), StructField("_n", IntegerType()), *arrays])
+    schema = StructType([*source.drop("_text").schema, StructField("_row", LongType()), StructField("_digest", BinaryType()),
+                         StructField("_id", LongType()), StructField("_n", IntegerType()), *arrays])
     made = materialise(source.mapInArrow(tidy(_sets(words, limit, often)), schema))
-    named = materialise(made.filter("_n > 0").groupBy("_digest").agg(F.min("_row").alias("node")))
-    nodes = materialise(made.filter("_short IS NOT NULL").withColumnRenamed("_row", "node").join(named.select("node"), "node", "left_semi")
-                        .select("node", "_digest", "_t", "_n", "_short", "_hot", "_sketch"))
-    tied = links(nodes, slim, words, limit)
-    roots = named.join(tied, "node", "left").select("_digest", F.coalesce("component", "node").alias("root"))
+    lead = made.filter("_short IS NOT NULL").groupBy("_digest")
+    nodes = materialise(lead.agg(F.min("_row").alias("node"), *[F.first(c).alias(c) for c in ("_id", "_t", "_n", "_sketch")]))
+    tied = links(made, nodes, slim, words, limit)
+    roots = nodes.join(tied, "node", "left").select("_digest", F.coalesce("component", "node").alias("root"))
     rows = made.select(*names, "_digest", "_n").join(roots, "_digest", "left")
     return rows.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], F.col("_n").cast("long").alias("n_shingles"), "root")
 

@@ -40,7 +40,7 @@ _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)"
     k AS (SELECT *, trim(line, ' ' || chr(9) || chr(13) || chr(12) || chr(11)) AS key FROM l),
     c AS (SELECT host, key, count(DISTINCT rid) AS n FROM k WHERE key <> '' AND host IS NOT NULL GROUP BY host, key),
     h AS (SELECT host, count(*) AS pages FROM p GROUP BY host),
-    b AS (SELECT host, key FROM c JOIN h USING (host) WHERE n >= 5 AND n * 100 > pages * 5),
+    b AS (SELECT host, key FROM c JOIN h USING (host) WHERE n * 100 > pages * 5 + 95 * sqrt(pages)),
     m AS (SELECT k.*, b.key IS NOT NULL AS bad FROM k LEFT JOIN b ON k.host = b.host AND k.key = b.key),
     r AS (SELECT rid, count(*) FILTER (key <> '') AS n_lines, count(*) FILTER (bad) AS n_dropped,
         coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT bad), '') AS text FROM m GROUP BY rid)
@@ -50,7 +50,7 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages")
     host = F.lower(F.regexp_extract("url", _HOST, 1))
     text = F.regexp_replace(F.regexp_replace(F.regexp_replace("html", _UNSEEN, ""), _INLINE, ""), "<[^>]*>", "\n")
-    cut = pages.select("page_id", F.when(host != "", host).alias("host"), text.alias("text"))
+    cut = materialise(pages.select("page_id", F.when(host != "", host).alias("host"), text.alias("text")))  # the markup is searched once
     return lines.drop_boilerplate(cut, "host", "text", n_lines="n_lines", n_dropped="n_dropped")
 
 

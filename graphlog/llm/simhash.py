@@ -11,30 +11,27 @@ compared inside a task and only the links of each member to the smallest of
 its component go on, never all pairs; a bucket above ``bucket_rows`` is dealt out as pairs of
 slices, each its own task, so that it is searched whole with bounded memory.
 
-``deduplicate`` does not use fingerprints: near copies are found by an exact
-prefix filter over shingles and decided by the Jaccard similarity itself.
+``deduplicate`` does not use fingerprints: near copies are decided by the
+Jaccard similarity itself, in ``jaccard``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
 
+from graphlog.llm import jaccard
 from graphlog.llm.common import col, free_name, pieces, serve, spread, tidy
+from graphlog.llm.ties import components
 from graphlog.storage import materialise
 
 BUCKET_ROWS = 4096
 BITS = 64
-WIDE = 8  # words of a wide fingerprint: 512 bits
-SET_HASHES = 1 << 20  # shingles of a slice of a candidate group
 
 
 def _votes(h: np.ndarray) -> np.ndarray:
@@ -50,14 +47,6 @@ def _votes(h: np.ndarray) -> np.ndarray:
     return total
 
 
-def _remix(h: np.ndarray, k: int) -> np.ndarray:
-    """The k-th independent-looking value of each hash."""
-    x = h + np.uint64((0x9E3779B97F4A7C15 * k) & (2**64 - 1))
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def _shingles(size: int, fold: bool):
     """A text's hashes of its shingles of ``size`` words, one for a shorter text, none without words."""
     import re
@@ -81,43 +70,34 @@ def _shingles(size: int, fold: bool):
     return of
 
 
-def _prints(size: int, fold: bool, wide: int):
-    """Arrow batches of (keys.., text) -> (keys.., fingerprint, wide fingerprint or null)."""
+def _prints(size: int, fold: bool):
+    """Arrow batches of (keys.., text) -> (keys.., fingerprint)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _shingles(size, fold)
 
         def of(text: str | None) -> bytes:
             h = hashes(text)
-            if not len(h):
-                return bytes(8 * max(1, wide))
-            votes = [_votes(h), *[_votes(_remix(h, k)) for k in range(1, wide)]]
-            return np.packbits(np.concatenate(votes) * 2 > len(h), bitorder="little").tobytes()
+            return np.packbits(_votes(h) * 2 > len(h), bitorder="little").tobytes() if len(h) else bytes(8)
 
         serve("simhash")
         for batch in (part for whole in batches for part in pieces(whole, "_text")):
-            made = [of(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            low = np.frombuffer(b"".join(x[:8] for x in made), np.int64)
-            more = pa.array(made if wide else [None] * len(made), pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(low), more], names=[*batch.schema.names[:-1], "_print", "_wide"])
+            made = b"".join(of(t) for t in batch.column(batch.num_columns - 1).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.frombuffer(made, np.int64))], names=[*batch.schema.names[:-1], "_print"])
 
     return run
 
 
-def fingerprints(docs: DataFrame, keep: list[str], text: str = "text", out: str = "fingerprint", words: int = 3,
-                 fold: bool = True, wide: str | None = None) -> DataFrame:
+def fingerprints(docs: DataFrame, keep: list[str], text: str = "text", out: str = "fingerprint", words: int = 3, fold: bool = True) -> DataFrame:
     """The columns ``keep`` and a long fingerprint of ``text``, a row per row.
 
     ``fold`` lower-cases A-Z. A text of fewer than ``words`` words is one
     shingle; one without words, an empty and a null text have fingerprint 0.
-    ``wide`` names a column for a fingerprint of 512 bits that begins with it.
     """
     names = [f"_k{i}" for i in range(len(keep))]
     source = docs.select(*[col(c).alias(n) for c, n in zip(keep, names, strict=True)], col(text).cast("string").alias("_text"))
-    schema = source.drop("_text").schema.add("_print", "long").add("_wide", "binary")
-    made = source.mapInArrow(tidy(_prints(words, fold, WIDE if wide else 0)), schema)
-    more = [F.col("_wide").alias(wide)] if wide else []
-    return made.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], F.col("_print").alias(out), *more)
+    made = source.mapInArrow(tidy(_prints(words, fold)), source.drop("_text").schema.add("_print", "long"))
+    return made.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], F.col("_print").alias(out))
 
 
 def _edges(parts: int) -> list[tuple[int, int]]:
@@ -151,11 +131,8 @@ def _ties(nodes: np.ndarray, tree: np.ndarray) -> np.ndarray:
     return np.stack([low, nodes], axis=1)[nodes != low]
 
 
-def _scan(group: list[str], distance: int, joined: bool):
-    """Batches sorted by ``group``: the links of each group, one group in memory at a time.
-
-    ``joined``: a print is the node's own 64 bits and those in ``_bits``.
-    """
+def _scan(group: list[str], distance: int):
+    """Batches sorted by ``group``: the links of each group, one group in memory at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -182,12 +159,7 @@ def _scan(group: list[str], distance: int, joined: bool):
                 continue
             cols = [batch.column(n).to_numpy(zero_copy_only=False) for n in group]
             side, nodes = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("_side", "_node"))
-            bits = batch.column("_bits")
-            if pa.types.is_integer(bits.type):
-                prints = bits.to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, 1)
-                prints = np.hstack([nodes.view(np.uint64).reshape(-1, 1), prints]) if joined else prints
-            else:
-                prints = np.frombuffer(b"".join(bits.to_pylist()), np.uint64).reshape(len(nodes), -1)
+            prints = nodes.view(np.uint64).reshape(-1, 1)
             change = np.zeros(len(nodes), bool)
             for c in cols:
                 change[1:] |= c[1:] != c[:-1]
@@ -209,8 +181,8 @@ def _scan(group: list[str], distance: int, joined: bool):
     return run
 
 
-def _linked(members: DataFrame, group: list[str], distance: int, rows: int, joined: bool = False) -> DataFrame:
-    """(src, dst) links between the members (*group, _node, _bits) of each group."""
+def _linked(members: DataFrame, group: list[str], distance: int, rows: int) -> DataFrame:
+    """(src, dst) links between the members (*group, _node) of each group."""
     sizes = members.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     slices = F.ceil(F.col("_n") / F.lit(rows)).cast("int")
     own = F.pmod(F.xxhash64("_node"), slices).cast("int")
@@ -222,193 +194,29 @@ def _linked(members: DataFrame, group: list[str], distance: int, rows: int, join
             F.when(own == o, 0).when(own < o, 1).otherwise(2).alias("_side"),
         ),
     )
-    dealt = members.join(sizes, group).select("_node", "_bits", *group, F.inline(tasks))
+    dealt = members.join(sizes, group).select("_node", *group, F.inline(tasks))
     keys = [*group, "_a", "_b"]
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tidy(_scan(keys, distance, joined)), "src long, dst long").distinct()
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tidy(_scan(keys, distance)), "src long, dst long").distinct()
 
 
-def links(prints: DataFrame, column: str = "fingerprint", distance: int = 3, parts: int = 6, agree: int | None = None,
-          bucket_rows: int = BUCKET_ROWS, more: str | None = None) -> DataFrame:
+def links(prints: DataFrame, column: str = "fingerprint", distance: int = 3, parts: int = 6, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(src, dst): links whose components are those of all pairs within ``distance`` bits.
 
-    A key is made of ``agree`` of ``parts`` blocks, ``parts - distance``
-    unless given. With more than that, pairs beyond ``parts - agree`` bits are
-    found only if they happen to agree in as many blocks. ``more`` names a
-    column with 64 further bits that count in the distance and have keys of
-    their own. ``prints`` may repeat a fingerprint; nulls take no part.
+    A key is made of ``parts - distance`` of ``parts`` blocks. ``prints`` may
+    repeat a fingerprint; nulls take no part.
     """
-    agree = parts - distance if agree is None else agree
+    agree = parts - distance
     if not 0 < agree <= parts <= BITS:
-        raise ValueError("need 0 < agree <= parts <= 64")
-    one = prints.groupBy(col(column).alias("_node")).agg(F.min(col(more or column)).alias("_bits")).filter("_node IS NOT NULL")
+        raise ValueError("need distance below parts and at most 64 parts")
+    one = prints.select(col(column).alias("_node")).filter("_node IS NOT NULL").distinct()
     one = one.repartition(spread(prints.sparkSession), "_node")  # few bytes now, many rows next
     blocks = _edges(parts)
     keys = []
-    for word in ("_node", "_bits") if more else ("_node",):
-        for chosen in combinations(range(parts), agree):
-            mask = sum(((1 << blocks[i][1]) - 1) << blocks[i][0] for i in chosen)
-            keys.append(F.col(word).bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)))
-    keyed = one.select("_node", "_bits", F.posexplode(F.array(*keys)).alias("_set", "_key"))
-    return _linked(keyed, ["_set", "_key"], distance, bucket_rows, more is not None)
-
-
-def _sets(size: int):
-    """Arrow batches of (keys.., text) -> (keys.., row, node, n, set): the distinct shingles, and their hash as the node."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-        from pyspark import TaskContext
-
-        serve("simhash")
-        hashes = _shingles(size, True)
-        row = TaskContext.get().partitionId() << 40
-        for batch in (part for whole in batches for part in pieces(whole, "_text")):
-            sets = [np.unique(hashes(t)) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            n = np.array([len(x) for x in sets], np.int32)
-            nodes = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
-            ends = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
-            values = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
-            made = [pa.array(np.arange(row, row + len(n))), pa.array(nodes), pa.array(n), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))]
-            row += len(n)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*batch.schema.names[:-1], "_row", "_node", "_n", "_set"])
-
-    return run
-
-
-def _similar(nodes: np.ndarray, sizes: np.ndarray, values: np.ndarray, limit: Fraction) -> np.ndarray:
-    """(smallest node, node) for each component of the sets that share ``limit`` or more of their union.
-
-    Members of one component are not compared again, so that a dense group
-    costs one pass over its sets.
-    """
-    owner = np.repeat(np.arange(len(nodes)), sizes)
-    _, which, count = np.unique(values, return_inverse=True, return_counts=True)
-    held = owner[np.argsort(which, kind="stable")]
-    first = np.cumsum(count) - count
-    ends = np.cumsum(sizes)
-    tree = np.arange(len(nodes))
-    for i in range(len(nodes) - 1):
-        if (tree[i + 1:] == tree[i]).all():
-            continue
-        mine = which[ends[i] - sizes[i]:ends[i]]
-        mine = mine[count[mine] > 1]
-        many = count[mine]
-        at = np.arange(int(many.sum())) + np.repeat(first[mine] - (np.cumsum(many) - many), many)
-        shared = np.bincount(held[at], minlength=len(nodes))[i + 1:]
-        near = shared * (limit.numerator + limit.denominator) >= limit.numerator * (sizes[i] + sizes[i + 1:])
-        near = np.unique(tree[i + 1:][near])
-        near = near[near != tree[i]]
-        if len(near):
-            tree[np.isin(tree, near)] = tree[i]
-    return _ties(nodes, tree)
-
-
-def _compare(limit: Fraction):
-    """Batches sorted by (_near, _a, _b): the links of each group, one group in memory at a time."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        key = None
-
-        def close() -> pa.RecordBatch:
-            nodes, sizes, values = (np.concatenate(x) for x in zip(*held, strict=True))
-            pairs = _similar(nodes, sizes, values, limit)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["src", "dst"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cols = [batch.column(n).to_numpy(zero_copy_only=False) for n in ("_near", "_a", "_b")]
-            nodes = batch.column("_node").to_numpy(zero_copy_only=False)
-            sets = batch.column("_set")
-            sizes = pc.list_value_length(sets).to_numpy(zero_copy_only=False).astype(np.int64)
-            values = sets.flatten().to_numpy(zero_copy_only=False)
-            ends = np.concatenate(([0], np.cumsum(sizes)))
-            change = np.zeros(len(nodes), bool)
-            for c in cols:
-                change[1:] |= c[1:] != c[:-1]
-            cuts = [0, *np.flatnonzero(change).tolist(), len(nodes)]
-            for s, e in zip(cuts, cuts[1:], strict=False):
-                here = tuple(int(c[s]) for c in cols)
-                if here != key and held:
-                    yield close()
-                    held = []
-                key = here
-                held.append((nodes[s:e], sizes[s:e], values[ends[s]:ends[e]]))
-        if held:
-            yield close()
-
-    return run
-
-
-def near(sets: DataFrame, similarity: float) -> DataFrame:
-    """(src, dst): links whose components are those of all pairs of sets of Jaccard ``similarity`` or more.
-
-    ``sets`` has (_node, _n, _set), a row per node, and is read several times.
-    With shingles ordered by the number of sets that hold them, rarest first,
-    such a pair shares one of the first n - ceil(similarity * n) + 1 of either
-    set. Those in no other set are skipped, so that only a set made up of
-    shared shingles has keys at all, and the frequent ones are keys of a set
-    that has no rarer. Sets connected by keys are a candidate group; each is
-    compared by exact counts, above ``SET_HASHES`` as pairs of slices.
-    """
-    limit = Fraction(str(similarity))
-    rows = sets.select("_node", "_n", F.explode("_set").alias("_h"))
-    often = rows.groupBy("_h").agg(F.count(F.lit(1)).alias("_df")).filter("_df > 1")
-    listed = rows.join(often, "_h").groupBy("_node").agg(F.first("_n").alias("_n"), F.collect_list(F.struct("_df", "_h")).alias("_all"))
-    least = F.floor((F.col("_n").cast("long") * limit.numerator + (limit.denominator - 1)) / limit.denominator)
-    room = (F.size("_all") - least + 1).cast("int")  # the prefix less the shingles of this set alone
-    keyed = listed.filter(room > 0).select("_node", F.explode(F.slice(F.array_sort("_all"), F.lit(1), room)).alias("_k"))
-    keys = materialise(keyed.select("_node", F.col("_k._h").alias("_h")))
-    low = keys.groupBy("_h").agg(F.min("_node").alias("_low"), F.count(F.lit(1)).alias("_c")).filter("_c > 1")
-    met = keys.join(low, "_h").filter("_node <> _low").select(F.col("_low").alias("src"), F.col("_node").alias("dst")).distinct()
-    grouped = components(met).withColumnsRenamed({"node": "_node", "component": "_near"})
-    members = materialise(sets.join(grouped, "_node"))
-    total = members.groupBy("_near").agg(F.sum("_n").alias("_t"))
-    slices = F.ceil(F.col("_t") / F.lit(SET_HASHES)).cast("int")
-    own = F.pmod(F.xxhash64("_node"), slices).cast("int")
-    # (a, b): the pair of slices compared; a slice alone is part of each of its pairs
-    others = F.filter(F.sequence(F.lit(0), slices - 1), lambda o: (slices == 1) | (o != own))
-    tasks = F.transform(others, lambda o: F.struct(F.least(own, o).alias("_a"), F.greatest(own, o).alias("_b")))
-    dealt = members.join(total, "_near").select("_near", "_node", "_set", F.inline(tasks))
-    order = ["_near", "_a", "_b"]
-    return dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(tidy(_compare(limit)), "src long, dst long").distinct()
-
-
-def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    """(node, component): the smallest node each node is connected with.
-
-    Alternates large and small stars, written out each time, until no edge
-    changes; the rounds grow with the logarithm of the longest path. A hub is
-    only ever the key of a ``min`` and of an equi-join, both of which split.
-    """
-    now = materialise(
-        edges.select(F.least(src, dst).alias("v"), F.greatest(src, dst).alias("u")).filter("u <> v").distinct()
-    )
-
-    def star(pairs: DataFrame, large: bool) -> DataFrame:
-        near = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else pairs
-        low = near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        joined = near.join(low, "u")
-        if large:
-            out = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        else:
-            out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        return out.filter("u <> v").distinct()
-
-    def mark(pairs: DataFrame) -> tuple:
-        code = F.xxhash64("u", "v")
-        return tuple(pairs.agg(F.count(F.lit(1)), F.bit_xor(code), F.sum(F.pmod(code, F.lit(1 << 31)))).first())
-
-    seen = mark(now)
-    while seen[0]:
-        now = materialise(star(star(now, True), False))
-        was, seen = seen, mark(now)
-        if was == seen:
-            break
-    nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return nodes.unionByName(roots)
+    for chosen in combinations(range(parts), agree):
+        mask = sum(((1 << blocks[i][1]) - 1) << blocks[i][0] for i in chosen)
+        keys.append(F.col("_node").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)))
+    keyed = one.select("_node", F.posexplode(F.array(*keys)).alias("_set", "_key"))
+    return _linked(keyed, ["_set", "_key"], distance, bucket_rows)
 
 
 def groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = 3, distance: int = 3,
@@ -437,27 +245,26 @@ def hexed(fingerprint) -> F.Column:
     return F.lpad(F.lower(F.hex(fingerprint)), 16, "0")
 
 
-def deduplicate(docs: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8,
-                distance: int = 28, parts: int = 8, agree: int = 3) -> DataFrame:
+def deduplicate(docs: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each group of near copies: that of the smallest id (nulls last), then of the smallest text hash.
 
-    Texts are linked if their sets of shingles (64-bit hashes, A-Z lowered)
-    share ``similarity`` or more of their union; groups are the components of
-    all such pairs. ``distance``, ``parts`` and ``agree`` belonged to an
-    approximate search and decide nothing any more. Columns stay as they are;
-    only the chosen rows' keys meet the texts.
+    Near copies share ``similarity`` or more of their shingles; groups are the
+    components of all such pairs, found exactly by ``jaccard``: fingerprints
+    of 64 bits cannot tell pairs on either side of such a limit. Null, empty
+    and blank texts are one group. Columns stay as they are. The texts meet
+    only the keys of the rows that stay; rows that repeat an id and a text are
+    set apart by a count, so that few texts are compared for that.
     """
-    key = [free_name(docs, n) for n in ("_nid", "_sid", "_txt")]
+    names = ["_nid", "_sid", "_txt"]
+    key = [free_name(docs, n) for n in names]
     value = [col(id_column).isNull(), F.coalesce(col(id_column).cast("string"), F.lit("")), F.xxhash64(col(text))]
+    slim = docs.select(*[v.alias(n) for v, n in zip([col(id_column), *value], ["_id", *names], strict=True)], col(text).alias("_said"))
+    labels = jaccard.groups(slim, ["_id", *names], "_said", words, similarity)
+    each = labels.groupBy(F.coalesce("root", F.lit(-1)).alias("root"), "_id", *names).agg(F.count(F.lit(1)).alias("_times"))
+    order = F.struct("_nid", "_id", "_txt", "_sid", "_times")
+    first = each.groupBy("root").agg(F.min(order).alias("_m"))
+    chosen = materialise(first.select(*[F.col(f"_m.{n}").alias(k) for n, k in zip(names, key, strict=True)], F.col("_m._times").alias("_times")))
     marked = docs.withColumns(dict(zip(key, value, strict=True)))
-    names = ["_k0", "_k1", "_k2", "_k3"]
-    slim = docs.select(*[v.alias(n) for v, n in zip([col(id_column), *value], names, strict=True)], col(text).cast("string").alias("_text"))
-    schema = slim.drop("_text").schema.add("_row", "long").add("_node", "long").add("_n", "integer").add("_set", ArrayType(LongType()))
-    made = materialise(slim.mapInArrow(tidy(_sets(words)), schema))
-    firsts = materialise(made.groupBy("_node").agg(F.min("_row").alias("_row")))
-    sets = made.select("_row", "_node", "_n", "_set").join(firsts, ["_node", "_row"], "left_semi").drop("_row")
-    tied = components(near(sets, similarity)).withColumnsRenamed({"component": "_root", "node": "_node"})
-    labels = made.select(*names, "_node").join(tied, "_node", "left").withColumn("_root", F.coalesce("_root", "_node"))
-    order = F.struct("_k1", "_k0", "_k3", "_k2")
-    chosen = labels.groupBy("_root").agg(F.min(order).alias("_m")).select(*[F.col(f"_m.{n}").alias(k) for n, k in zip(names[1:], key, strict=True)]).distinct()
-    return marked.join(chosen, key, "left_semi").dropDuplicates(key).select(*[col(c) for c in docs.columns])
+    once = marked.join(chosen.filter("_times = 1").drop("_times"), key, "left_semi")
+    repeated = marked.join(chosen.filter("_times > 1").drop("_times"), key, "left_semi").dropDuplicates(key)
+    return once.unionByName(repeated).select(*[col(c) for c in docs.columns])

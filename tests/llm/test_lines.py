@@ -1,3 +1,4 @@
+import math
 from collections import Counter, defaultdict
 
 import odd
@@ -7,12 +8,12 @@ from graphlog.llm import lines
 BLANKS = " \t\r\f\v"
 
 
-def plain(data, percent, least):
+def plain(data, percent):
     pages, seen = Counter(r[3] for r in data if r[3] is not None), defaultdict(Counter)
     for r in data:
         if r[3] is not None and r[1] is not None:
             seen[r[3]].update({x.strip(BLANKS) for x in r[1].split("\n")} - {""})
-    bad = {h: {x for x, n in c.items() if n >= least and n * 100 > pages[h] * percent} for h, c in seen.items()}
+    bad = {h: {x for x, n in c.items() if n * 100 > pages[h] * percent + (100 - percent) * math.sqrt(pages[h])} for h, c in seen.items()}
     out = []
     for r in data:
         cut = bad.get(r[3], set())
@@ -31,9 +32,9 @@ def data():
 
 def test_equals_a_plain_version(spark):
     rows = data()
-    for percent, least in ((5, 5), (50, 2), (0, 1)):
-        done = lines.drop_boilerplate(odd.frame(spark, rows), "source", "text", percent, least, "n_lines", "n_dropped")
-        assert odd.ordered(done.select("doc_id", "text", "source", "n_lines", "n_dropped").collect()) == plain(rows, percent, least)
+    for percent in (5, 50, 0):
+        done = lines.drop_boilerplate(odd.frame(spark, rows), "source", "text", percent, "n_lines", "n_dropped")
+        assert odd.ordered(done.select("doc_id", "text", "source", "n_lines", "n_dropped").collect()) == plain(rows, percent)
 
 
 def test_frequencies_are_relative_to_the_site(spark):
@@ -55,5 +56,15 @@ def test_copies_of_a_page_can_count_as_one_page(spark):
     done = {r.doc_id: r.text for r in lines.drop_boilerplate(odd.frame(spark, rows), "source", "text", copies=False).collect()}
     assert done[3] == "own 3" and done[110] == "given\noften" and done[200] is None and done[201] == ""
     sites = [(i, f"{i // 10}", "en", "s", 1) for i in range(300)]
-    kept = lines.drop_boilerplate(odd.frame(spark, sites), "source", "text", 2, 5, copies=False)
+    kept = lines.drop_boilerplate(odd.frame(spark, sites), "source", "text", 2, copies=False)
     assert all(r.text for r in kept.collect())
+
+
+def test_the_ratio_alone_decides_on_small_sites(spark):
+    def shares(site, pages, held):  # a line on some of a site's pages
+        return [(i, f"menu\nown {site} {i}" if i < held else f"own {site} {i}", "en", site, 1) for i in range(pages)]
+
+    sites = {"one": (1, 1), "both": (2, 2), "most of five": (5, 3), "two of five": (5, 2), "two of nine": (9, 2), "four of nine": (9, 4)}
+    rows = [r for name, (pages, held) in sites.items() for r in shares(name, pages, held)]
+    done = lines.drop_boilerplate(odd.frame(spark, rows), "source", "text").collect()
+    assert {r.source for r in done if "menu" in r.text} == {"one", "two of five", "two of nine"}

@@ -5,12 +5,11 @@ from collections import Counter
 import corpus_pipeline
 import odd
 import public_tokenizers
-import pyarrow as pa
 import tiktoken
 from test_lines import plain as cut_lines
 from test_simhash import exact_groups
 
-from graphlog.llm import bpe, mix, rules, simhash
+from graphlog.llm import bpe, mix, rules
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -33,34 +32,6 @@ def data():
     return rows + [(300, "", "en", "a", 0), (301, None, None, None, None)]
 
 
-def near_groups(texts):
-    """Kept indexes: the first of each group, over all pairs."""
-    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["_k0", "_text"])
-    made = pa.Table.from_batches(simhash._prints(5, True, simhash.WIDE)(iter([batch])))
-    wide = [int.from_bytes(w, "little") for w in made.column("_wide").to_pylist()]
-    masks = [((1 << w) - 1) << s for s, w in simhash._edges(8)]
-
-    def join(pairs):
-        tree = list(range(len(texts)))
-
-        def find(i):
-            while tree[i] != i:
-                i = tree[i]
-            return i
-
-        for i, j in pairs:
-            tree[max(find(i), find(j))] = min(find(i), find(j))
-        return [find(i) for i in range(len(texts))]
-
-    def agree(differ):
-        return any(sum(not differ >> 64 * half & m for m in masks) >= 3 for half in (0, 1))
-
-    pairs = [(i, j) for i in range(len(texts)) for j in range(i)]
-    close = join((i, j) for i, j in pairs if ((wide[i] ^ wide[j]) & (2**128 - 1)).bit_count() <= 28 and agree(wide[i] ^ wide[j]))
-    groups = join((i, j) for i, j in pairs if close[i] == close[j] and (wide[i] ^ wide[j]).bit_count() <= 78)
-    return sorted(set(groups))
-
-
 def test_run_equals_a_plain_version(spark, tmp_path):
     rows = data()
     odd.frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
@@ -68,10 +39,10 @@ def test_run_equals_a_plain_version(spark, tmp_path):
 
     kept = {r[0] for r in odd.duck(rows).execute(rules.SQL).fetchall() if r[7]}
     rows = sorted(r for r in rows if r[0] in kept)
-    lines = {r[0]: r[1] for r in cut_lines(rows, 5, 5)}
+    lines = {r[0]: r[1] for r in cut_lines([(*r[:3], r[3] or "of none", r[4]) for r in rows], 5)}
     rows = [(r[0], lines[r[0]], r[2], r[3], r[4]) for r in rows]
     assert any("menu of the site" not in r[1] for r in rows if r[0] % 4 == 0)
-    rows = [rows[i] for i in near_groups([r[1] for r in rows])]
+    rows = [rows[i] for i in sorted(set(exact_groups([r[1] for r in rows])))]
     assert not {r[0] for r in rows} & set(range(200, 240, 2))
     times = {r[0]: r[4] // r[1] for r in odd.duck(rows).execute(mix.SQL).fetchall() if r[1]}
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
@@ -91,8 +62,3 @@ def test_stages_take_any_rows_and_return_the_columns(spark, tmp_path):
             assert docs.columns == COLUMNS
             docs = spark.createDataFrame(docs.collect(), odd.SCHEMA)
         assert corpus_pipeline.encode(spark, docs, str(tmp_path)).count() == docs.count()
-
-
-def test_run_with_groups_by_exact_jaccard(spark, tmp_path, monkeypatch):
-    monkeypatch.setitem(globals(), "near_groups", lambda texts: sorted(set(exact_groups(texts))))
-    test_run_equals_a_plain_version(spark, tmp_path)

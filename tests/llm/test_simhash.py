@@ -86,7 +86,7 @@ def test_near_copies_go_and_unlike_texts_stay(spark):
         half = t.split(" ")[:80]
         data.append((200 + i, " ".join(half) + " " + odd.prose(rnd, 150).replace("\n", " "), "en", "b", 0))
     df = odd.frame(spark, data + data[:3])
-    kept = sorted(r.doc_id for r in simhash.deduplicate(df, agree=2).collect())
+    kept = sorted(r.doc_id for r in simhash.deduplicate(df).collect())
     assert [i for i in kept if i < 100] == list(range(12))
     assert [i for i in kept if i >= 200] == list(range(200, 212))
     assert len([i for i in kept if 100 <= i < 200]) <= 1
@@ -125,7 +125,7 @@ def exact_groups(texts, least=0.8):
     return [find(i) for i in range(len(sets))]
 
 
-def test_near_copies_equal_all_pairs_by_jaccard(spark, monkeypatch):
+def test_near_copies_equal_all_pairs_by_jaccard(spark):
     rnd = random.Random(31)
     passage = odd.prose(rnd, 30).replace("\n", " ")
     base = [odd.prose(rnd, rnd.choice([12, 60, 90, 220])).replace("\n", " ") + (" " + passage if i % 3 == 0 else "") for i in range(50)]
@@ -141,7 +141,5 @@ def test_near_copies_equal_all_pairs_by_jaccard(spark, monkeypatch):
     want = exact_groups(texts)
     assert 60 < len(set(want)) < len(texts) - 40
     data = [(i, t, "en", "a", 0) for i, t in enumerate(texts)]
-    for size in (simhash.SET_HASHES, 300):
-        monkeypatch.setattr(simhash, "SET_HASHES", size)
-        kept = sorted(r.doc_id for r in simhash.deduplicate(odd.frame(spark, data)).collect())
-        assert kept == sorted(set(want))
+    kept = sorted(r.doc_id for r in simhash.deduplicate(odd.frame(spark, data)).collect())
+    assert kept == sorted(set(want))
