@@ -241,8 +241,12 @@ def _may_link(limit: Fraction, n: tuple[Column, Column], sketch: tuple[Column, C
     return near & (differ.cast("long") * (limit.numerator + limit.denominator) <= total * (limit.denominator - limit.numerator))
 
 
-def _pairs_of_lists(limit: Fraction):
-    """Batches sorted by (list, a, b) -> (src, dst): pairs of different components that could reach ``limit``."""
+def _pairs_of_lists(limit: Fraction, every: bool):
+    """Batches sorted by (list, a, b) -> (src, dst): pairs of different components that could reach ``limit``.
+
+    Without ``every``, pairs that a group's earlier ones would connect anyway
+    are left out: at most as many as members, the likeliest of each component.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         serve("jaccard")
@@ -267,18 +271,27 @@ def _pairs_of_lists(limit: Fraction):
             for i in range(len(node)):
                 w = int(words[i])
                 mine = table[w][i - starts[w]][None, :]
+                near, far = [], []
                 for v, base in starts.items():
                     s, e = max(i + 1, base), min(int(top[i]), base + len(table[v]))
                     if v < w or s >= e:
                         continue
-                    ok = (comp[s:e] != comp[i]) & ((side[s:e] == 0) | (side[s:e] != side[i]))
-                    if not ok.any():
+                    ok = np.flatnonzero((comp[s:e] != comp[i]) & ((side[s:e] == 0) | (side[s:e] != side[i])))
+                    if not len(ok):
                         continue
-                    differ = np.bitwise_count(fold(table[v][s - base:e - base], w) ^ mine).sum(axis=1, dtype=np.int64)
-                    ok &= differ * (limit.numerator + limit.denominator) <= (n[s:e] + n[i]) * (limit.denominator - limit.numerator)
-                    if ok.any():
-                        other = node[s:e][ok]
-                        found.append(np.stack([np.minimum(other, node[i]), np.maximum(other, node[i])], axis=1))
+                    differ = np.bitwise_count(fold(table[v][s - base + ok], w) ^ mine).sum(axis=1, dtype=np.int64)
+                    may = differ * (limit.numerator + limit.denominator) <= (n[s + ok] + n[i]) * (limit.denominator - limit.numerator)
+                    near.append(s + ok[may])
+                    far.append(differ[may] / (n[near[-1]] + n[i]))
+                if not sum(map(len, near)):
+                    continue
+                near, far = np.concatenate(near), np.concatenate(far)
+                if not every:
+                    near = near[np.argsort(far, kind="stable")]
+                    met, first = np.unique(comp[near], return_index=True)
+                    near = near[first]
+                    comp[np.isin(comp, met)] = comp[i]
+                found.append(np.stack([np.minimum(node[near], node[i]), np.maximum(node[near], node[i])], axis=1))
 
         def flush() -> pa.RecordBatch:
             pairs = np.concatenate([np.zeros((0, 2), np.int64), *found])
@@ -406,29 +419,42 @@ def links(made: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, limit:
     first = met.filter("kind = 0").select("a", "b").distinct()
     paired = first.join(sides[0], F.col("a") == F.col("id_a")).join(sides[1], F.col("b") == F.col("id_b"))
     likely = paired.filter(_may_link(limit, (F.col("n_a"), F.col("n_b")), (F.col("sketch_a"), F.col("sketch_b"))))
-    near = _verified(materialise(likely.select(F.least("node_a", "node_b").alias("src"), F.greatest("node_a", "node_b").alias("dst"))), nodes, docs, words, limit)
-    near = materialise(near)
+    tested = materialise(likely.select(F.least("node_a", "node_b").alias("src"), F.greatest("node_a", "node_b").alias("dst")).distinct())
+    near = materialise(_verified(tested, nodes, docs, words, limit))
     tied = materialise(components(near))
 
-    # lists that still span components; of those with the same members one is enough
-    placed = nodes.select(F.col("_id").alias("b"), "node").join(tied, "node", "left").withColumn("comp", F.coalesce("component", "node"))
-    members = met.filter("kind = 1").join(placed, "b").select(F.col("a").alias("list"), "node", "comp")
-    mark = [F.bit_xor(F.xxhash64("node")), F.sum(F.xxhash64(F.lit(1), "node").bitwiseAND(F.lit((1 << 40) - 1))), F.min("node"), F.max("node"), F.count(F.lit(1))]
-    lists = members.groupBy("list").agg(*[m.alias(f"_m{i}") for i, m in enumerate(mark)], F.min("comp").alias("_c0"), F.max("comp").alias("_c1")).filter("_c0 < _c1")
-    lists = lists.groupBy(*[f"_m{i}" for i in range(len(mark))]).agg(F.min("list").alias("list"))
-    lists = lists.select("list", F.ceil(F.col("_m4") / F.lit(SLICE)).cast("int").alias("parts"))
-    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    # (a, b): the pair of slices compared; side 0 within one slice, 1 and 2 between two
-    tasks = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(
-        F.least(own, o).alias("a"), F.greatest(own, o).alias("b"), F.when(own == o, 0).when(own < o, 1).otherwise(2).alias("side")))
-    dealt = members.select("list", "node", "comp").join(lists, "list").select("list", "node", "comp", F.inline(tasks)).join(sketches.drop("id"), "node")
-    order = ["list", "a", "b"]
-    searched = dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(tidy(_pairs_of_lists(limit)), "src long, dst long")
-    more = materialise(searched.distinct())
-    if more.isEmpty():
-        return tied
-    late = _verified(more, nodes, docs, words, limit)
-    return materialise(components(near.unionByName(late)))
+    def spanning(tied: DataFrame, every: bool) -> DataFrame:
+        """Untested pairs of lists that still span components; of lists with the same members one is enough."""
+        placed = nodes.select(F.col("_id").alias("b"), "node").join(tied, "node", "left").withColumn("comp", F.coalesce("component", "node"))
+        members = met.filter("kind = 1").join(placed, "b").select(F.col("a").alias("list"), "node", "comp")
+        mark = [F.bit_xor(F.xxhash64("node")), F.sum(F.xxhash64(F.lit(1), "node").bitwiseAND(F.lit((1 << 40) - 1))), F.min("node"), F.max("node"), F.count(F.lit(1))]
+        lists = members.groupBy("list").agg(*[m.alias(f"_m{i}") for i, m in enumerate(mark)], F.min("comp").alias("_c0"), F.max("comp").alias("_c1")).filter("_c0 < _c1")
+        lists = lists.groupBy(*[f"_m{i}" for i in range(len(mark))]).agg(F.min("list").alias("list"))
+        lists = lists.select("list", F.ceil(F.col("_m4") / F.lit(SLICE)).cast("int").alias("parts"))
+        own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+        # (a, b): the pair of slices compared; side 0 within one slice, 1 and 2 between two
+        tasks = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(
+            F.least(own, o).alias("a"), F.greatest(own, o).alias("b"), F.when(own == o, 0).when(own < o, 1).otherwise(2).alias("side")))
+        dealt = members.select("list", "node", "comp").join(lists, "list").select("list", "node", "comp", F.inline(tasks)).join(sketches.drop("id"), "node")
+        order = ["list", "a", "b"]
+        found = dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(tidy(_pairs_of_lists(limit, every)), "src long, dst long")
+        return materialise(found.distinct().join(tested, ["src", "dst"], "left_anti"))
+
+    # a few pairs a list until they connect nothing more, then all that are left
+    every = False
+    while True:
+        more = spanning(tied, every)
+        if not more.isEmpty():
+            good = materialise(_verified(more, nodes, docs, words, limit))
+            tested = tested.unionByName(more)
+            if not good.isEmpty():
+                near = near.unionByName(good)
+                tied = materialise(components(near))
+                if not every:
+                    continue
+        if every:
+            return tied
+        every = True
 
 
 def frequent(docs: DataFrame, words: int, least: int = 64) -> np.ndarray:

@@ -63,6 +63,20 @@ def test_equals_all_pairs_with_any_limits(spark, monkeypatch):
     assert odd.ordered(jaccard.join(df).collect()) == want
 
 
+def test_a_large_group_of_borderline_copies_stays_linear(spark):
+    rnd = random.Random(8)
+    base = odd.prose(rnd, 130).replace("\n", " ").split(" ")
+    data = []
+    for i in range(260):
+        words = list(base)
+        for _ in range(rnd.choice([1, 2, 2, 3])):
+            words[rnd.randrange(len(words))] = f"w{rnd.randrange(10**6)}"
+        data.append((i, " ".join(words), "en", "a", 0))
+    want = plain(data)
+    assert 3 < len({r[2] for r in want}) or len({r[2] for r in want}) == 1
+    assert odd.ordered(jaccard.join(odd.frame(spark, data)).collect()) == want
+
+
 def test_odd_rows(spark):
     data = odd.rows()
     df = odd.clashing(odd.frame(spark, data), ["_text", "_k0", "_n", "node", "root", "component_id", "_t"])
