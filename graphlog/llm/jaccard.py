@@ -242,10 +242,11 @@ def _may_link(limit: Fraction, n: tuple[Column, Column], sketch: tuple[Column, C
 
 
 def _pairs_of_lists(limit: Fraction, every: bool):
-    """Batches sorted by (list, a, b) -> (src, dst): pairs of different components that could reach ``limit``.
+    """Batches sorted by (list, a, b) -> (list, src, dst): pairs of different components that could reach ``limit``.
 
     Without ``every``, pairs that a group's earlier ones would connect anyway
     are left out: at most as many as members, the likeliest of each component.
+    Members go by size and node, so that lists alike name the same pairs.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,7 +263,7 @@ def _pairs_of_lists(limit: Fraction, every: bool):
         def close() -> None:
             side, node, comp, n = (np.concatenate(x) for x in list(zip(*held, strict=True))[:4])
             sketch = [s for x in held for s in x[4]]
-            order = np.argsort(n, kind="stable")
+            order = np.lexsort((node, n))
             side, node, comp, n = side[order], node[order], comp[order], n[order].astype(np.int64)
             words = np.array([len(sketch[i]) for i in order])
             table = {w: np.stack([sketch[i] for i in order if len(sketch[i]) == w]) for w in np.unique(words).tolist()}
@@ -291,13 +292,12 @@ def _pairs_of_lists(limit: Fraction, every: bool):
                     met, first = np.unique(comp[near], return_index=True)
                     near = near[first]
                     comp[np.isin(comp, met)] = comp[i]
-                found.append(np.stack([np.minimum(node[near], node[i]), np.maximum(node[near], node[i])], axis=1))
+                found.append(np.stack([np.full(len(near), key[0]), np.minimum(node[near], node[i]), np.maximum(node[near], node[i])], axis=1))
 
         def flush() -> pa.RecordBatch:
-            pairs = np.concatenate([np.zeros((0, 2), np.int64), *found])
+            pairs = np.concatenate([np.zeros((0, 3), np.int64), *found])
             found.clear()
-            pairs = np.unique(pairs, axis=0) if len(pairs) else pairs
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["src", "dst"])
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, i]) for i in range(3)], names=["list", "src", "dst"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -423,10 +423,11 @@ def links(made: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, limit:
     near = materialise(_verified(tested, nodes, docs, words, limit))
     tied = materialise(components(near))
 
-    def spanning(tied: DataFrame, every: bool) -> DataFrame:
-        """Untested pairs of lists that still span components; of lists with the same members one is enough."""
+    def spanning(tied: DataFrame, every: bool, only: DataFrame | None) -> DataFrame:
+        """(list, src, dst) of lists that still span components; of lists with the same members one is enough."""
         placed = nodes.select(F.col("_id").alias("b"), "node").join(tied, "node", "left").withColumn("comp", F.coalesce("component", "node"))
-        members = met.filter("kind = 1").join(placed, "b").select(F.col("a").alias("list"), "node", "comp")
+        members = met.filter("kind = 1").select(F.col("a").alias("list"), "b")
+        members = (members if only is None else members.join(only, "list", "left_semi")).join(placed, "b").select("list", "node", "comp")
         mark = [F.bit_xor(F.xxhash64("node")), F.sum(F.xxhash64(F.lit(1), "node").bitwiseAND(F.lit((1 << 40) - 1))), F.min("node"), F.max("node"), F.count(F.lit(1))]
         lists = members.groupBy("list").agg(*[m.alias(f"_m{i}") for i, m in enumerate(mark)], F.min("comp").alias("_c0"), F.max("comp").alias("_c1")).filter("_c0 < _c1")
         lists = lists.groupBy(*[f"_m{i}" for i in range(len(mark))]).agg(F.min("list").alias("list"))
@@ -435,15 +436,18 @@ def links(made: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, limit:
         # (a, b): the pair of slices compared; side 0 within one slice, 1 and 2 between two
         tasks = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(
             F.least(own, o).alias("a"), F.greatest(own, o).alias("b"), F.when(own == o, 0).when(own < o, 1).otherwise(2).alias("side")))
-        dealt = members.select("list", "node", "comp").join(lists, "list").select("list", "node", "comp", F.inline(tasks)).join(sketches.drop("id"), "node")
+        dealt = members.join(lists, "list").join(sketches.drop("id"), "node").select("list", "node", "comp", "n", "sketch", F.inline(tasks))
         order = ["list", "a", "b"]
-        found = dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(tidy(_pairs_of_lists(limit, every)), "src long, dst long")
-        return materialise(found.distinct().join(tested, ["src", "dst"], "left_anti"))
+        found = dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(tidy(_pairs_of_lists(limit, every)), "list long, src long, dst long")
+        return materialise(found)
 
-    # a few pairs a list until they connect nothing more, then all that are left
-    every = False
+    # a few pairs a list until they connect nothing more, then all that are left;
+    # a list that brought no pair has none
+    every, only = False, None
     while True:
-        more = spanning(tied, every)
+        found = spanning(tied, every, only)
+        only = found.select("list").distinct()
+        more = materialise(found.select("src", "dst").distinct().join(tested, ["src", "dst"], "left_anti"))
         if not more.isEmpty():
             good = materialise(_verified(more, nodes, docs, words, limit))
             tested = tested.unionByName(more)
@@ -452,7 +456,7 @@ def links(made: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, limit:
                 tied = materialise(components(near))
                 if not every:
                     continue
-        if every:
+        if every or found.isEmpty():
             return tied
         every = True
 
