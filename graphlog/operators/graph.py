@@ -37,28 +37,30 @@ def steps(edges: DataFrame, direction: str = "both") -> DataFrame:
     return out.unionByName(back)
 
 
-def reach(edges: DataFrame, roots: DataFrame, hops: int, direction: str = "out") -> DataFrame:
+def reach(edges: DataFrame, roots: DataFrame, hops: int, direction: str = "out", step: DataFrame | None = None) -> DataFrame:
     """(model_id, root, node) reached by walks of exactly ``hops`` steps.
 
     Ends are made distinct at each hop, so the frontier never holds one row
-    per walk.
+    per walk. ``step`` may give the steps as ``stored_steps`` keeps them.
     """
-    step = steps(edges, direction)
+    step = steps(edges, direction) if step is None else step
     front = roots.select("model_id", F.col("node").alias("root"), F.col("node").alias("a")).distinct()
     for _ in range(hops):
         front = front.join(step, ["model_id", "a"]).select("model_id", "root", F.col("b").alias("a")).distinct()
     return front.select("model_id", "root", F.col("a").alias("node"))
 
 
-def neighbourhood(edges: DataFrame, roots: DataFrame, depth: int = 1, most: int = 3) -> DataFrame:
+def neighbourhood(edges: DataFrame, roots: DataFrame, depth: int = 1, most: int = 3, step: DataFrame | None = None) -> DataFrame:
     """Distinct nodes within ``depth`` undirected steps, the root left out.
 
     A depth beyond 0..``most`` is an error. Levels are written, so each is
-    worked out once.
+    worked out once. ``step`` may give both ways' steps as ``stored_steps``
+    keeps them.
     """
     if not 0 <= depth <= most:
         raise ValueError(f"{depth} is not within 0..{most}")
-    step = materialise(steps(edges).distinct()) if depth > 1 else steps(edges)
+    if step is None:
+        step = materialise(steps(edges).distinct()) if depth > 1 else steps(edges)
     front = roots.select("model_id", F.col("node").alias("root"), F.col("node").alias("a")).distinct()
     seen = front
     for hop in range(depth):

@@ -38,10 +38,11 @@ def page(nodes: DataFrame, model_id: str, node_type: str, after: int = 0, limit:
     when more rows follow, else null.
     """
     size = bounded(limit, 50, most)
-    return _page(typed_scan(nodes, model_id, node_type), after, size, where)
+    return cut(typed_scan(nodes, model_id, node_type), after, size, where)
 
 
-def _page(rows: DataFrame, after: int, size: int, where: Column | None) -> DataFrame:
+def cut(rows: DataFrame, after: int, size: int, where: Column | None) -> DataFrame:
+    """The first ``size`` rows past ``after`` that fit, with ``next_after``."""
     rows = rows.filter(F.col("seq") > after)
     if where is not None:
         rows = rows.filter(where)
@@ -61,10 +62,15 @@ def filtered_page(nodes: DataFrame, model_id: str, node_type: str, equal: dict[s
 
     The filter runs before the page is cut; a missing property never matches.
     """
+    return cut(typed_scan(nodes, model_id, node_type), after, bounded(limit, 20, most), matching(equal))
+
+
+def matching(equal: dict[str, str]) -> Column:
+    """Whether a node's properties equal the given texts."""
     where = F.lit(True)
     for name, text in equal.items():
         where = where & (unquote(F.col("props")[name]) == text)
-    return _page(typed_scan(nodes, model_id, node_type), after, bounded(limit, 20, most), where)
+    return where
 
 
 def count_by_type(nodes: DataFrame) -> DataFrame:

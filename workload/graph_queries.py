@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from graphlog.functions.literals import unquote
 from graphlog.operators import graph, read
 from graphlog.operators.graph import Hop, Spot
+from graphlog.sources import layout
 from workload.fixtures import SQL_EDGES, SQL_NODES, edges, mutations, nodes, table
-from workload.registry import query
+from workload.registry import SQL, query
 
 
 @query(
@@ -234,3 +235,49 @@ def audit_listing(spark, folder):
     )
     span = [F.lit(t).cast("timestamp") for t in ("2024-01-05 00:00:00", "2024-01-25 00:00:00")]
     return read.audit_listing(calls, "t1", "click", *span).select("call_id", "agent_id")
+
+
+# the same reads from the stored layouts
+
+
+@query("stored_lookup", SQL["point_lookup"])
+def stored_lookup(spark, folder):
+    row = layout.NodeStore.write(nodes(spark, folder)).lookup("t0", "order:42")
+    return row.select("node", unquote(F.col("props")["status"]).alias("status"))
+
+
+@query("stored_many_lookup", SQL["many_lookup"])
+def stored_many_lookup(spark, folder):
+    keys = table(spark, folder, "lineitem").filter("l_returnflag = 'R'").select(
+        F.concat(F.lit("t"), (F.col("l_partkey") % 2).cast("string")).alias("model_id"),
+        F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("node"),
+    )
+    found = layout.NodeStore.write(nodes(spark, folder), rows_per_file=20_000).lookup_many(keys)
+    return found.select("model_id", "node", unquote(F.col("props")["name"]).alias("name"))
+
+
+@query("stored_page", SQL["keyset_page"])
+def stored_page(spark, folder):
+    store = layout.NodeStore.write(nodes(spark, folder), rows_per_file=20_000)
+    return store.page("t0", "order", after=1000).select("node", "seq", "next_after")
+
+
+@query("stored_filtered_page", SQL["filtered_page"])
+def stored_filtered_page(spark, folder):
+    store = layout.NodeStore.write(nodes(spark, folder), rows_per_file=20_000)
+    return store.filtered_page("t0", "customer", {"segment": "BUILDING"}, after=10).select("node", "seq")
+
+
+@query("stored_two_hop_reach_all", SQL["two_hop_reach_all"])
+def stored_two_hop_reach_all(spark, folder):
+    roots = nodes(spark, folder, tenants=1, only=["nation", "region"])
+    step = layout.stored_steps(graph.steps(edges(spark, folder), "in").distinct())
+    found = graph.reach(None, roots, 2, step=step)
+    return found.groupBy("root").agg(F.count(F.lit(1)).alias("reached"))
+
+
+@query("stored_neighbourhood", SQL["neighbourhood"])
+def stored_neighbourhood(spark, folder):
+    roots = nodes(spark, folder, tenants=1, only=["nation"])
+    step = layout.stored_steps(graph.steps(edges(spark, folder)).distinct())
+    return graph.neighbourhood(None, roots, 2, step=step).select("root", "node")
