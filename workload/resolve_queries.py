@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from graphlog.functions.literals import quote
 from graphlog.functions.text import similarity
 from graphlog.functions.vectors import cosine
-from graphlog.operators import resolve, review
+from graphlog.operators import resolve, review, vectors
 from workload.fixtures import at, table
-from workload.registry import query
+from workload.registry import SQL, query
 
 THRESHOLD = 0.85
 
@@ -115,6 +115,16 @@ def knn_cosine(spark, folder):
     return found.select("query_id", "model_id", "node", F.round("score", 6).alias("score"), "rank")
 
 
+@query("knn_inverted_file_all_cells", SQL["knn_cosine"])
+def knn_inverted_file_all_cells(spark, folder):
+    """Every cell probed, so that the result is the exact one and each indexed vector is needed."""
+    known = _vectors(spark, folder)
+    queries = known.select("model_id", F.regexp_replace("node", "part:", "q:").alias("query_id"), "vector")
+    centres = vectors.train(known.filter("embedding_model = 'm1'"), 16)
+    found = vectors.probe(queries, vectors.index(known, centres, "m1"), centres, 5, probes=16)
+    return found.select("query_id", "model_id", "node", F.round("score", 6).alias("score"), "rank")
+
+
 @query(
     "embedding_upsert",
     """SELECT concat('t', vec_id % 2) AS model_id, concat('part:', vec_id) AS node,
