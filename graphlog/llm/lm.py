@@ -1,25 +1,30 @@
 """Stupid-backoff scores from n-gram count tables.
 
-Words and bigrams are counted and looked up in one shuffle. A task hashes a
-slice of documents and sorts the hashes once; each bucket of hashes gets the
-slice's distinct n-grams, how often each occurs and in which of its documents.
-A bucket adds up the counts of all slices, which is its part of the count
-table, joins the logarithms back to the occurrences it holds and returns one
-sum per document; the sums of a task are combined before they travel. Sums are
-whole numbers of a small unit, so their order does not matter.
-
-An n-gram that makes up a good part of all text would fill its bucket. The
-frequent ones (at most ``FREQUENT`` of them, named by a bounded sample that
-decides nothing but the route) are counted exactly in a pass of their own;
-that table has a fixed bound, is broadcast, and their occurrences never move.
+Words and bigrams are counted in one shuffle. A task hashes a slice of
+documents and sorts the hashes once; each bucket of hashes gets the slice's
+distinct n-grams and how often each occurs. A bucket adds up the counts of all
+slices, which is its part of the count table, and answers every slice that
+asked with the totals of its n-grams, in order. The slice's texts travel beside
+them, compressed, and meet the answers in one task, which joins them to the
+occurrences and sums per document.
+
+A text is scored under the counts of all the other texts: what it adds to a
+count itself is taken off again, so that a bigram found nowhere else backs off.
+
+An n-gram that makes up a good part of all text would have a count from every
+slice in one bucket. The frequent ones (at most ``FREQUENT`` of them, named by
+the first slice of every partition, which decides nothing but the route) are
+counted exactly in a pass of their own; that table has a fixed bound, is
+broadcast, and their counts never move.
 
 The score of a text w1..wn is the sum of ln S: S(w1) = C(w1) / N and
 S(w | v) = C(v w) / C(v) if the bigram was seen, else alpha * C(w) / N; a word
-that was never seen counts as seen once.
+that was never seen counts as seen once, and so does N if nothing else is left.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -30,16 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphlog.llm.common import WORD, col, serve, spread, tidy
-from graphlog.storage import materialise
 
 SLICE_BYTES = 6 << 20
 BUCKET_BYTES = 8 << 20
-HELD = 4_000_000  # sums a task combines before it sends them
-MICRO = 100_000_000
+SENT = 4 << 20  # bytes of answers a task gathers before it sends them
 FREQUENT = 2048
-SAMPLE_DOCS = 2000
-#: n: 1 or 2 for packed n-grams, 0 for a slice's ids and word counts, -1 for sums
-_ROW = "batch long, n int, sign int, bucket int, hashes binary, counts binary, sizes binary, docs binary, pairs binary, ids array<string>, sums binary, backs binary"
+#: n: 1 or 2 for packed n-grams and their totals, 0 for a slice's ids and texts; batch -1 asks for nothing
+_ROW = "batch long, n int, bucket int, width int, hashes binary, counts binary, ids array<string>, sizes binary, text binary"
 
 
 def _rows(rows: list[dict]) -> pa.RecordBatch:
@@ -48,6 +50,12 @@ def _rows(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], kinds[k]) for n, k in fields], names=[n for n, _ in fields])
 
 
+def _each(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows one by one, so that a batch of long ones is not copied whole."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
     """(ids, texts) of about ``SLICE_BYTES``, at most 65536 rows; a longer text stands alone."""
     for batch in batches:
@@ -71,14 +79,11 @@ class _Hashed:
         self.sizes = sizes = np.array([len(w) for w in words], np.int64)
         self.h = h = np.fromiter((x for w in words for x in map(known, w)), np.uint64, int(sizes.sum()))
         self.doc = np.repeat(np.arange(len(words)), sizes)
-        stops = np.cumsum(sizes)
-        self.first, self.last = np.zeros(len(h), bool), np.zeros(len(h), bool)
-        some = sizes > 0
-        self.first[(stops - sizes)[some]] = True
-        self.last[stops[some] - 1] = True
-        both = ~self.last[:-1]
-        self.left, self.right, self.pair_doc = h[:-1][both], h[1:][both], self.doc[:-1][both]
-        x = (self.left * np.uint64(0x9E3779B97F4A7C15)) ^ (self.right + np.uint64(0x632BE59BD9B4E019) + (self.left << np.uint64(6)))
+        self.first = np.zeros(len(h), bool)
+        self.first[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+        both = ~self.first[1:]
+        left, right, self.pair_doc = h[:-1][both], h[1:][both], self.doc[:-1][both]
+        x = (left * np.uint64(0x9E3779B97F4A7C15)) ^ (right + np.uint64(0x632BE59BD9B4E019) + (left << np.uint64(6)))
         x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
         self.pair = x ^ (x >> np.uint64(29))
 
@@ -98,8 +103,20 @@ def _known():
     return Hashes().__getitem__
 
 
-def _count(frequent: np.ndarray | None):
-    """(hash, n, total) of the given n-grams, or of all; n is 0 for words and 3 for bytes in all."""
+def _usual(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(hash, n, total): the most frequent words and bigrams of a partition's first slice."""
+    known = _known()
+    for _, texts in _slices(batches):
+        slice_ = _Hashed(texts, known)
+        for n, h in ((1, slice_.h), (2, slice_.pair)):
+            uniq, counts = np.unique(h, return_counts=True)
+            top = np.argsort(-counts, kind="stable")[:FREQUENT]
+            yield _counts(n, uniq[top], counts[top])
+        return
+
+
+def _count(frequent: np.ndarray):
+    """(hash, n, total) of the given n-grams; n is 0 for words and 3 for bytes in all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _known()
@@ -110,14 +127,8 @@ def _count(frequent: np.ndarray | None):
             words += len(slice_.h)
             size += sum(len(t.encode()) for t in texts if t)
             for n, h in ((1, slice_.h), (2, slice_.pair)):
-                if frequent is None:
-                    uniq, counts = np.unique(h, return_counts=True)
-                    top = np.argsort(-counts, kind="stable")[:FREQUENT]
-                    yield _counts(n, uniq[top], counts[top])
-                else:
-                    at = np.minimum(np.searchsorted(frequent, h), max(0, len(frequent) - 1))
-                    hit = frequent[at] == h if len(frequent) else np.zeros(len(h), bool)
-                    totals[n] = totals.get(n, 0) + np.bincount(at[hit], minlength=len(frequent))
+                at, hit = _among(frequent, h)
+                totals[n] = totals.get(n, 0) + np.bincount(at[hit], minlength=len(frequent))
         for n, t in totals.items():
             yield _counts(n, frequent, t)
         yield _counts(0, np.zeros(1, np.uint64), np.array([words]))
@@ -126,6 +137,14 @@ def _count(frequent: np.ndarray | None):
     return run
 
 
+def _among(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the hashes among sorted keys, and which of them are there."""
+    if not len(keys):
+        return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+    return at, keys[at] == h
+
+
 def _counts(n: int, h: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), n, np.int32)), pa.array(total.astype(np.int64))], names=["h", "n", "total"])
 
@@ -135,42 +154,15 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
 
 
-def _packed(h: np.ndarray, docs: np.ndarray, asked: np.ndarray, counted: bool, buckets: int, pairs: np.ndarray | None = None, **key) -> list[dict]:
-    """Rows for the buckets of ``h``; ``asked`` marks the occurrences to be looked up."""
-    if not len(h):
-        return []
-    order = np.argsort(h, kind="stable")
-    h, docs, asked = h[order], docs[order], asked[order]
-    starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-    uniq = h[starts]
-    counts = np.diff(np.concatenate((starts, [len(h)]))).astype(np.uint32) if counted else np.zeros(len(uniq), np.uint32)
-    sizes = np.add.reduceat(asked.astype(np.int64), starts).astype(np.uint32)
-    docs = docs[asked].astype(np.uint16)
-    ends = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
-    bucket = _bucket(uniq, buckets)
-    cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))).tolist()
-    shown = pairs[order][starts] if pairs is not None else None
-    return [
-        key | {
-            "bucket": int(bucket[a]), "hashes": uniq[a:b].tobytes(), "counts": counts[a:b].tobytes(), "sizes": sizes[a:b].tobytes(),
-            "docs": docs[ends[a]:ends[b]].tobytes(), "pairs": None if shown is None else shown[a:b].tobytes(),
-        }
-        for a, b in zip(cuts, [*cuts[1:], len(uniq)], strict=True)
-    ]
-
-
-def _common(frequent: tuple[np.ndarray, dict[int, np.ndarray]], n: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which of the hashes are frequent n-grams, and the logarithms of their counts."""
-    common, logs = frequent
-    if not len(common):
-        return np.zeros(len(h), bool), np.zeros(len(h), np.int64)
-    at = np.minimum(np.searchsorted(common, h), len(common) - 1)
-    worth = logs[n][at]
-    return (common[at] == h) & (worth >= 0), worth  # below zero: not of this kind
+def _distinct(frequent: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of a slice that travel, in order, and their counts."""
+    uniq, counts = np.unique(h, return_counts=True)
+    rare = ~_among(frequent, uniq)[1]
+    return uniq[rare], counts[rare]
 
 
 def _pack(buckets: int, counted: bool, asked: bool, frequent):
-    """Slices of (id, text) -> packed words and bigrams; a slice's ids; its sums over the frequent n-grams."""
+    """Slices of (id, text) -> distinct words and bigrams by bucket; the slice's ids and texts if it asks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -178,135 +170,121 @@ def _pack(buckets: int, counted: bool, asked: bool, frequent):
         known = _known()
         batch = TaskContext.get().partitionId() << 32
         for ids, texts in _slices(batches):
+            key = {"batch": batch if asked else -1}
             s = _Hashed(texts, known)
-            key = {"batch": batch}
-            sums = np.zeros(len(texts), np.int64)
             rows = []
-            lone = s.first & s.last
-            pairs = None if counted else np.stack([s.left, s.right], axis=1)
-            for n, sign, h, doc, ask in (
-                (2, 1, s.pair, s.pair_doc, np.ones(len(s.pair), bool)),
-                (1, -1, s.h, s.doc, ~s.first & ~s.last),
-                (1, 1, s.h[lone], s.doc[lone], np.ones(int(lone.sum()), bool)),
-            ):
-                hit, worth = _common(frequent.value, n, h)
-                if asked:
-                    mine = hit & ask
-                    sums += sign * np.bincount(doc[mine], weights=worth[mine], minlength=len(sums)).astype(np.int64)
-                only = None if pairs is None or n == 1 else pairs[~hit]
-                # words that stand alone were counted with the others
-                rows += _packed(h[~hit], doc[~hit], ask[~hit] & asked, counted and not (n == 1 and sign == 1), buckets, only, n=n, sign=sign, **key)
+            for n, h in ((1, s.h), (2, s.pair)):
+                uniq, counts = _distinct(frequent.value[0], h)
+                bucket = _bucket(uniq, buckets)
+                cuts = [*np.flatnonzero(np.concatenate((np.ones(min(1, len(uniq)), bool), bucket[1:] != bucket[:-1]))).tolist(), len(uniq)]
+                for a, b in itertools.pairwise(cuts):
+                    told = counts[a:b].astype(np.uint32).tobytes() if counted else None
+                    rows.append(key | {"n": n, "bucket": int(bucket[a]), "hashes": uniq[a:b].tobytes(), "counts": told})
             if asked:
-                own = {"bucket": batch % buckets, "sizes": s.sizes.tobytes(), "sums": sums.tobytes(), "ids": ids}
-                rows.append(key | {"n": 0, "sign": 0} | own)
+                raw = [(t or "").encode() for t in texts]
+                sizes = np.array([len(t) for t in raw], np.int64).tobytes()
+                text = pa.compress(b"".join(raw), codec="zstd", asbytes=True)
+                rows.append(key | {"n": 0, "bucket": batch % buckets, "ids": ids, "sizes": sizes, "text": text})
             yield _rows(rows)
             batch += 1
 
     return run
 
 
-def _look_up(buckets: int, back: int, frequent):
-    """Rows sorted by (bucket, n): each bucket's counts joined to its occurrences, summed per slice.
-
-    Occurrences of bigrams never counted come out packed again, as the words
-    that stand in for them, with ``back`` added to the sum for each.
+def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (bucket, n): each bucket's counts added up, and the totals each slice asked for."""
+    held: list[dict] = []
+    at = None
+
+    def close() -> Iterator[dict]:
+        hashes = [np.frombuffer(r["hashes"], np.uint64) for r in held]
+        _, where = np.unique(np.concatenate(hashes), return_inverse=True)
+        counts = [np.frombuffer(r["counts"], np.uint32) if r["counts"] is not None else np.zeros(len(h)) for r, h in zip(held, hashes, strict=True)]
+        total = np.bincount(where, weights=np.concatenate(counts)).astype(np.uint64)
+        width = 4 if total.max() < 1 << 32 else 8
+        total = total.astype(f"u{width}")
+        done = 0
+        for r, h in zip(held, hashes, strict=True):
+            mine = where[done:done + len(h)]
+            done += len(h)
+            if r["batch"] >= 0:
+                yield {"batch": r["batch"], "n": r["n"], "bucket": r["bucket"], "width": width, "counts": total[mine].tobytes()}
+        held.clear()
+
+    out: list[dict] = []
+    size = 0
+    for batch in batches:
+        for r in _each(batch):
+            if r["n"] == 0:
+                yield _rows([r])
+                continue
+            if (r["bucket"], r["n"]) != at:
+                for row in close() if held else ():
+                    out.append(row)
+                    size += len(row["counts"])
+                    if size > SENT:
+                        yield _rows(out)
+                        out, size = [], 0
+                at = (r["bucket"], r["n"])
+            held.append(r)
+    out += close() if held else []
+    yield _rows(out)
+
+
+def _score(words: int, own: bool, alpha: float, frequent):
+    """Rows sorted by (batch, n, bucket): each slice's texts joined to their totals, a row per document.
+
+    With ``own`` the counts hold the texts themselves, and each text's are
+    taken off for it.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-        at = None
-        sums: dict[int, np.ndarray] = {}
-        size = 0
-        missing: list[dict] = []
-
-        def add(batch: int, values: np.ndarray) -> int:
-            old = sums.get(batch)
-            if old is None:
-                sums[batch] = values
-                return len(values)
-            if len(old) < len(values):
-                old, values = values, old
-            old[:len(values)] += values
-            sums[batch] = old
-            return 0
-
-        def close() -> None:
-            nonlocal size
-            hashes = [np.frombuffer(r["hashes"], np.uint64) for r in held]
-            _, where = np.unique(np.concatenate(hashes), return_inverse=True)
-            total = np.bincount(where, weights=np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in held]))
-            worth = np.rint(np.log(np.maximum(total, 1)) * MICRO)
-            done = 0
-            for r, h in zip(held, hashes, strict=True):
-                mine = where[done:done + len(h)]
-                done += len(h)
-                sizes, docs = np.frombuffer(r["sizes"], np.uint32), np.frombuffer(r["docs"], np.uint16)
-                if not len(docs):
-                    continue
-                size += add(r["batch"], np.bincount(docs, weights=np.repeat(worth[mine], sizes)).astype(np.int64) * r["sign"])
-                unseen = (total[mine] == 0) & (r["n"] == 2)
-                if unseen.any():
-                    here = np.repeat(unseen, sizes)
-                    size += add(r["batch"], np.bincount(docs[here]).astype(np.int64) * back)
-                    pairs = np.repeat(np.frombuffer(r["pairs"], np.uint64).reshape(-1, 2), sizes, axis=0)[here]
-                    # take back the context and put the last word in its place
-                    words, doc = pairs.T.reshape(-1), np.tile(docs[here], 2)
-                    hit, usual = _common(frequent.value, 1, words)
-                    size += add(r["batch"], np.bincount(doc[hit], weights=usual[hit], minlength=1).astype(np.int64))
-                    rest = ~hit
-                    missing.extend(_packed(words[rest], doc[rest], rest[rest], False, buckets, n=1, sign=1, batch=r["batch"]))
-
-        def flush() -> pa.RecordBatch:
-            rows = [{"batch": b, "n": -1, "sums": v.tobytes()} for b, v in sums.items()] + missing
-            sums.clear()
-            missing.clear()
-            return _rows(rows)
-
-        for batch in batches:
-            for r in batch.to_pylist():
-                if r["n"] == 0:
-                    yield _rows([r])
-                    continue
-                if (r["bucket"], r["n"]) != at:
-                    if held:
-                        close()
-                        held = []
-                    at = (r["bucket"], r["n"])
-                held.append(r)
-            if size > HELD or len(missing) > 1 << 12:
-                yield flush()
-                size = 0
-        if held:
-            close()
-        yield flush()
-
-    return run
-
-
-def _gather(one: int):
-    """Rows sorted by (batch, n): each slice's sums added up, a row per document.
-
-    ``one`` is ln N, taken off once for the first word of a text.
-    """
+    def totals(n: int, h: np.ndarray, doc: np.ndarray, told: list[np.ndarray]) -> np.ndarray:
+        """C of each occurrence, as its document sees it."""
+        common, exact = frequent.value
+        uniq, where = np.unique(h, return_inverse=True)
+        at, hit = _among(common, uniq)
+        all_ = np.zeros(len(uniq), np.int64)
+        answers = np.concatenate(told) if told else np.zeros(0, np.int64)
+        if len(answers) != int((~hit).sum()):
+            raise ValueError("a slice and its counts do not belong together")
+        all_[~hit] = answers
+        all_[hit] = exact[n][at[hit]]
+        seen = all_[where]
+        if own:
+            _, mine, times = np.unique(where.astype(np.int64) << 16 | doc, return_inverse=True, return_counts=True)
+            seen = seen - times[mine]
+        return seen
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now = None
-        total = words = ids = None
+        known = _known()
+        now: dict | None = None
+        told: dict[int, list[np.ndarray]] = {}
 
         def out() -> pa.RecordBatch:
-            made = total - one * (words > 0)
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(words), pa.array(made)], names=["id", "words", "micro"])
+            sizes = np.frombuffer(now["sizes"], np.int64)
+            ends = np.cumsum(sizes)
+            raw = pa.decompress(now["text"], decompressed_size=int(ends[-1]), codec="zstd", asbytes=True)
+            s = _Hashed([raw[b - n:b].decode() for n, b in zip(sizes.tolist(), ends.tolist(), strict=True)], known)
+            one, two = totals(1, s.h, s.doc, told[1]), totals(2, s.pair, s.pair_doc, told[2])
+            left = np.maximum(1, words - s.sizes) if own else np.full(len(s.sizes), max(1, words))
+            alone = np.log(np.maximum(one, 1)) - np.log(left)[s.doc]
+            worth = np.where(s.first, alone, alone + math.log(alpha))
+            seen = two > 0
+            later = np.flatnonzero(~s.first)[seen]
+            worth[later] = np.log(two[seen]) - np.log(one[later - 1])
+            made = np.bincount(s.doc, weights=worth, minlength=len(s.sizes)).astype(np.float64)
+            return pa.RecordBatch.from_arrays([pa.array(now["ids"], pa.string()), pa.array(s.sizes), pa.array(made)], names=["id", "words", "log_score"])
 
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in _each(batch):
                 if r["n"] == 0:
                     if now is not None:
                         yield out()
-                    now, ids = r["batch"], r["ids"]
-                    words, total = np.frombuffer(r["sizes"], np.int64), np.frombuffer(r["sums"], np.int64).copy()
+                    now, told = r, {1: [], 2: []}
+                elif now is None or r["batch"] != now["batch"]:
+                    raise ValueError("a slice and its counts do not belong together")
                 else:
-                    more = np.frombuffer(r["sums"], np.int64)
-                    total[:len(more)] += more
+                    told[r["n"]].append(np.frombuffer(r["counts"], f"u{r['width']}").astype(np.int64))
         if now is not None:
             yield out()
 
@@ -314,11 +292,12 @@ def _gather(one: int):
 
 
 def score(docs: DataFrame, corpus: DataFrame | None = None, id_column: str = "doc_id", text: str = "text", alpha: float = 0.4) -> DataFrame:
-    """(id, n_words, log_score) of each whole text of ``docs``, in nats, under the counts of ``corpus`` (``docs`` unless given).
+    """(id, n_words, log_score) of each whole text of ``docs``, in nats, under the counts of ``corpus``.
 
-    No texts, no rows; a text without words, null or empty, scores 0. Repeated
-    rows are counted and scored as often as they occur. ``id_column`` keeps
-    its type; ids may be null or repeat.
+    Without a corpus each row is scored under all other rows of ``docs``. No
+    texts, no rows; a text without words, null or empty, scores 0. Repeated
+    rows are counted and scored as often as they occur, so that one sees the
+    others. ``id_column`` keeps its type; ids may be null or repeat.
     """
     spark = docs.sparkSession
     own = corpus is None
@@ -330,28 +309,19 @@ def score(docs: DataFrame, corpus: DataFrame | None = None, id_column: str = "do
 
     model = slim(docs if own else corpus)
     shape = "h long, n int, total long"
-    usual = model.limit(SAMPLE_DOCS).mapInArrow(_count(None), shape).filter("n IN (1, 2)").groupBy("h").agg(F.sum("total").alias("total"))
+    usual = model.mapInArrow(_usual, shape).groupBy("h").agg(F.sum("total").alias("total"))
     names = [r[0] for r in usual.orderBy(F.desc("total"), "h").limit(FREQUENT).collect()]
     common = np.sort(np.array(names, np.int64).view(np.uint64))
-    exact = {(r[0], r[1]): r[2] for r in model.mapInArrow(_count(common), shape).groupBy("h", "n").agg(F.sum("total")).collect()}
-    words, size = exact.pop((0, 0), 0), exact.pop((0, 3), 0)
-    logs = {n: np.array([round(math.log(t) * MICRO) if (t := exact.get((h, n), 0)) else -1 for h in common.view(np.int64).tolist()], np.int64) for n in (1, 2)}
-    frequent = spark.sparkContext.broadcast((common, logs))
-    one = round(math.log(max(1, words)) * MICRO)
-    back = round(math.log(alpha) * MICRO) - one
+    found = {(r[0], r[1]): r[2] for r in model.mapInArrow(_count(common), shape).groupBy("h", "n").agg(F.sum("total")).collect()}
+    words, size = found.pop((0, 0), 0), found.pop((0, 3), 0)
+    exact = {n: np.array([found.get((h, n), 0) for h in common.view(np.int64).tolist()], np.int64) for n in (1, 2)}
+    frequent = spark.sparkContext.broadcast((common, exact))
     tasks = spread(spark)
     buckets = max(tasks, size // BUCKET_BYTES + 1)
-
-    def grouped(rows: DataFrame) -> DataFrame:
-        return rows.repartition(tasks, "bucket").sortWithinPartitions("bucket", "n").mapInArrow(tidy(_look_up(buckets, back, frequent)), _ROW)
-
     packs = slim(docs).mapInArrow(tidy(_pack(buckets, own, True, frequent)), _ROW)
-    if own:
-        sums = grouped(packs)
-    else:
-        tables = model.mapInArrow(_pack(buckets, True, False, frequent), _ROW)
-        first = materialise(grouped(packs.unionByName(tables)))
-        stand_ins = grouped(first.filter("n = 1").unionByName(tables.filter("n = 1")))
-        sums = first.filter("n <> 1").unionByName(stand_ins)
-    done = sums.repartition(tasks, "batch").sortWithinPartitions(F.col("batch"), F.desc("n")).mapInArrow(_gather(one), "id string, words long, micro long")
-    return done.select(F.col("id").cast(kind).alias(id_column), F.col("words").alias("n_words"), (F.col("micro") / F.lit(float(MICRO))).alias("log_score"))
+    if not own:
+        packs = packs.unionByName(model.mapInArrow(tidy(_pack(buckets, True, False, frequent)), _ROW))
+    answers = packs.repartition(tasks, "bucket").sortWithinPartitions("bucket", "n").mapInArrow(tidy(_total), _ROW)
+    met = answers.repartition(tasks, "batch").sortWithinPartitions("batch", "n", "bucket")
+    done = met.mapInArrow(tidy(_score(words, own, alpha, frequent)), "id string, words long, log_score double")
+    return done.select(F.col("id").cast(kind).alias(id_column), F.col("words").alias("n_words"), "log_score")
