@@ -149,6 +149,21 @@ def _counts(n: int, h: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), n, np.int32)), pa.array(total.astype(np.int64))], names=["h", "n", "total"])
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """First bytes of all values, then second ones, ...: the shuffle's compression finds the zeros."""
+    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def _values(planes: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def _steps(h: np.ndarray) -> bytes:
+    """Sorted hashes by their differences, which are small."""
+    return _planes(np.diff(h, prepend=np.uint64(0)))
+
+
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     """Order of hashes is order of buckets."""
     return ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
@@ -178,8 +193,8 @@ def _pack(buckets: int, counted: bool, asked: bool, frequent):
                 bucket = _bucket(uniq, buckets)
                 cuts = [*np.flatnonzero(np.concatenate((np.ones(min(1, len(uniq)), bool), bucket[1:] != bucket[:-1]))).tolist(), len(uniq)]
                 for a, b in itertools.pairwise(cuts):
-                    told = counts[a:b].astype(np.uint32).tobytes() if counted else None
-                    rows.append(key | {"n": n, "bucket": int(bucket[a]), "hashes": uniq[a:b].tobytes(), "counts": told})
+                    told = _planes(counts[a:b].astype(np.uint32)) if counted else None
+                    rows.append(key | {"n": n, "bucket": int(bucket[a]), "hashes": _steps(uniq[a:b]), "counts": told})
             if asked:
                 raw = [(t or "").encode() for t in texts]
                 sizes = np.array([len(t) for t in raw], np.int64).tobytes()
@@ -197,9 +212,9 @@ def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     at = None
 
     def close() -> Iterator[dict]:
-        hashes = [np.frombuffer(r["hashes"], np.uint64) for r in held]
+        hashes = [np.cumsum(_values(r["hashes"], "u8"), dtype=np.uint64) for r in held]
         _, where = np.unique(np.concatenate(hashes), return_inverse=True)
-        counts = [np.frombuffer(r["counts"], np.uint32) if r["counts"] is not None else np.zeros(len(h)) for r, h in zip(held, hashes, strict=True)]
+        counts = [_values(r["counts"], "u4") if r["counts"] is not None else np.zeros(len(h)) for r, h in zip(held, hashes, strict=True)]
         total = np.bincount(where, weights=np.concatenate(counts)).astype(np.uint64)
         width = 4 if total.max() < 1 << 32 else 8
         total = total.astype(f"u{width}")
@@ -208,7 +223,7 @@ def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             mine = where[done:done + len(h)]
             done += len(h)
             if r["batch"] >= 0:
-                yield {"batch": r["batch"], "n": r["n"], "bucket": r["bucket"], "width": width, "counts": total[mine].tobytes()}
+                yield {"batch": r["batch"], "n": r["n"], "bucket": r["bucket"], "width": width, "counts": _planes(total[mine])}
         held.clear()
 
     out: list[dict] = []
@@ -284,7 +299,7 @@ def _score(words: int, own: bool, alpha: float, frequent):
                 elif now is None or r["batch"] != now["batch"]:
                     raise ValueError("a slice and its counts do not belong together")
                 else:
-                    told[r["n"]].append(np.frombuffer(r["counts"], f"u{r['width']}").astype(np.int64))
+                    told[r["n"]].append(_values(r["counts"], f"u{r['width']}").astype(np.int64))
         if now is not None:
             yield out()
 
