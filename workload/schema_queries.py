@@ -275,3 +275,19 @@ def agent_calls(spark, folder):
 def agent_usage(spark, folder):
     quotas = spark.sql("SELECT * FROM VALUES ('t0','click',1), ('t1','view',2), ('t2','error',0) AS q(model_id, agent_id, per_hour)")
     return report.clock_hour_usage(_calls(spark, folder), quotas).withColumn("hour", F.unix_micros("hour"))
+
+
+@query(
+    "agent_usage_from_first_call",
+    """WITH RECURSIVE q(model_id, agent_id, per_hour) AS (VALUES ('t0', 'click', 1), ('t1', 'view', 2), ('t2', 'error', 0)),
+     c AS (SELECT concat('t', user_id % 3) AS model_id, event_type AS agent_id, epoch_us(ts) AS moment, count(*) AS n FROM events GROUP BY ALL),
+     j AS (SELECT *, min(moment) OVER (PARTITION BY model_id, agent_id ORDER BY moment RANGE BETWEEN 3600000001 FOLLOWING AND UNBOUNDED FOLLOWING) AS further FROM c),
+     w AS (SELECT model_id, agent_id, min(moment) AS s FROM c GROUP BY ALL
+           UNION ALL SELECT w.model_id, w.agent_id, j.further FROM w JOIN j ON j.model_id = w.model_id AND j.agent_id = w.agent_id AND j.moment = w.s WHERE j.further IS NOT NULL),
+     used AS (SELECT c.model_id, c.agent_id, s, CAST(sum(n) AS BIGINT) AS used FROM c ASOF JOIN w ON w.model_id = c.model_id AND w.agent_id = c.agent_id AND c.moment >= w.s GROUP BY ALL)
+     SELECT u.model_id, u.agent_id, s AS opened_at, used, coalesce(per_hour, 0) AS allowed, used > coalesce(per_hour, 0) AS exceeded
+     FROM used u LEFT JOIN q ON q.model_id = u.model_id AND q.agent_id = u.agent_id""",
+)
+def agent_usage_from_first_call(spark, folder):
+    quotas = spark.sql("SELECT * FROM VALUES ('t0','click',1), ('t1','view',2), ('t2','error',0) AS q(model_id, agent_id, per_hour)")
+    return report.hourly_usage(_calls(spark, folder), quotas).withColumn("opened_at", F.unix_micros("opened_at"))
