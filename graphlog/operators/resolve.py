@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +17,8 @@ NEIGHBOURS = 5
 BLOCK_BYTES = 8 << 20
 #: Spelling scores below this are not worked out for the review queue.
 REVIEW_FLOOR = 0.6
+#: Most keys of a name that is listed under what deletions leave of it.
+DELETIONS = 1000
 
 
 def exact_matches(candidates: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -126,50 +130,105 @@ def _grams(names: DataFrame, q: int) -> DataFrame:
     return counted.select(*names.columns, "gram", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("nth"))
 
 
-def fuzzy_pairs(candidates: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD, q: int = 2) -> DataFrame:
-    """Name pairs of one tenant and type that are at least ``threshold`` alike.
+def _edits(length: int, threshold: float) -> int:
+    """Most edits between two names of which the longer has this length."""
+    return math.floor((1 - threshold) * length + 1e-9)
 
-    Names are compared once each, however many rows carry them. Two names
-    within d edits lose at most q*d grams, so their q*d+1 rarest grams (one
-    global order) must meet; that is an equi-join, and the distance is only
-    computed for pairs that meet. Names too short for the argument meet on
-    length instead. No similar pair is missed. The lower the threshold, the
-    longer the prefixes and the more pairs meet: below about 0.6 every name
-    meets on length alone.
-    """
-    key = ["model_id", "type", "name"]
-    sides = candidates.select(*key, F.lit(True).alias("left"), F.lit(False).alias("right")).unionByName(
-        nodes.select(*key, F.lit(False).alias("left"), F.lit(True).alias("right"))
-    )
-    named = sides.filter(F.length("name") > 0).groupBy(*key).agg(F.bool_or("left").alias("left"), F.bool_or("right").alias("right"))
-    names = materialise(named.withColumn("len", F.length("name")))
 
-    grams = _grams(names, q)
+def _too_short(threshold: float, q: int) -> float:
+    """The greatest length of a name that may have a partner without enough grams, if there is one."""
+    # n letters are too few if n - q + 1 <= q * reach, with reach at most (1 - threshold) / threshold * n
+    slope = q + 1 - q / threshold
+    return math.floor((q - 1) / slope / threshold + 1e-6) if slope > 1e-9 else math.inf
+
+
+def _deletable(threshold: float, q: int) -> int:
+    """The greatest length of names that are found by what deletions leave: where grams do, or keys get too many, it ends."""
+    length, most = 0, _too_short(threshold, q)
+    while length < most and sum(math.comb(length + 1, k) for k in range(_edits(length + 1, threshold) + 1)) <= DELETIONS:
+        length += 1
+    return length
+
+
+def _deletions(names: DataFrame, threshold: float) -> DataFrame:
+    """Each name with what is left of it after the edits allowed at most, once each; nth 0 tells them from grams."""
+
+    def shorter(text: Column) -> Column:
+        spots = F.sequence(F.lit(1), F.length(text))
+        return F.transform(spots, lambda i: F.concat(F.substr(text, F.lit(1), i - 1), F.substr(text, i + 1)))
+
+    def step(state: Column, _: Column) -> Column:
+        last = F.array_distinct(F.flatten(F.transform(state["last"], shorter)))
+        return F.struct(F.concat(state["every"], last).alias("every"), last.alias("last"))
+
+    own = F.array("name")
+    times = F.array_repeat(F.lit(1), F.floor((1 - threshold) * F.col("len") + 1e-9).cast("int"))
+    left = F.aggregate(times, F.struct(own.alias("every"), own.alias("last")), step, lambda state: state["every"])
+    return names.select("*", F.explode(left).alias("gram"), F.lit(0).alias("nth"))
+
+
+def _keys(names: DataFrame, threshold: float, q: int) -> DataFrame:
+    """Names with the keys (gram, nth) on which they meet; see ``fuzzy_pairs``."""
+    limit = _deletable(threshold, q)
+    high = F.floor(F.col("len") / threshold + 1e-9).cast("int")
+    # only names that may have a partner, or be one, beyond the limit
+    longer = names.filter(high > limit)
+
+    grams = _grams(longer, q)
     common = grams.groupBy("model_id", "type", "gram", "nth").agg(F.count(F.lit(1)).alias("_often"))
     ordered = grams.join(common, ["model_id", "type", "gram", "nth"]).groupBy(*names.columns).agg(
         F.sort_array(F.collect_list(F.struct("_often", "gram", "nth"))).alias("_all")
     )
     prefix = F.slice("_all", F.lit(1), _reach(F.col("len"), threshold) * q + 1)
     rare = ordered.select(*names.columns, F.explode(prefix).alias("g")).select(*names.columns, "g.gram", F.col("g.nth").alias("nth"))
+    keys = rare.unionByName(_deletions(names.filter(F.col("len") <= limit), threshold))
 
+    if _too_short(threshold, q) <= limit:
+        return keys
     low = F.ceil(F.col("len") * threshold - 1e-9).cast("int")
-    high = F.floor(F.col("len") / threshold + 1e-9).cast("int")
 
     def short(length: Column) -> Column:
         return length - q + 1 <= _reach(length, threshold) * q
 
     lengths = F.sequence(F.greatest(low, F.lit(1)), high)
-    falls_back = names.filter(short(F.col("len")) | F.exists(lengths, short))
+    falls_back = longer.filter(short(F.col("len")) | F.exists(lengths, short))
     no, mark = F.lit(False), F.lit("").alias("gram")
-    probes = falls_back.filter("left").select(*key, "left", no.alias("right"), "len", mark, F.explode(lengths).alias("nth"))
-    bins = falls_back.filter("right").select(*key, no.alias("left"), "right", "len", mark, F.col("len").alias("nth"))
-    meeting = materialise(rare.unionByName(probes).unionByName(bins))
+    probes = falls_back.filter("left").select(*names.columns[:3], "left", no.alias("right"), "len", mark, F.explode(lengths).alias("nth"))
+    bins = falls_back.filter("right").select(*names.columns[:3], no.alias("left"), "right", "len", mark, F.col("len").alias("nth"))
+    return keys.unionByName(probes).unionByName(bins)
+
+
+def fuzzy_pairs(candidates: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD, q: int = 2) -> DataFrame:
+    """Name pairs of one tenant and type that are at least ``threshold`` alike.
+
+    Names are compared once each, however many rows carry them. Pairs meet in
+    an equi-join, and the distance is only computed for those that meet; no
+    similar pair is missed. Which keys they meet on depends on the longer one:
+
+    * Where names can have too few grams (up to 10 letters at 0.7, 1 at 0.85),
+      and with ``DELETIONS`` keys a name at most: two names within d edits leave
+      the same letters when d are taken from the longer one, so each name is
+      listed under all that deletions leave of it.
+    * Beyond, two names within d edits lose at most q*d grams, so their q*d+1
+      rarest grams (one global order) must meet.
+    * Below a threshold of about 0.69 some names have too few grams and too many
+      deletions; they meet on length.
+    """
+    key = ["model_id", "type", "name"]
+    sides = candidates.select(*key, F.lit(True).alias("left"), F.lit(False).alias("right")).unionByName(
+        nodes.select(*key, F.lit(False).alias("left"), F.lit(True).alias("right"))
+    )
+    named = sides.filter(F.length("name") > 0).groupBy(*key).agg(F.bool_or("left").alias("left"), F.bool_or("right").alias("right"))
+    names = materialise(named.withColumn("len", F.length("name")))
+    meeting = materialise(_keys(names, threshold, q))
 
     a = meeting.filter("left").select("model_id", "type", "gram", "nth", F.col("name").alias("left_name"), F.col("len").alias("_la"))
     b = meeting.filter("right").select("model_id", "type", "gram", "nth", F.col("name").alias("right_name"), F.col("len").alias("_lb"))
     longest = F.greatest("_la", "_lb")
     edits = F.floor((1 - threshold) * longest + 1e-9).cast("int")
-    met = a.join(b, ["model_id", "type", "gram", "nth"]).filter(F.abs(F.col("_la") - F.col("_lb")) <= edits)
+    # a short pair has one length of what deletions leave, a longer one no such keys
+    own = F.when(longest <= _deletable(threshold, q), (F.col("nth") == 0) & (F.length("gram") == longest - edits)).otherwise(F.col("nth") > 0)
+    met = a.join(b, ["model_id", "type", "gram", "nth"]).filter((F.abs(F.col("_la") - F.col("_lb")) <= edits) & own)
     # the distance is cut off at the edits allowed; few rows are left to make
     # distinct, and pairs that met on several grams are never shuffled
     apart = F.call_function("levenshtein", F.col("left_name"), F.col("right_name"), edits)

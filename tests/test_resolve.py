@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -62,6 +63,32 @@ def test_blocking_misses_no_pair(spark, threshold):
         assert best.get(cid) == ((min(options)[1], -min(options)[0]) if options else None)
 
 
+@pytest.mark.parametrize("threshold", [0.6, 0.67, 0.7, 0.85, 1.0])
+def test_all_short_words_meet_their_like(spark, threshold):
+    words = ["".join(w) for n in range(1, 6) for w in itertools.product("abé"[: 3 if n < 4 else 2], repeat=n)] + ["ab" * 7, "ab" * 6 + "x", "b" + "ab" * 6, "xyz" * 5]
+    rows = spark.createDataFrame([("t", f"n{i}", "p", w) for i, w in enumerate(words)], NODES)
+    asked = spark.createDataFrame([(f"c{i}", "t", "p", w) for i, w in enumerate(words)], CANDS)
+    want = {(a, b) for a in words for b in words if score(a, b) >= threshold - 1e-12}
+    got = [(r.left_name, r.right_name) for r in resolve.fuzzy_pairs(asked, rows, threshold).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_what_deletions_leave(spark):
+    names = spark.createDataFrame([("t", "p", "abca", True, True, 4), ("t", "p", "é", True, False, 1)], "model_id string, type string, name string, left boolean, right boolean, len int")
+    got = sorted((r.name, r.gram, r.nth) for r in resolve._deletions(names, 0.5).collect())
+    assert got == sorted([("abca", x, 0) for x in ("abca", "bca", "aca", "aba", "abc", "ca", "ba", "bc", "aa", "ac", "ab")] + [("é", "é", 0)])
+
+
+@pytest.mark.parametrize("threshold,by_length", [(0.6, True), (0.7, False), (0.85, False), (1.0, False)])
+def test_names_meet_on_length_below_the_usual_threshold_only(spark, threshold, by_length):
+    words = ["a" * n for n in range(1, 40)]
+    names = spark.createDataFrame([("t", "p", w, True, True, len(w)) for w in words], "model_id string, type string, name string, left boolean, right boolean, len int")
+    keys = resolve._keys(names, threshold, 2)
+    assert bool(keys.filter("gram = ''").count()) == by_length
+    most = keys.filter("nth = 0").groupBy("name").count().agg(F.max("count")).first()[0]
+    assert most <= resolve.DELETIONS
+
+
 @pytest.mark.parametrize("block", [1, 500, 1 << 20])
 def test_nearest_equals_brute_force(spark, block):
     rng = np.random.default_rng(3)
