@@ -19,6 +19,8 @@ BLOCK_BYTES = 8 << 20
 REVIEW_FLOOR = 0.6
 #: Most keys of a name that is listed under what deletions leave of it.
 DELETIONS = 1000
+#: Classes of letters whose counts tell names apart; all others are one more.
+LETTERS = ["0123456789", " ", "aA", "eE", "iIjJyY", "oO", "uUvVwW", "nN", "rR", "sSzZ", "tT", "lL", "cCkKqQxX", "dDhH", "bBpPfF", "gGmM"]
 
 
 def exact_matches(candidates: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -167,6 +169,42 @@ def _deletions(names: DataFrame, threshold: float) -> DataFrame:
     return names.select("*", F.explode(left).alias("gram"), F.lit(0).alias("nth"))
 
 
+def _lengths(threshold: float) -> Column:
+    """All lengths that a partner of a name of length ``len`` may have."""
+    low = F.ceil(F.col("len") * threshold - 1e-9).cast("int")
+    return F.sequence(F.greatest(low, F.lit(1)), F.floor(F.col("len") / threshold + 1e-9).cast("int"))
+
+
+def _counts(prefix: str) -> list[Column]:
+    """How many letters of each class but the last a name has."""
+    return [(F.col("len") - F.length(F.translate("name", c, ""))).alias(f"{prefix}{i}") for i, c in enumerate(LETTERS)]
+
+
+def _by_letters(meeting: DataFrame, threshold: float) -> DataFrame:
+    """(model_id, type, left_name, _la, right_name, _lb): names that meet on length and whose letters allow it.
+
+    An edit changes the count of one class of letters each way, so the counts
+    bound the edits from below. Names of equal counts are one shape, and it is
+    shapes that are compared with shapes.
+    """
+    key, n = ["model_id", "type"], range(len(LETTERS))
+    listed = meeting.filter("gram = '' AND nth > 0")
+    a = materialise(listed.filter("left AND nth = len").select(*key, F.col("name").alias("left_name"), "len", *_counts("_a")))
+    b = materialise(listed.filter("right").select(*key, F.col("name").alias("right_name"), F.col("len").alias("_lb"), *_counts("_b")))
+    in_a, in_b = [f"_a{i}" for i in n], [f"_b{i}" for i in n]
+    asked = a.select(*key, F.col("len").alias("_la"), *in_a, F.explode(_lengths(threshold)).alias("_lb")).distinct()
+    rest = [F.col("_la") - sum((F.col(c) for c in in_a), F.lit(0)), F.col("_lb") - sum((F.col(c) for c in in_b), F.lit(0))]
+    apart = sum((F.abs(F.col(x) - F.col(y)) for x, y in zip(in_a, in_b)), F.abs(rest[0] - rest[1]) + F.abs(F.col("_la") - F.col("_lb")))
+    edits = F.floor((1 - threshold) * F.greatest("_la", "_lb") + 1e-9)
+    shapes = asked.join(b.select(*key, "_lb", *in_b).distinct(), [*key, "_lb"]).filter(apart <= 2 * edits)
+    # two shapes of one hash only bring more pairs to the test of the distance
+    near = shapes.select(*key, "_la", "_lb", F.xxhash64(*in_a).alias("_l"), F.xxhash64(*in_b).alias("_r"))
+    left = a.select(*key, "left_name", F.col("len").alias("_la"), F.xxhash64(*in_a).alias("_l"))
+    right = b.select(*key, "right_name", "_lb", F.xxhash64(*in_b).alias("_r"))
+    met = near.join(left, [*key, "_la", "_l"]).join(right, [*key, "_lb", "_r"])
+    return met.select(*key, "left_name", "_la", "right_name", "_lb")
+
+
 def _keys(names: DataFrame, threshold: float, q: int) -> DataFrame:
     """Names with the keys (gram, nth) on which they meet; see ``fuzzy_pairs``."""
     limit = _deletable(threshold, q)
@@ -174,7 +212,11 @@ def _keys(names: DataFrame, threshold: float, q: int) -> DataFrame:
     # only names that may have a partner, or be one, beyond the limit
     longer = names.filter(high > limit)
 
-    grams = _grams(longer, q)
+    def short(length: Column) -> Column:
+        return length - q + 1 <= _reach(length, threshold) * q
+
+    # a name with too few grams meets all its partners on length
+    grams = _grams(longer.filter(~short(F.col("len"))), q)
     common = grams.groupBy("model_id", "type", "gram", "nth").agg(F.count(F.lit(1)).alias("_often"))
     ordered = grams.join(common, ["model_id", "type", "gram", "nth"]).groupBy(*names.columns).agg(
         F.sort_array(F.collect_list(F.struct("_often", "gram", "nth"))).alias("_all")
@@ -185,12 +227,7 @@ def _keys(names: DataFrame, threshold: float, q: int) -> DataFrame:
 
     if _too_short(threshold, q) <= limit:
         return keys
-    low = F.ceil(F.col("len") * threshold - 1e-9).cast("int")
-
-    def short(length: Column) -> Column:
-        return length - q + 1 <= _reach(length, threshold) * q
-
-    lengths = F.sequence(F.greatest(low, F.lit(1)), high)
+    lengths = _lengths(threshold)
     falls_back = longer.filter(short(F.col("len")) | F.exists(lengths, short))
     no, mark = F.lit(False), F.lit("").alias("gram")
     probes = falls_back.filter("left").select(*names.columns[:3], "left", no.alias("right"), "len", mark, F.explode(lengths).alias("nth"))
@@ -212,7 +249,7 @@ def fuzzy_pairs(candidates: DataFrame, nodes: DataFrame, threshold: float = THRE
     * Beyond, two names within d edits lose at most q*d grams, so their q*d+1
       rarest grams (one global order) must meet.
     * Below a threshold of about 0.69 some names have too few grams and too many
-      deletions; they meet on length.
+      deletions; they meet on length, if the counts of their letters allow it.
     """
     key = ["model_id", "type", "name"]
     sides = candidates.select(*key, F.lit(True).alias("left"), F.lit(False).alias("right")).unionByName(
@@ -222,13 +259,18 @@ def fuzzy_pairs(candidates: DataFrame, nodes: DataFrame, threshold: float = THRE
     names = materialise(named.withColumn("len", F.length("name")))
     meeting = materialise(_keys(names, threshold, q))
 
-    a = meeting.filter("left").select("model_id", "type", "gram", "nth", F.col("name").alias("left_name"), F.col("len").alias("_la"))
-    b = meeting.filter("right").select("model_id", "type", "gram", "nth", F.col("name").alias("right_name"), F.col("len").alias("_lb"))
+    listed = meeting.filter("gram <> '' OR nth = 0")
+    a = listed.filter("left").select("model_id", "type", "gram", "nth", F.col("name").alias("left_name"), F.col("len").alias("_la"))
+    b = listed.filter("right").select("model_id", "type", "gram", "nth", F.col("name").alias("right_name"), F.col("len").alias("_lb"))
     longest = F.greatest("_la", "_lb")
     edits = F.floor((1 - threshold) * longest + 1e-9).cast("int")
     # a short pair has one length of what deletions leave, a longer one no such keys
-    own = F.when(longest <= _deletable(threshold, q), (F.col("nth") == 0) & (F.length("gram") == longest - edits)).otherwise(F.col("nth") > 0)
+    limit = _deletable(threshold, q)
+    own = F.when(longest <= limit, (F.col("nth") == 0) & (F.length("gram") == longest - edits)).otherwise(F.col("nth") > 0)
     met = a.join(b, ["model_id", "type", "gram", "nth"]).filter((F.abs(F.col("_la") - F.col("_lb")) <= edits) & own)
+    met = met.select("model_id", "type", "left_name", "_la", "right_name", "_lb")
+    if _too_short(threshold, q) > limit:
+        met = met.unionByName(_by_letters(meeting, threshold).filter(longest > limit))
     # the distance is cut off at the edits allowed; few rows are left to make
     # distinct, and pairs that met on several grams are never shuffled
     apart = F.call_function("levenshtein", F.col("left_name"), F.col("right_name"), edits)

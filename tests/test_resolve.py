@@ -89,6 +89,16 @@ def test_names_meet_on_length_below_the_usual_threshold_only(spark, threshold, b
     assert most <= resolve.DELETIONS
 
 
+def test_strangers_of_one_length_are_not_compared(spark):
+    rows = [("t", f"n{i}", "p", f"large ring Brand#{i}") for i in range(200)]
+    strangers = [("c%d" % i, "t", "p", f"0123456789 stranger {i:05}") for i in range(200)] + [("c", "t", "p", "large rings Brad#7")]
+    names = spark.createDataFrame(rows, NODES).selectExpr("model_id", "type", "name", "false AS left", "true AS right", "length(name) AS len").unionByName(
+        spark.createDataFrame(strangers, CANDS).selectExpr("model_id", "type", "name", "true AS left", "false AS right", "length(name) AS len"))
+    keys = resolve._keys(names, 0.6, 2)
+    assert keys.filter("len > 12 AND gram <> '' AND nth > 0").count() == 0
+    assert {r.left_name for r in resolve._by_letters(keys, 0.6).collect()} == {"large rings Brad#7"}
+
+
 @pytest.mark.parametrize("block", [1, 500, 1 << 20])
 def test_nearest_equals_brute_force(spark, block):
     rng = np.random.default_rng(3)
