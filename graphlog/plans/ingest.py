@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from graphlog.operators import resolve, review
 from graphlog.sources import documents, rows
+from graphlog.storage import materialise
 
 
 @dataclass(frozen=True)
@@ -47,6 +48,7 @@ def ingest_extractions(responses: DataFrame, nodes: DataFrame, threshold: float,
     candidates = found.withColumn("change_id", change).withColumn(
         "candidate_id", F.concat_ws("|", "source_document_id", "source_chunk_range", "change_id")
     ).withColumn("source_system", F.concat(F.lit("unstructured-text:"), F.col("connector_id")))
+    candidates = materialise(candidates)  # parsed once; every tier and both results read them
     resolved = resolve.resolve(candidates, nodes, threshold=threshold)
     mutations = rows.to_mutations(review.merge_matches(candidates, resolved))
     return mutations, review.enqueue(candidates, resolved, created_at), bad
