@@ -15,6 +15,8 @@ THRESHOLD = 0.7
 NEIGHBOURS = 5
 #: Vectors of one block; a task holds a block of each side.
 BLOCK_BYTES = 8 << 20
+#: Scores a task holds at once.
+STRIP_BYTES = 32 << 20
 #: Spelling scores below this are not worked out for the review queue.
 REVIEW_FLOOR = 0.6
 #: Most keys of a name that is listed under what deletions leave of it.
@@ -61,18 +63,22 @@ def _rows(table: pa.Table, column: str, width: int) -> np.ndarray:
     return _unit(flat.astype(np.float64).reshape(table.num_rows, width))
 
 
-def _score(k: int):
+def _score(k: int, strip_bytes: int = STRIP_BYTES):
     def score(key: tuple, vectors: pa.Table, queries: pa.Table) -> pa.Table:
         found: dict[str, list] = {"query_id": [], "node": [], "score": []}
         if vectors.num_rows and queries.num_rows:
             width = key[1].as_py()
             names = np.array(vectors.column("node").to_pylist(), dtype=str)
-            scores = _rows(queries, "q", width) @ _rows(vectors, "vector", width).T
-            for query, own in zip(queries.column("query_id").to_pylist(), scores, strict=True):
-                top = _best(names, own, k)
-                found["query_id"] += [query] * len(top)
-                found["node"] += names[top].tolist()
-                found["score"] += own[top].tolist()
+            known, asked = _rows(vectors, "vector", width).T, _rows(queries, "q", width)
+            ids = queries.column("query_id").to_pylist()
+            # a few queries at a time: two full blocks would make gigabytes of scores
+            strip = max(1, strip_bytes // (8 * len(names)))
+            for at in range(0, len(ids), strip):
+                for query, own in zip(ids[at:at + strip], asked[at:at + strip] @ known, strict=True):
+                    top = _best(names, own, k)
+                    found["query_id"] += [query] * len(top)
+                    found["node"] += names[top].tolist()
+                    found["score"] += own[top].tolist()
         columns = [[key[0].as_py()] * len(found["node"]), *found.values()]
         kinds = [pa.string()] * 3 + [pa.float64()]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["model_id", *found])

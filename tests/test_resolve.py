@@ -112,6 +112,27 @@ def test_nearest_equals_brute_force(spark, block):
         assert [(r.node, round(r.score, 9)) for r in got if r.query_id == qid] == [(n, round(-s, 9)) for s, n in cos[:4]]
 
 
+def test_scores_are_made_a_strip_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    rows = rng.normal(size=(4000, 8))
+    table = {name: pa.table({ids: [f"n{i:04}" for i in range(4000)], name: pa.array(rows.tolist(), pa.list_(pa.float64()))})
+             for ids, name in (("node", "vector"), ("query_id", "q"))}
+    key = (pa.scalar("t"), pa.scalar(8))
+    tracemalloc.start()
+    got = resolve._score(3, 1 << 20)(key, table["vector"], table["q"])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 << 20  # all scores at once are 128 MB
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    want = np.argsort(-(unit @ unit.T), axis=1, kind="stable")[:, :3]
+    assert got.column("query_id").to_pylist() == [f"n{i:04}" for i in range(4000) for _ in range(3)]
+    assert got.column("node").to_pylist() == [f"n{j:04}" for row in want.tolist() for j in row]
+
+
 def test_tiers(spark):
     nodes = spark.createDataFrame(
         [("t0", "n1", "person", "Jon Smith"), ("t0", "n2", "person", "Ada"), ("t0", "n3", "tool", "Axe"), ("t1", "n4", "person", "Zed Zedson")], NODES
