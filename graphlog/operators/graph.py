@@ -90,8 +90,9 @@ class Spot:
 def match(nodes: DataFrame, edges: DataFrame, pattern: list[Spot | Hop]) -> DataFrame:
     """Fixed-length typed paths: columns ``n0``, ``n1``, ... per node spot.
 
-    Each spot is filtered before its join, and no edge is used twice in one
-    path. Catalyst orders and picks the joins.
+    Each spot is filtered before its join, and an edge's far end meets its
+    spot before the edge meets the paths, so that a node of many neighbours of
+    other types does not multiply them. No edge is used twice in one path.
     """
     def spot(s: Spot, i: int) -> DataFrame:
         rows = nodes
@@ -110,10 +111,10 @@ def match(nodes: DataFrame, edges: DataFrame, pattern: list[Spot | Hop]) -> Data
 
     paths = spot(pattern[0], 0)
     for i, (h, s) in enumerate(zip(pattern[1::2], pattern[2::2])):
-        paths = paths.join(hop(h, i), ["model_id", f"n{i}"])
+        far = hop(h, i).join(spot(s, i + 1), ["model_id", f"n{i + 1}"])
+        paths = paths.join(far, ["model_id", f"n{i}"])
         for earlier in range(i):
             paths = paths.filter(F.col(f"e{earlier}") != F.col(f"e{i}"))
-        paths = paths.join(spot(s, i + 1), ["model_id", f"n{i + 1}"])
     return paths.select("model_id", *[f"n{i}" for i in range(len(pattern) // 2 + 1)])
 
 

@@ -123,3 +123,14 @@ def test_reach_counts_distinct_ends(spark):
     root = spark.createDataFrame([("t0", "0")], "model_id string, node string")
     assert {r.node for r in graph.reach(edges, root, 2).collect()} == {"3"}
     assert graph.reach(edges, root, 2).agg(F.count("*")).first()[0] == 1
+
+
+def test_an_edge_meets_its_far_spot_before_the_paths(spark):
+    nodes = spark.createDataFrame([("t0", f"{k}{i}", k) for k in "ab" for i in range(3)] + [("t0", "hub", "h")], "model_id string, node string, type string")
+    edges = spark.createDataFrame([("t0", "R", f"{k}{i}", "hub") for k in "ab" for i in range(3)], EDGES)
+    found = graph.match(nodes, edges, [Spot("a"), Hop("R", "both"), Spot("h"), Hop("R", "both"), Spot("a")])
+    assert {(r.n0, r.n2) for r in found.collect()} == {(f"a{i}", f"a{j}") for i in range(3) for j in range(3) if i != j}
+    plan = found._jdf.queryExecution().analyzed()
+    while plan.nodeName() != "Join":
+        plan = plan.children().head()
+    assert "Join Inner" in plan.children().last().toString()
