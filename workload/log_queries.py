@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from graphlog.functions.literals import canonical_json
 from graphlog.operators import chain, log, runs, state
+from graphlog.storage import materialise
 from workload.fixtures import (
     SQL_EDGES,
     SQL_HISTORY,
@@ -312,7 +313,7 @@ def chain_build(spark, folder):
      FROM again a LEFT JOIN breaks b USING (model_id) GROUP BY a.model_id""",
 )
 def chain_verify(spark, folder):
-    log_rows = events(spark, folder)
+    log_rows = materialise(events(spark, folder))
     hashes = chain.build_chain(log_rows)
     tampered = (F.col("model_id") == "t1") & (F.col("operation") == "TOMBSTONE")
     payload = F.when(tampered, F.create_map(F.lit("k"), F.lit("0"))).otherwise(F.col("payload"))
