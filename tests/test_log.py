@@ -287,3 +287,16 @@ def test_edges_need_ends_in_their_tenant_and_hard_delete_detaches(spark):
     assert (row.src, row.dst, row.label, row.tombstoned, row.props) == ("a", "b", "KNOWS", True, {"since": "2020"})
     left, linked = state.hard_delete(state.fold_nodes(frame(spark, nodes)), folded, spark.createDataFrame([("t0", "b")], "model_id string, node string"))
     assert {(r.model_id, r.node) for r in left.collect()} == {("t0", "a"), ("t1", "a")} and linked.count() == 0
+
+
+def test_queries_that_read_the_log_twice_work_it_out_once(spark, monkeypatch):
+    import __spark_entry__ as entry
+    from workload import stream_queries
+
+    folder = "/root/testdata/sf0.001"
+    files = entry.queries()["chain_verify"](spark, folder).inputFiles()
+    assert files and not [f for f in files if f.endswith("/events.parquet")]
+    seen, stream = [], stream_queries._stream
+    monkeypatch.setattr(stream_queries, "_stream", lambda s, df: seen.extend(df.inputFiles()) or stream(s, df))
+    entry.queries()["stream_outbox"](spark, folder)
+    assert seen and not [f for f in seen if f.endswith("/events.parquet")]

@@ -82,7 +82,7 @@ def stream_rate_alerts(spark, folder):
 )
 def stream_outbox(spark, folder):
     target = scratch_path(spark)
-    log = events(spark, folder)
+    log = materialise(events(spark, folder))
     feeds.drain_outbox(_stream(spark, log.unionByName(log)), target, scratch_path(spark)).awaitTermination()
     return feeds.delivered(spark, target).select("event_id", "aggregateid", "type", "payload")
 
