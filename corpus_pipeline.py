@@ -37,10 +37,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one of smallest id.
 
-    Near copies share 0.8 or more of their shingles of five words, decided by
-    those shingles themselves: 64-bit fingerprints cannot tell such pairs.
+    SimHash links texts at three bits or fewer, as in op9; what it links is near
+    copies if 0.8 or more of the shingles of five words are shared. An exact
+    join adds the pairs of that kind that 64-bit fingerprints miss.
     """
-    return simhash.deduplicate(docs, words=5, similarity=0.8)
+    return simhash.deduplicate(docs, words=5, similarity=0.8, distance=3)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +58,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality_rules", quality_rules),
     ("line_dedup", line_dedup),
-    ("jaccard_near_dedup", near_dedup),
+    ("simhash_near_dedup", near_dedup),
     ("mix_sources", mix_sources),
     ("byte_bpe", encode),
 ]

@@ -396,9 +396,12 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, l
     return placed.mapInArrow(tidy(_probe(limit)), "src long, dst long")
 
 
-def links(made: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, limit: Fraction) -> DataFrame:
+def links(made: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, limit: Fraction, near: DataFrame | None = None) -> DataFrame:
     """(node, component) of the nodes with a link: the components of all pairs that reach ``limit``.
 
+    ``near`` (_t, near) names texts that another method links; each is tested
+    with the smallest of its group before lists are searched.
+
     Lists hold the first 64 bits of a set's digest, so that the lists of equal
     sets need not be sorted out first; an id stands for all nodes that have it.
     """
@@ -419,7 +422,12 @@ def links(made: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, limit:
     first = met.filter("kind = 0").select("a", "b").distinct()
     paired = first.join(sides[0], F.col("a") == F.col("id_a")).join(sides[1], F.col("b") == F.col("id_b"))
     likely = paired.filter(_may_link(limit, (F.col("n_a"), F.col("n_b")), (F.col("sketch_a"), F.col("sketch_b"))))
-    tested = materialise(likely.select(F.least("node_a", "node_b").alias("src"), F.greatest("node_a", "node_b").alias("dst")).distinct())
+    pairs = likely.select(F.least("node_a", "node_b").alias("src"), F.greatest("node_a", "node_b").alias("dst"))
+    if near is not None:
+        told = materialise(nodes.select("node", "_t").join(near.distinct(), "_t").select("node", "near"))
+        lead = told.groupBy("near").agg(F.min("node").alias("src"))
+        pairs = pairs.unionByName(told.join(lead, "near").filter("src < node").select("src", F.col("node").alias("dst")))
+    tested = materialise(pairs.distinct())
     near = materialise(_verified(tested, nodes, docs, words, limit))
     tied = materialise(components(near))
 
@@ -468,7 +476,7 @@ def frequent(docs: DataFrame, words: int, least: int = 64) -> np.ndarray:
     return np.sort(np.array([r.h for r in top.select("h").collect()], np.int64).view(np.uint64))
 
 
-def groups(docs: DataFrame, keep: list[str], text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+def groups(docs: DataFrame, keep: list[str], text: str = "text", words: int = 5, similarity: float = 0.8, near: DataFrame | None = None) -> DataFrame:
     """(*keep, n_shingles, root) per row of ``docs``: rows of one root are connected by links.
 
     Two texts are linked if their sets of shingles (A-Z lowered) share
@@ -476,7 +484,8 @@ def groups(docs: DataFrame, keep: list[str], text: str = "text", words: int = 5,
     shingle. Shingles are compared by 64-bit hashes, sets by 128-bit ones.
     Null, empty and blank texts have no shingles and a null root: what they
     are to each other is the caller's to say. Repeated rows give repeated
-    results; an empty table gives none; other columns are not read.
+    results; an empty table gives none; other columns are not read. ``near``
+    (_t, near) may name groups of texts, by their hash, to be tested first.
     """
     limit = Fraction(str(similarity))
     if not 0 < limit <= 1:
@@ -492,7 +501,7 @@ def groups(docs: DataFrame, keep: list[str], text: str = "text", words: int = 5,
     made = materialise(source.mapInArrow(tidy(_sets(words, limit, often)), schema))
     lead = made.filter("_short IS NOT NULL").groupBy("_digest")
     nodes = materialise(lead.agg(F.min("_row").alias("node"), *[F.first(c).alias(c) for c in ("_id", "_t", "_n", "_sketch")]))
-    tied = links(made, nodes, slim, words, limit)
+    tied = links(made, nodes, slim, words, limit, near)
     roots = nodes.join(tied, "node", "left").select("_digest", F.coalesce("component", "node").alias("root"))
     rows = made.select(*names, "_digest", "_n").join(roots, "_digest", "left")
     return rows.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], F.col("_n").cast("long").alias("n_shingles"), "root")

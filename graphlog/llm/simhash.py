@@ -11,8 +11,8 @@ compared inside a task and only the links of each member to the smallest of
 its component go on, never all pairs; a bucket above ``bucket_rows`` is dealt out as pairs of
 slices, each its own task, so that it is searched whole with bounded memory.
 
-``deduplicate`` does not use fingerprints: near copies are decided by the
-Jaccard similarity itself, in ``jaccard``.
+``deduplicate`` takes what the fingerprints link, checks it exactly, and adds by
+``jaccard`` the near copies that fingerprints of 64 bits miss.
 """
 
 from __future__ import annotations
@@ -245,12 +245,14 @@ def hexed(fingerprint) -> F.Column:
     return F.lpad(F.lower(F.hex(fingerprint)), 16, "0")
 
 
-def deduplicate(docs: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+def deduplicate(docs: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8,
+                distance: int | None = None) -> DataFrame:
     """One row of each group of near copies: that of the smallest id (nulls last), then of the smallest text hash.
 
-    Near copies share ``similarity`` or more of their shingles; groups are the
-    components of all such pairs, found exactly by ``jaccard``: fingerprints
-    of 64 bits cannot tell pairs on either side of such a limit. Null, empty
+    Near copies share ``similarity`` or more of their shingles of ``words``
+    words; groups are the components of all such pairs. With ``distance``, the
+    texts whose fingerprints are linked (as in ``groups``) are checked for that
+    first, and an exact join adds the pairs that 64 bits miss. Null, empty
     and blank texts are one group. Columns stay as they are. The texts meet
     only the keys of the rows that stay; rows that repeat an id and a text are
     set apart by a count, so that few texts are compared for that.
@@ -259,7 +261,11 @@ def deduplicate(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     key = [free_name(docs, n) for n in names]
     value = [col(id_column).isNull(), F.coalesce(col(id_column).cast("string"), F.lit("")), F.xxhash64(col(text))]
     slim = docs.select(*[v.alias(n) for v, n in zip([col(id_column), *value], ["_id", *names], strict=True)], col(text).alias("_said"))
-    labels = jaccard.groups(slim, ["_id", *names], "_said", words, similarity)
+    near = None
+    if distance is not None:
+        texts = slim.select("_said", F.xxhash64(F.col("_said").cast("binary")).alias("_t"))
+        near = groups(texts, "_t", "_said", distance=distance).select("_t", F.col("root").alias("near"))
+    labels = jaccard.groups(slim, ["_id", *names], "_said", words, similarity, near)
     each = labels.groupBy(F.coalesce("root", F.lit(-1)).alias("root"), "_id", *names).agg(F.count(F.lit(1)).alias("_times"))
     order = F.struct("_nid", "_id", "_txt", "_sid", "_times")
     first = each.groupBy("root").agg(F.min(order).alias("_m"))

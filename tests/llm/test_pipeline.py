@@ -9,7 +9,7 @@ import tiktoken
 from test_lines import plain as cut_lines
 from test_simhash import exact_groups
 
-from graphlog.llm import bpe, mix, rules
+from graphlog.llm import bpe, jaccard, mix, rules
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -62,3 +62,15 @@ def test_stages_take_any_rows_and_return_the_columns(spark, tmp_path):
             assert docs.columns == COLUMNS
             docs = spark.createDataFrame(docs.collect(), odd.SCHEMA)
         assert corpus_pipeline.encode(spark, docs, str(tmp_path)).count() == docs.count()
+
+
+def test_near_copies_come_through_fingerprints(spark, tmp_path, monkeypatch):
+    rnd = random.Random(4)
+    long = [f"w{rnd.randrange(5000)}" for _ in range(2000)]
+    texts = [" ".join(long), " ".join([*long, "end"]), " ".join(long[:900]), " ".join(long[::-1])]
+    rows = [(i, t, "en", "a", len(t)) for i, t in enumerate(texts)]
+    told, groups = [], jaccard.groups
+    monkeypatch.setattr(jaccard, "groups", lambda *a: told.extend(a[-1].collect()) or groups(*a))
+    kept = corpus_pipeline.near_dedup(spark, odd.frame(spark, rows), str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in kept) == [0, 2, 3]
+    assert len(told) == 4 and max(Counter(r.near for r in told).values()) == 2  # 0 and 1 are linked
