@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from graphlog.functions.literals import quote
 from graphlog.functions.text import joined_hash
+from graphlog.storage import file_system
 
 # Largest file read, and characters a chunk repeats.
 MAX_BYTES = 1 << 20
@@ -25,6 +26,43 @@ def _glob_pattern(glob: str) -> str:
     return f"^{out}$"
 
 
+def write_folder(texts: DataFrame, folder: str, by: str) -> None:
+    """Each row's ``text`` as a file of its own, a line feed at its end, below the folder ``by=value``.
+
+    Hadoop's local file system starts a process for each file, and one for its
+    checksum file, to set their modes; there the tasks write the files
+    themselves. Elsewhere Spark's writer does. A task that runs again writes
+    the same names, each put in place when it is whole.
+    """
+    files, where = file_system(texts.sparkSession, folder)
+    if files.getUri().getScheme() != "file":
+        texts.select(by, "text").write.partitionBy(by).text(folder)
+        return
+    top = where.toUri().getPath()
+
+    def write(batches):
+        import os
+        from collections import Counter
+        from urllib.parse import quote as escaped
+
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        task, met = TaskContext.get(), Counter()
+        for batch in batches:
+            for value, text in zip(*(column.to_pylist() for column in batch.columns)):
+                below = f"{top}/{by}={'__HIVE_DEFAULT_PARTITION__' if value is None else escaped(value, safe=' ')}"
+                name = f"part-{task.partitionId():05}-{met[value]}.txt"
+                met[value] += 1
+                os.makedirs(below, exist_ok=True)
+                with open(f"{below}/_{name}-{task.taskAttemptId()}", "wb") as out:
+                    out.write((text or b"") + b"\n")
+                os.replace(out.name, f"{below}/{name}")
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    texts.select(F.col(by).cast("string"), F.col("text").cast("binary")).mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
+
 def scan_folder(spark: SparkSession, folder: str, glob: str = "**/*.md", max_bytes: int = MAX_BYTES) -> tuple[DataFrame, DataFrame]:
     """(documents, dead letters) of the matching files below ``folder``.
 

@@ -214,3 +214,13 @@ def test_published_versions_switch_when_complete(spark):
 
     Path(f"{root}/version=3").mkdir()
     assert sinks.read_published(spark, root).count() == 5 and sinks.publish(spark.range(7), root) == 4
+
+
+def test_a_written_folder_has_one_file_for_each_row_and_nothing_else(spark, tmp_path):
+    rows = [("1", "a"), ("1", "b"), ("2", "é\nf"), ("x/y", ""), (None, None)]
+    documents.write_folder(spark.createDataFrame(rows, "doc_id string, text string").coalesce(1), str(tmp_path / "out"), "doc_id")
+    files = [p for p in (tmp_path / "out").rglob("*") if p.is_file()]
+    assert len(files) == 5 and {p.suffix for p in files} == {".txt"}  # no checksum files
+    found, _ = documents.scan_folder(spark, str(tmp_path / "out"), "**/*.txt", 100)
+    got = sorted((r.path.split("/")[0], r.text) for r in found.collect())
+    assert got == [("doc_id=1", "a\n"), ("doc_id=1", "b\n"), ("doc_id=2", "é\nf\n"), ("doc_id=__HIVE_DEFAULT_PARTITION__", "\n"), ("doc_id=x%2Fy", "\n")]

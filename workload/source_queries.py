@@ -222,7 +222,7 @@ def text_folder_scan(spark, folder):
 
 def _text_folder(spark, folder):
     path = scratch_path(spark)
-    table(spark, folder, "documents").select("doc_id", "text").write.partitionBy("doc_id").text(path)
+    documents.write_folder(table(spark, folder, "documents"), path, "doc_id")
     return path
 
 
