@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphlog.storage import materialise
+from graphlog.storage import distinct_rows, materialise
 
 MAX_HOPS = 10
 
@@ -41,12 +41,12 @@ def reach(edges: DataFrame, roots: DataFrame, hops: int, direction: str = "out",
     """(model_id, root, node) reached by walks of exactly ``hops`` steps.
 
     Ends are made distinct at each hop, so the frontier never holds one row
-    per walk. ``step`` may give the steps as ``stored_steps`` keeps them.
+    per walk; each hop is written, so its rows are dealt by their number. ``step`` may give the steps as ``stored_steps`` keeps them.
     """
     step = steps(edges, direction) if step is None else step
     front = roots.select("model_id", F.col("node").alias("root"), F.col("node").alias("a")).distinct()
     for _ in range(hops):
-        front = front.join(step, ["model_id", "a"]).select("model_id", "root", F.col("b").alias("a")).distinct()
+        front = distinct_rows(front.join(step, ["model_id", "a"]).select("model_id", "root", F.col("b").alias("a")))
     return front.select("model_id", "root", F.col("a").alias("node"))
 
 
@@ -60,14 +60,14 @@ def neighbourhood(edges: DataFrame, roots: DataFrame, depth: int = 1, most: int
     if not 0 <= depth <= most:
         raise ValueError(f"{depth} is not within 0..{most}")
     if step is None:
-        step = materialise(steps(edges).distinct()) if depth > 1 else steps(edges)
+        step = materialise(distinct_rows(steps(edges))) if depth > 1 else steps(edges)
     front = roots.select("model_id", F.col("node").alias("root"), F.col("node").alias("a")).distinct()
     seen = front
     for hop in range(depth):
-        front = front.join(step, ["model_id", "a"]).select("model_id", "root", F.col("b").alias("a")).distinct()
-        front = materialise(front) if hop + 1 < depth else front
+        front = front.join(step, ["model_id", "a"]).select("model_id", "root", F.col("b").alias("a"))
+        front = materialise(distinct_rows(front)) if hop + 1 < depth else front
         seen = seen.unionByName(front)
-    found = seen.filter(F.col("a") != F.col("root")).distinct()
+    found = distinct_rows(seen.filter(F.col("a") != F.col("root")))
     return found.select("model_id", "root", F.col("a").alias("node"))
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from graphlog.operators.read import bounded, cut, matching
-from graphlog.storage import file_system, scratch_path
+from graphlog.storage import file_system, materialise, scratch_path
 
 ROWS_PER_FILE = 1_000_000
 ROWS_PER_BUCKET = 4_000_000
@@ -109,6 +109,7 @@ def stored_steps(step: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> Dat
     lives in the session's catalog and the application's scratch folder.
     """
     spark = step.sparkSession
+    step = materialise(step)  # counted and placed, but worked out once
     count = step.count()
     few = min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // 50_000))
     buckets = min(max(1, few, -(-count // rows_per_bucket)), MOST_BUCKETS)

@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROWS_PER_TASK = 500_000
+
 
 def session(app: str, cores: int | str = "*", partitions: int = 8) -> SparkSession:
     """A local session for tests and the benchmark; clusters bring their own."""
@@ -80,3 +82,18 @@ def materialise(df: DataFrame, *partition_by: str) -> DataFrame:
     writer.parquet(path)
     schema = df.schema
     return spark.read.schema(schema).parquet(path).select(*[f.name for f in schema])
+
+
+def distinct_rows(df: DataFrame, count: int | None = None, rows: int = ROWS_PER_TASK) -> DataFrame:
+    """``df.distinct()``, by tasks of about ``rows`` rows at any size.
+
+    A plain ``distinct`` first holds what a whole split or join task brings,
+    repeated or not. Here rows are counted, from what is written of them
+    unless the caller knows their ``count``, dealt by all columns, and only
+    then made distinct.
+    """
+    if count is None:
+        df = materialise(df)
+        count = df.count()
+    few = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-count // 50_000))
+    return df.repartition(max(1, few, -(-count // rows)), *df.columns).distinct()

@@ -134,3 +134,17 @@ def test_an_edge_meets_its_far_spot_before_the_paths(spark):
     while plan.nodeName() != "Join":
         plan = plan.children().head()
     assert "Join Inner" in plan.children().last().toString()
+
+
+def test_distinct_rows_are_dealt_by_their_number(spark):
+    """Neither what comes in nor the session's partitions decide how many rows a task makes distinct."""
+    from graphlog.storage import distinct_rows
+
+    rows = spark.range(0, 6000, 1, 1).select((F.col("id") % 3000).alias("a"), F.when(F.col("id") % 3 > 0, F.lit("x")).alias("b"))
+    for made in (distinct_rows(rows, rows=100), distinct_rows(rows, 6000, rows=100)):
+        assert made.rdd.getNumPartitions() == 60
+        assert max(made.groupBy(F.spark_partition_id()).count().toPandas()["count"]) <= 150
+        assert sorted(made.collect(), key=str) == sorted(rows.distinct().collect(), key=str)
+    hop = graph.reach(spark.createDataFrame(random_edges(3), EDGES), spark.createDataFrame([("t0", "n00")], "model_id string, node string"), 1)
+    plan = hop._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and "Join" not in plan  # dealt from what was written

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from graphlog.functions.literals import quote
 from graphlog.operators.log import event_type, histories
+from graphlog.storage import distinct_rows
 
 STATE_KEYS = ["value", "k"]
 
@@ -180,7 +181,7 @@ def edges(spark: SparkSession, folder: str, only: list[str] | None = None) -> Da
         ),
         "IN_REGION": lambda: one(t("nation"), "IN_REGION", "nation", "n_nationkey", "region", "n_regionkey"),
         "SUPPLIED_BY": lambda: one(
-            t("lineitem").select("l_partkey", "l_suppkey").distinct(), "SUPPLIED_BY", "part", "l_partkey", "supplier", "l_suppkey"
+            distinct_rows(t("lineitem").select("l_partkey", "l_suppkey"), t("lineitem").count()), "SUPPLIED_BY", "part", "l_partkey", "supplier", "l_suppkey"
         ),
     }
     out = None

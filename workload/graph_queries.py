@@ -8,6 +8,7 @@ from graphlog.functions.literals import unquote
 from graphlog.operators import graph, read
 from graphlog.operators.graph import Hop, Spot
 from graphlog.sources import layout
+from graphlog.storage import distinct_rows
 from workload.fixtures import SQL_EDGES, SQL_NODES, edges, mutations, nodes, table
 from workload.registry import SQL, query
 
@@ -271,7 +272,7 @@ def stored_filtered_page(spark, folder):
 @query("stored_two_hop_reach_all", SQL["two_hop_reach_all"])
 def stored_two_hop_reach_all(spark, folder):
     roots = nodes(spark, folder, tenants=1, only=["nation", "region"])
-    step = layout.stored_steps(graph.steps(edges(spark, folder), "in").distinct())
+    step = layout.stored_steps(distinct_rows(graph.steps(edges(spark, folder), "in")))
     found = graph.reach(None, roots, 2, step=step)
     return found.groupBy("root").agg(F.count(F.lit(1)).alias("reached"))
 
@@ -279,5 +280,5 @@ def stored_two_hop_reach_all(spark, folder):
 @query("stored_neighbourhood", SQL["neighbourhood"])
 def stored_neighbourhood(spark, folder):
     roots = nodes(spark, folder, tenants=1, only=["nation"])
-    step = layout.stored_steps(graph.steps(edges(spark, folder)).distinct())
+    step = layout.stored_steps(distinct_rows(graph.steps(edges(spark, folder))))
     return graph.neighbourhood(None, roots, 2, step=step).select("root", "node")
