@@ -148,3 +148,15 @@ def test_distinct_rows_are_dealt_by_their_number(spark):
     hop = graph.reach(spark.createDataFrame(random_edges(3), EDGES), spark.createDataFrame([("t0", "n00")], "model_id string, node string"), 1)
     plan = hop._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression" in plan and "Join" not in plan  # dealt from what was written
+
+
+def test_levels_hold_a_node_once_for_many_ends(spark, monkeypatch):
+    """70 sources and 10 targets meet at 40 nodes: 28,000 meetings, of which no table is made."""
+    edges = [("t0", "R", f"s{i:02}", f"m{k:02}") for i in range(70) for k in range(40)]
+    edges += [("t0", "R", f"m{k:02}", f"t{j}") for j in range(10) for k in range(40)]
+    pairs = [("t0", f"s{i:02}", f"t{j}") for i in range(70) for j in range(10)]
+    written, keep = [], graph.materialise
+    monkeypatch.setattr(graph, "materialise", lambda df: written.append(out := keep(df)) or out)
+    found = graph.shortest_paths(spark.createDataFrame(edges, EDGES), spark.createDataFrame(pairs, "model_id string, src string, dst string"))
+    assert {(r.src, r.dst): r.path for r in found.collect()} == {(s, t): [s, "m00", t] for _, s, t in pairs}
+    assert max(df.count() for df in written) <= 2 * len(edges)
