@@ -21,11 +21,9 @@ def iso_date(text: Column) -> Column:
     """
     clean = F.trim(text)
     at = F.try_to_timestamp(clean)
-    whole = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")
-    micros = F.regexp_replace(F.date_format(at, "SSSSSS"), "^(\\d{3})000$", "$1")
-    instant = F.concat(
-        whole, F.when(micros == "000", F.lit("")).otherwise(F.concat(F.lit("."), micros)), F.lit("Z")
-    )
+    # no, three or six digits of the second; the only Z is the last character
+    micros = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    instant = F.replace(F.replace(micros, F.lit(".000000Z"), F.lit("Z")), F.lit("000Z"), F.lit("Z"))
     day = clean.substr(1, 10).try_cast("date").isNotNull()
     return F.when(clean.rlike(_WITH_TIME), instant).when(clean.rlike(_DATE_ONLY) & day, clean)
 
@@ -48,8 +46,9 @@ def transform(name: str | None, text: Column) -> Column:
         return F.when(clean.rlike(r"^[+-]?\d+$"), clean.try_cast("bigint"))
     if kind == "parse-decimal":
         clean = F.trim(text)
+        usual = clean.rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$")
         plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(clean, r"^\+", ""), r"^(-?)\.", "$10."), r"\.($|[eE])", "$1")
-        return F.when(clean.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), plain)
+        return F.when(usual, clean).when(clean.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), plain)
     if kind == "sha256":
         return F.sha2(text, 256)
     return text

@@ -58,7 +58,13 @@ def _value(kind: str, raw: Column, text: Column) -> Column:
 def _literal(kind: str, raw: Column, value: Column) -> Column:
     if kind == "none":
         return F.when(value.isNotNull(), raw)
-    return value if kind in ("parse-int", "parse-decimal") else quote(value)
+    if kind in ("parse-int", "parse-decimal"):
+        return value
+    plain = F.concat(F.lit('"'), value, F.lit('"'))
+    if kind in ("sha256", "iso8601-date"):
+        return plain
+    # case and blanks at the ends do not make a text need escapes that had none
+    return F.when(raw.startswith('"') & (F.instr(raw, "\\") == 0), plain).otherwise(quote(value))
 
 
 def map_rows(rows: DataFrame, fields: list[Field]) -> DataFrame:
@@ -66,7 +72,8 @@ def map_rows(rows: DataFrame, fields: list[Field]) -> DataFrame:
 
     The first failing field, in mapping order, names the error. A JSON null
     is present but gives no property; a missing optional field likewise. Each
-    step is its own projection, so no path is read twice.
+    step is its own projection, so no path is read twice. No step uses a
+    lambda: Spark would interpret all expressions around it row by row.
     """
     kinds = [(f.transform or "none").lower() for f in fields]
     for kind in kinds:
@@ -85,17 +92,22 @@ def map_rows(rows: DataFrame, fields: list[Field]) -> DataFrame:
             told = F.coalesce(missing, told)
         return told
 
-    entries = F.array(*[
-        F.struct(F.lit(fields[i].target).alias("k"), _literal(kinds[i], F.col(f"_raw{i}"), F.col(f"_value{i}")).alias("v")) for i in n
-    ])
-    result = F.struct(
-        F.coalesce(*[error(i) for i in n]).alias("error"),
-        F.map_from_entries(F.filter(entries, lambda e: e["v"].isNotNull())).alias("properties"),
-        content_hash({fields[i].target: F.col(f"_value{i}") for i in n}).alias("source_hash"),
-    )
+    none = F.array().cast("array<struct<k:string,v:string>>")
+
+    def entry(i: int) -> Column:
+        literal = _literal(kinds[i], F.col(f"_raw{i}"), F.col(f"_value{i}"))
+        pair = F.struct(F.lit(fields[i].target).alias("k"), literal.alias("v"))
+        return F.when(F.col(f"_value{i}").isNotNull(), F.array(pair)).otherwise(none)
+
     # a filter on ``error`` stays above this row generator; pushed below, it
     # would evaluate every path and transform a second time
-    return values.select(*rows.columns, F.inline(F.array(result)))
+    told = values.select("*", F.inline(F.array(F.struct(F.coalesce(*[error(i) for i in n]).alias("error")))))
+    return told.select(
+        *rows.columns,
+        "error",
+        F.map_from_entries(F.concat(*[entry(i) for i in n])).alias("properties"),
+        content_hash({fields[i].target: F.col(f"_value{i}") for i in n}).alias("source_hash"),
+    )
 
 
 def split_errors(mapped: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -50,6 +50,49 @@ def test_transforms(spark, name, text, want):
     assert got == want
 
 
+@pytest.mark.parametrize("text,want", [
+    ("2024-01-02T03:04:05.1Z", "2024-01-02T03:04:05.100Z"), ("2024-01-02T03:04:05.000Z", "2024-01-02T03:04:05Z"),
+    ("2024-01-02T03:04:05.00045Z", "2024-01-02T03:04:05.000450Z"), ("2024-01-02T03:04:05.45Z", "2024-01-02T03:04:05.450Z"),
+    ("2024-01-02T00:00:00.123456+01:00", "2024-01-01T23:00:00.123456Z"), ("2000-01-01T00:00:00.120001Z", "2000-01-01T00:00:00.120001Z"),
+])
+def test_instants_have_no_three_or_six_digits(spark, text, want):
+    got = spark.createDataFrame([(text,)], "t string").select(transform("iso8601-date", F.col("t"))).first()[0]
+    assert got == want
+
+
+@pytest.mark.parametrize("text,want", [
+    ("-1.5e-3", "-1.5e-3"), ("-.5", "-0.5"), ("5.", "5"), ("5.e3", "5e3"), ("+.5E+2", "0.5E+2"), ("1.2.3", None), (".", None), ("-", None),
+])
+def test_decimals_in_any_spelling(spark, text, want):
+    got = spark.createDataFrame([(text,)], "t string").select(transform("parse-decimal", F.col("t"))).first()[0]
+    assert got == want
+
+
+def test_mapped_literals_of_odd_values(spark):
+    odd = ["Ab", " Ab ", "", " ", 'Q"\\\n\t\x01 ', "É/<é>\x7f", 5, -1.5, True, {"A": 'X"'}, ["B", None]]
+    kinds = {"lowercase": str.lower, "uppercase": str.upper, "trim": lambda t: t.strip(" "), "sha256": lambda t: hashlib.sha256(t.encode()).hexdigest()}
+    fields = [Field(k, "$.v", k) for k in kinds] + [Field("none", "$.v")]
+    mapped = rows.map_rows(rows.explode_rows(landed(spark, [{"v": v} for v in odd])), fields).collect()
+    for r in mapped:
+        value = odd[r.position]
+        text = value if isinstance(value, str) else json.dumps(value, separators=(",", ":"))
+        want = {k: f(text) for k, f in kinds.items()} | {"none": value}
+        assert {k: json.loads(v) for k, v in r.properties.items()} == want and r.error is None
+        lines = [f"{k}={want[k] if k != 'none' else text}" for k in sorted(want)]
+        assert r.source_hash == hashlib.sha256("\n".join(lines).encode()).hexdigest()
+    assert len(mapped) == len(odd)
+
+
+def test_mapping_is_compiled_and_makes_only_what_is_asked(spark):
+    fields = [Field("name", "$.name", "trim", required=True), Field("at", "$.at", "iso8601-date")]
+    mapped = rows.map_rows(rows.explode_rows(landed(spark, {"data": [{"name": "a"}]}), "$.data[*]"), fields)
+    good, bad = rows.split_errors(mapped)
+    for df, made in ((good.select("properties"), {"map_from_entries"}), (good.select("source_hash"), {"sha2"}), (bad.select("detail"), set())):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "lambda" not in plan and plan.count("date_format(") == 1
+        assert {name for name in ("map_from_entries", "sha2") if f"{name}(" in plan} == made
+
+
 def test_unknown_transform_is_refused():
     with pytest.raises(ValueError):
         transform("rot13", None)
