@@ -45,7 +45,7 @@ def failed_documents(raw: DataFrame, root: str = "$") -> DataFrame:
     return raw.filter(F.try_variant_get(F.try_parse_json("value"), path, "variant").isNull())
 
 
-def _value(kind: str, raw: Column, text: Column) -> Column:
+def _value(kind: str, raw: Column | None, text: Column) -> Column:
     """Plain text of a mapped value; null for null input or a failure."""
     if kind == "none":
         return text
@@ -55,7 +55,7 @@ def _value(kind: str, raw: Column, text: Column) -> Column:
     return transform(kind, text)
 
 
-def _literal(kind: str, raw: Column, value: Column) -> Column:
+def _literal(kind: str, raw: Column | None, value: Column) -> Column:
     if kind == "none":
         return F.when(value.isNotNull(), raw)
     if kind in ("parse-int", "parse-decimal"):
@@ -63,8 +63,7 @@ def _literal(kind: str, raw: Column, value: Column) -> Column:
     plain = F.concat(F.lit('"'), value, F.lit('"'))
     if kind in ("sha256", "iso8601-date"):
         return plain
-    # case and blanks at the ends do not make a text need escapes that had none
-    return F.when(raw.startswith('"') & (F.instr(raw, "\\") == 0), plain).otherwise(quote(value))
+    return F.when(value.rlike(r'["\\\x00-\x1f]'), quote(value)).otherwise(plain)
 
 
 def map_rows(rows: DataFrame, fields: list[Field]) -> DataFrame:
@@ -80,22 +79,38 @@ def map_rows(rows: DataFrame, fields: list[Field]) -> DataFrame:
         if kind not in TRANSFORMS:
             raise ValueError(f"unknown transform: {kind}")
     n = range(len(fields))
-    found = rows.select("*", *[F.to_json(F.try_variant_get("row", fields[i].path, "variant")).alias(f"_raw{i}") for i in n])
-    texts = found.select("*", *[unquote(F.col(f"_raw{i}")).alias(f"_text{i}") for i in n])
-    values = texts.select("*", *[_value(kinds[i], F.col(f"_raw{i}"), F.col(f"_text{i}")).alias(f"_value{i}") for i in n])
+    # only these tell a text from a number; JSON text costs more than the plain one
+    spelt = [i for i in n if kinds[i] in ("none", "parse-int")]
+    raw = {i: F.col(f"_raw{i}") if i in spelt else None for i in n}
+
+    def read(i: int, kind: str) -> Column:
+        return F.try_variant_get("row", fields[i].path, kind)
+
+    def text(i: int) -> Column:
+        if i not in spelt:
+            return read(i, "string")
+        return F.when(~raw[i].startswith('"') & (raw[i] != "null"), raw[i]).otherwise(read(i, "string"))
+
+    found = rows.select("*", *[F.to_json(read(i, "variant")).alias(f"_raw{i}") for i in spelt])
+    texts = found.select("*", *[text(i).alias(f"_text{i}") for i in n])
+    values = texts.select(
+        "*",
+        *[_value(kinds[i], raw[i], F.col(f"_text{i}")).alias(f"_value{i}") for i in n],
+        *[(F.col(f"_text{i}").isNull() & read(i, "variant").isNull()).alias(f"_missing{i}") for i in n if fields[i].required],
+    )
 
     def error(i: int) -> Column:
         failed = F.col(f"_text{i}").isNotNull() & F.col(f"_value{i}").isNull()
         told = F.when(failed, F.concat(F.lit(f"Cannot apply {kinds[i]} to {fields[i].path}: "), F.col(f"_text{i}")))
         if fields[i].required:
-            missing = F.when(F.col(f"_raw{i}").isNull(), F.lit(f"no value at {fields[i].path}"))
+            missing = F.when(F.col(f"_missing{i}"), F.lit(f"no value at {fields[i].path}"))
             told = F.coalesce(missing, told)
         return told
 
     none = F.array().cast("array<struct<k:string,v:string>>")
 
     def entry(i: int) -> Column:
-        literal = _literal(kinds[i], F.col(f"_raw{i}"), F.col(f"_value{i}"))
+        literal = _literal(kinds[i], raw[i], F.col(f"_value{i}"))
         pair = F.struct(F.lit(fields[i].target).alias("k"), literal.alias("v"))
         return F.when(F.col(f"_value{i}").isNotNull(), F.array(pair)).otherwise(none)
 
