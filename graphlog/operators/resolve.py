@@ -301,13 +301,18 @@ def embedding_matches(candidates: DataFrame, nodes: DataFrame, vectors: DataFram
                       model: str | None = None, k: int = NEIGHBOURS) -> tuple[DataFrame, DataFrame]:
     """(matches, best): the first of the k nearest that is similar enough and
     of the wanted type, and the best score seen whether or not it matched.
+
+    Candidates and nodes are of any number. Tables of short keys are packed
+    so small that the planner, which goes by the size of files, would send
+    millions of rows through the driver; so the joins with them are sorted ones.
     """
     asked = candidates.filter(F.col("vector").isNotNull())
     near = nearest(asked.select("model_id", F.col("candidate_id").cast("string").alias("query_id"), "vector"), vectors, k, model)
     typed = asked.select(F.col("candidate_id").cast("string").alias("query_id"), "candidate_id", "model_id", "type")
-    rows = near.join(typed, ["model_id", "query_id"])
+    rows = near.join(typed.hint("merge"), ["model_id", "query_id"])
     best = rows.groupBy("candidate_id").agg(F.max("score").alias("best"))
-    fit = rows.filter(F.col("score") >= threshold).join(nodes.select("model_id", "type", "node"), ["model_id", "type", "node"], "left_semi")
+    known = nodes.select("model_id", "type", "node").hint("merge")
+    fit = rows.filter(F.col("score") >= threshold).join(known, ["model_id", "type", "node"], "left_semi")
     matches = fit.groupBy("candidate_id").agg(F.min_by(F.struct("node", "score"), "rank").alias("_m"))
     return matches.select("candidate_id", "_m.*"), best
 

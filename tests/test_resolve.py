@@ -169,3 +169,20 @@ def test_decisions_act_once(spark):
         ("t0", "a"): "ACCEPTED", ("t0", "b"): "OVERRIDDEN", ("t0", "c"): "REJECTED", ("t0", "d"): "REJECTED", ("t1", "a"): None,
     }
     assert {r.candidate_id: (r.operation, r.node) for r in made.collect()} == {"a": ("CREATE", None), "b": ("UPDATE", "n9")}
+
+
+def test_the_embedding_match_sends_no_parts_through_the_driver(spark, tmp_path):
+    from workload.resolve_queries import embedding_match
+
+    parts = "id AS p_partkey, 'n' AS p_name, 'b' AS p_brand, 't' AS p_type, cast(id % 50 AS int) AS p_size, 1.0D AS p_retailprice"
+    spark.range(400).selectExpr(*parts.split(", ")).write.parquet(str(tmp_path / "part.parquet"))
+    vector = "transform(sequence(1, 8), i -> cast(sin(i * (id + 1)) AS float)) AS embedding"
+    spark.range(60).selectExpr("id AS vec_id", vector, "cast(id % 10 AS int) AS label").write.parquet(str(tmp_path / "embeddings.parquet"))
+    found = embedding_match(spark, str(tmp_path))
+    # files far smaller than their rows must not decide it
+    plan = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    sent = [below.split("+- ")[-1] for line, below in zip(plan, plan[1:], strict=False) if "BroadcastExchange" in line]
+    assert [x for x in sent if "p_partkey" in x] == []
+    # each vector of the first model is its own nearest, and small parts are of the wanted type
+    got = {r.candidate_id: (r.node, r.score) for r in found.collect()}
+    assert {k: v for k, v in got.items() if v == (k.replace("c:", "part:"), 1.0)}.keys() == {f"c:{i}" for i in range(60) if i % 10 < 8 and i % 50 < 40}

@@ -25,9 +25,12 @@ def _known(spark, folder):
 
 
 def _candidates(spark, folder):
-    """Each part again: as it is, misspelt, or backwards; some with a vector."""
+    """Each part again: as it is, misspelt, or backwards; some with a vector.
+
+    Parts are packed many times smaller than they are, so the files' size would have them broadcast at millions of rows.
+    """
     name = F.concat_ws(" ", "p_name", "p_brand")
-    parts = table(spark, folder, "part")
+    parts = table(spark, folder, "part").hint("merge")
     vectors = table(spark, folder, "embeddings").select(F.col("vec_id").alias("p_partkey"), F.col("embedding").alias("vector"))
     return parts.join(vectors, "p_partkey", "left").select(
         F.concat(F.lit("c:"), F.col("p_partkey").cast("string")).alias("candidate_id"),
