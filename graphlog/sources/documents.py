@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphlog.functions.literals import quote
 from graphlog.functions.text import joined_hash
-from graphlog.storage import file_system
+from graphlog.storage import file_system, materialise
 
 # Largest file read, and characters a chunk repeats.
 MAX_BYTES = 1 << 20
 OVERLAP = 200
 
 _BLOCK = 512
+# Entries and folders that one task lists, files and bytes that one reads, and bytes it holds.
+_ENTRIES, _FOLDERS = 10_000, 5_000
+_FILES, _LOAD, _HELD = 20_000, 128 << 20, 4 << 20
 
 
 def _glob_pattern(glob: str) -> str:
@@ -63,39 +67,168 @@ def write_folder(texts: DataFrame, folder: str, by: str) -> None:
     texts.select(F.col(by).cast("string"), F.col("text").cast("binary")).mapInArrow(write, "n long").agg(F.sum("n")).collect()
 
 
+def _below(top: str):
+    """Folders (``path`` under ``top``) -> the files below them, and folders left over, whose ``size`` is null.
+
+    What Spark's readers pass over is passed over (hidden names, empty files),
+    links are followed. From one folder on, a task goes through ``_ENTRIES``
+    entries, and to the end of the folder it is in; the folders it has not
+    come to by then are left over.
+    """
+
+    def run(batches):
+        import errno
+        import os
+
+        import pyarrow as pa
+
+        kinds = {"path": pa.string(), "size": pa.int64(), "mtime": pa.int64()}
+
+        def entries(start):
+            todo, met = [start], 0
+            while todo and met < _ENTRIES:
+                folder = todo.pop()
+                with os.scandir(f"{top}/{folder}") as names:
+                    for entry in names:
+                        name = entry.name
+                        passed = name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_")
+                        try:
+                            name.encode()  # what is not UTF-8 the JVM cannot open
+                            path, met = f"{folder}/{name}" if folder else name, met + 1
+                            if not entry.is_dir():
+                                state = entry.stat()
+                                if state.st_size and not passed:
+                                    yield path, state.st_size, state.st_mtime_ns // 1_000_000
+                            elif not passed or name.startswith(("_metadata", "_common_metadata")):
+                                if met < _ENTRIES:
+                                    todo.append(path)
+                                else:
+                                    yield path, None, None
+                        except UnicodeEncodeError:
+                            continue
+                        except OSError as error:  # gone meanwhile, or a link to nothing or to itself
+                            if error.errno not in (errno.ENOENT, errno.ELOOP):
+                                raise
+            for path in todo:
+                yield path, None, None
+
+        def made(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds.values())], names=[*kinds])
+
+        rows = []
+        for batch in batches:
+            for start in batch.column("path").to_pylist():
+                for row in entries(start):
+                    rows.append(row)
+                    if len(rows) == _ENTRIES:
+                        yield made(rows)
+                        rows = []
+        if rows:
+            yield made(rows)
+
+    return run
+
+
+def _contents(top: str):
+    """Files (``path`` under ``top``) -> the same with their ``content``, a few MB at a time.
+
+    A checksum file that Hadoop left beside a file must agree with it.
+    """
+
+    def run(batches):
+        import zlib
+
+        import pyarrow as pa
+
+        def checked(path, content):
+            folder, _, name = path.rpartition("/")
+            try:
+                with open(f"{folder}/.{name}.crc", "rb") as file:
+                    sums = file.read()
+            except FileNotFoundError:
+                return content
+            each = int.from_bytes(sums[4:8])
+            if sums[:4] == b"crc\0" and each:
+                own = b"".join(zlib.crc32(content[i:i + each]).to_bytes(4) for i in range(0, len(content), each))
+                if own != sums[8:]:
+                    raise OSError(f"{path} differs from its checksum file")
+            return content
+
+        for batch in batches:
+            read, held, start = [], 0, 0
+            for at, path in enumerate(batch.column("path").to_pylist(), 1):
+                with open(f"{top}/{path}", "rb") as file:
+                    read.append(checked(file.name, file.read()))
+                held += len(read[-1])
+                if held >= _HELD or at == batch.num_rows:
+                    columns = [*batch.slice(start, at - start).columns, pa.array(read, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "content"])
+                    read, held, start = [], 0, at
+
+    return run
+
+
+def _listed(spark: SparkSession, top: str, wanted: Column) -> DataFrame:
+    """(path, size, mtime) of the wanted files below a folder of a local or shared disk.
+
+    Tasks list, a round for the folders that the one before left over; what
+    they find is written out, so that no list of files is held as a whole.
+    """
+    schema = "path string, size long, mtime long"
+    found, todo, count = [], spark.createDataFrame([("",)], "path string"), 1
+    while count:
+        tasks = todo.repartition(-(-count // _FOLDERS), "path")
+        here = materialise(tasks.mapInArrow(_below(top), schema).filter(F.col("size").isNull() | wanted))
+        found.append(here.filter("size IS NOT NULL"))
+        todo = here.filter("size IS NULL").select("path")
+        count = todo.count()
+    return reduce(DataFrame.unionByName, found)
+
+
+def _read(files: DataFrame, top: str) -> DataFrame:
+    """``files`` with their ``content``, dealt to tasks by their number and bytes."""
+    total = files.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
+    few = min(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total.n // 500))
+    tasks = max(1, few, -(-total.n // _FILES), -(-total.bytes // _LOAD))
+    return files.repartition(tasks, "path").mapInArrow(_contents(top), "path string, size long, mtime long, content binary")
+
+
 def scan_folder(spark: SparkSession, folder: str, glob: str = "**/*.md", max_bytes: int = MAX_BYTES) -> tuple[DataFrame, DataFrame]:
     """(documents, dead letters) of the matching files below ``folder``.
 
-    The whole relative path is matched. The size test is pushed to the file
-    listing, so the content of a file that is too large is never read; a file
-    that is not UTF-8 is one dead letter.
+    The whole relative path is matched. The content of a file that is too
+    large is never read; a file that is not UTF-8 is one dead letter. Spark's
+    reader lists all files on the driver, so below a folder of a local or
+    shared disk tasks list and read them; elsewhere Spark's reader does.
     """
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", glob.rsplit("/", 1)[-1])
-        .load(folder)
-    )
-    base = folder.rstrip("/") + "/"
-    relative = F.substring_index("path", base, -1)
-    files = files.filter(relative.rlike(_glob_pattern(glob)))
+    name = glob.rsplit("/", 1)[-1]
+    disk, where = file_system(spark, folder)
+    own = disk.getUri().getScheme() == "file" and not set(folder) & set("{}[]*?\\")  # such a folder is a pattern to Spark's reader
+    if own and disk.exists(where) and disk.getFileStatus(where).isDirectory():
+        top = disk.makeQualified(where).toUri().getPath()
+        # as pathGlobFilter has it
+        named = "(?s)^(?:" + spark.sparkContext._jvm.org.apache.hadoop.fs.GlobPattern(name).compiled().pattern() + r")\z"
+        wanted = F.substring_index("path", "/", -1).rlike(named) & F.col("path").rlike(_glob_pattern(glob))
+        files = _listed(spark, top, wanted)
+        small = _read(files.filter(F.col("size") <= max_bytes), top)
+    else:
+        read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", name).load(folder)
+        relative = F.substring_index("path", folder.rstrip("/") + "/", -1)
+        files = read.filter(relative.rlike(_glob_pattern(glob))).select(
+            relative.alias("path"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime"), "content"
+        )
+        small = files.filter(F.col("size") <= max_bytes)
     text = F.col("content").cast("string")
-    small = files.filter(F.col("length") <= max_bytes)
-    docs = small.filter(F.is_valid_utf8(text)).select(
-        relative.alias("path"),
-        F.unix_millis("modificationTime").alias("mtime"),
-        F.col("length").alias("size"),
-        text.alias("text"),
-    )
-    too_large = files.filter(F.col("length") > max_bytes).select(
+    docs = small.filter(F.is_valid_utf8(text)).select("path", "mtime", "size", text.alias("text"))
+    too_large = files.filter(F.col("size") > max_bytes).select(
         F.lit("FILE_TOO_LARGE").alias("reason"),
-        F.concat(relative, F.lit(f" is larger than {max_bytes} bytes")).alias("detail"),
-        F.to_json(F.struct(relative.alias("path"), F.col("length").alias("size"))).alias("raw_payload"),
+        F.concat("path", F.lit(f" is larger than {max_bytes} bytes")).alias("detail"),
+        F.to_json(F.struct("path", "size")).alias("raw_payload"),
     )
     unreadable = small.filter(~F.is_valid_utf8(text)).select(
         F.lit("IO_ERROR").alias("reason"),
-        F.concat(relative, F.lit(" is not UTF-8 text")).alias("detail"),
-        F.to_json(F.struct(relative.alias("path"), F.col("length").alias("size"))).alias("raw_payload"),
+        F.concat("path", F.lit(" is not UTF-8 text")).alias("detail"),
+        F.to_json(F.struct("path", "size")).alias("raw_payload"),
     )
     return docs, too_large.unionByName(unreadable)
 

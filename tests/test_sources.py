@@ -268,3 +268,43 @@ def test_a_written_folder_has_one_file_for_each_row_and_nothing_else(spark, tmp_
     found, _ = documents.scan_folder(spark, str(tmp_path / "out"), "**/*.txt", 100)
     got = sorted((r.path.split("/")[0], r.text) for r in found.collect())
     assert got == [("doc_id=1", "a\n"), ("doc_id=1", "b\n"), ("doc_id=2", "é\nf\n"), ("doc_id=__HIVE_DEFAULT_PARTITION__", "\n"), ("doc_id=x%2Fy", "\n")]
+
+
+def test_a_folder_is_listed_and_read_by_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(documents, "_ENTRIES", 3)  # several rounds
+    monkeypatch.setattr(documents, "_FOLDERS", 2)
+    monkeypatch.setattr(documents, "_HELD", 4)
+    top = tmp_path / "top"
+    want = {f"{a}/{b}/{c}.txt": f"{a}{b}{c}" for a in "pqrst" for b in ("u", "v w") for c in "xyz"}
+    want |= {"x.txt": "é", f"p{top}/x.txt": "1", "_a=1/x.txt": "2", "_metadata/x.txt": "3", "q/a%20:b#.txt": "4", "l/x.txt": "pux"}
+    for path, text in want.items():
+        if not path.startswith("l/"):
+            (top / path).parent.mkdir(parents=True, exist_ok=True)
+            (top / path).write_text(text, encoding="utf-8")
+    (top / "l").symlink_to("p/u")
+    want |= {"l/y.txt": "puy", "l/z.txt": "puz"}
+    (top / "gone.txt").symlink_to("nowhere")
+    (top / "r" / "long.txt").write_text("x" * 101)
+    (top / "r" / "other.md").write_text("x")
+    for path in ("_h.txt", ".h.txt", "_metadata.txt", "_h/x.txt", ".h/x.txt", "r/h.txt._COPYING_"):
+        (top / path).parent.mkdir(exist_ok=True)
+        (top / path).write_text("hidden")
+    (top / "r" / "empty.txt").write_text("")
+    for folder in (str(top), f"file:{top}/", f"file://{top}"):
+        found, bad = documents.scan_folder(spark, folder, "**/*.txt", 100)
+        rows = found.collect()
+        assert len(rows) == len(want) and {r.path: r.text for r in rows} == want
+        assert all(r.size == len(r.text.encode()) and r.mtime == (top / r.path).stat().st_mtime_ns // 10**6 for r in rows)
+        assert [json.loads(r.raw_payload) for r in bad.collect()] == [{"path": "r/long.txt", "size": 101}]
+        # the driver has no list of the files
+        assert not [f for df in (found, bad) for f in df.inputFiles() if not f.endswith(".parquet")]
+
+
+def test_a_file_that_differs_from_its_checksum_file_is_an_error(spark, tmp_path):
+    spark.createDataFrame([("abc" * 400,)], "text string").coalesce(1).write.text(str(tmp_path / "out"))
+    (text,) = [p for p in (tmp_path / "out").iterdir() if p.suffix == ".txt"]
+    assert (text.parent / f".{text.name}.crc").exists()
+    assert [r.text for r in documents.scan_folder(spark, str(tmp_path / "out"), "*.txt")[0].collect()] == ["abc" * 400 + "\n"]
+    text.write_text("abd" * 400 + "\n")
+    with pytest.raises(Exception, match="checksum"):
+        documents.scan_folder(spark, str(tmp_path / "out"), "*.txt")[0].collect()
